@@ -28,6 +28,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000, max_rows: int = 512, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with about ``max_chars`` bytes of text (one longer text stays whole), and their texts."""
     for batch in batches:
