@@ -2,14 +2,14 @@
 
 Three patterns find the base spans. Beyond them, runs of token characters that hold a digit are candidates; two first-order
 Markov models of characters, one of random strings and one of ordinary identifiers, are compared by the log-likelihood ratio
-of the run. The models come from labelled samples: generated random strings (label 1), and the words of a bounded sample of
-documents outside base spans (label 0).
+of the run. The models come from labelled samples: generated random strings (label 1); a list of ordinary identifiers, and the words of a
+bounded sample of documents outside base spans and candidates (label 0).
 
 Positions are counted in code points: the parts between matches (``split``) and the matches alternate, so running lengths
 give every span without a UDF.
 
 Defined results: null text is empty (no spans, hash of nothing); rows are kept as often as they occur; an empty table gives an
-empty result (the models then rest on the random strings alone); other columns are ignored.
+empty result (the models then rest on the fixed samples); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,26 @@ RUN = r"[A-Za-z0-9+/=_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 #: Documents whose words are the sample of ordinary identifiers, and random strings generated of each form.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 3000
+#: Labelled samples of ordinary identifiers that hold for any corpus.
+ORDINARY = """
+account address administrator application argument array attribute authentication average background balance behavior boolean
+branch buffer building business calculate callback capacity category certificate character checkbox children classification
+collection column command comment community company component compression computer condition configuration connection constant
+container content context controller convert coordinate counter country created customer database datetime default definition
+delete department description destination development device dictionary directory document download duration element email
+encoding endpoint environment error exception execution expression extension feature february filename filter firstname folder
+format framework frequency function generator getElementById handleRequest hardware height hostname html5 http2 identifier
+image1 implementation import information initialize input insert instance integer interface international javascript keyboard
+language_code last_modified latitude length library license listener location longitude management maximum memory message
+metadata method middleware minimum module monitor navigation network notification number object operation option organization
+original output package page_2 parameter parent password_reset payment percentage performance permission phone_number pipeline
+platform pointer position postgresql previous priority private process product profile project property protocol provider
+public quantity query random receive record reference region register relation release remove repository request resource
+response result return revision runtime sample schedule schema search section security select sequence server service session
+setting sha256 signature snapshot software source statement status storage stream string structure subscription summary support
+switch system table target template temporary thread threshold timestamp toString total transaction transform translation
+update upload user_id utf8 validation value variable vector version video visible warning website window workflow x86_64 year
+"""
 #: A run is a secret if its log-likelihood ratio exceeds this many nats.
 THRESHOLD = 12.0
 
@@ -69,13 +89,14 @@ def samples(docs: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat(F.lit("random-"), F.col("id").cast("string")), 256)
     coded = F.base64(F.unhex(digest))
     made = spark.range(SAMPLE_STRINGS).select(F.lit(1).alias("label"), F.explode(F.array(F.substring(digest, 1, 40), coded, F.regexp_replace(coded, "[+/=]", ""))).alias("word"))
+    known = spark.range(1).select(F.lit(0).alias("label"), F.explode(F.split(F.trim(F.lit(ORDINARY)), r"\s+")).alias("word"))
     some = texts(docs).orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(SAMPLE_DOCS)
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), ACCESS, " "), "[0-9a-f]{24,}", " ")
     words = some.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9+/=_-]{4,}"), F.lit(0))).alias("word"))
-    return made.unionByName(words.where(~(F.col("word").rlike("[0-9]") & F.col("word").rlike(RUN))))  # candidates have no label
+    return made.unionByName(known).unionByName(words.where(~(F.col("word").rlike("[0-9]") & F.col("word").rlike(RUN))))  # candidates have no label
 
 
-def train(labelled: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(labelled: DataFrame, smoothing: float = 0.1) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of every pair of neighbouring characters, row by row of ALPHABET.
 
     ``labelled``: label 1 or 0, and word. Only the counts of pairs come to the driver, at most 2 * 67 * 67 rows.
