@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,16 +53,32 @@ def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000, max_ro
             begin = end
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the folder all executors share (``spark.checkpoint.dir``); a private one is set only where it is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``); a private one is set only where it is unset."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             import tempfile
 
             where = tempfile.mkdtemp(prefix="lodestack-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
+        context.setCheckpointDir(where)
+    return str(context._jsc.sc().getCheckpointDir().get())
+
+
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared one, for files that executors map into memory."""
+    where = checkpoint_dir(spark)
+    if not where.startswith(("file:", "/")):
+        raise ValueError(f"{where}: files can only be mapped into memory from a mounted folder (file:)")
+    path = os.path.join("/" + where.removeprefix("file:").lstrip("/"), f"{name}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut from its lineage, in the folder all executors share."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, hamming_search, mixing, quality, secrets, simhash_dedup, simhash_index, token_count
+from . import bpe_stream, hamming_search, html_text, mixing, ngram, quality, secrets, simhash_dedup, simhash_index, token_count
 from .common import table, vocabulary_path
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,12 +42,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_index.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_source_mix, op3_secret_scan, op4_bpe_codec, op5_hamming_topk, op6_quality_classifier, op7_simhash_dedup, op8_token_counts, op10_fingerprints)
+    every = (op1_html_text, op2_source_mix, op3_secret_scan, op4_bpe_codec, op5_hamming_topk, op6_quality_classifier, op7_simhash_dedup, op8_token_counts, op9_ngram_scores, op10_fingerprints)
     return {f.__name__: f for f in every}
 
 
