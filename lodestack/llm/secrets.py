@@ -30,7 +30,7 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Runs that the models judge.
 RUN = r"[A-Za-z0-9+/=_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
-#: Documents whose words are the sample of ordinary identifiers, and random strings generated of each form.
+#: Documents (about, by a hash of the id) whose words are the sample of ordinary identifiers, and random strings generated of each form.
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 3000
 #: Labelled samples of ordinary identifiers that hold for any corpus.
 ORDINARY = """
@@ -90,7 +90,8 @@ def samples(docs: DataFrame) -> DataFrame:
     coded = F.base64(F.unhex(digest))
     made = spark.range(SAMPLE_STRINGS).select(F.lit(1).alias("label"), F.explode(F.array(F.substring(digest, 1, 40), coded, F.regexp_replace(coded, "[+/=]", ""))).alias("word"))
     known = spark.range(1).select(F.lit(0).alias("label"), F.explode(F.split(F.trim(F.lit(ORDINARY)), r"\s+")).alias("word"))
-    some = texts(docs).orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    some = texts(docs).where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / 2.0**63 <= share)
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), ACCESS, " "), "[0-9a-f]{24,}", " ")
     words = some.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9+/=_-]{4,}"), F.lit(0))).alias("word"))
     return made.unionByName(known).unionByName(words.where(~(F.col("word").rlike("[0-9]") & F.col("word").rlike(RUN))))  # candidates have no label
