@@ -27,7 +27,7 @@ from .bpe import BytePairModel, load
 from .common import map_arrow, slices, texts
 
 PIECE = 1 << 16
-CACHE = 300_000
+CACHE = 600_000
 _cut = re.compile(r"(?<=\S)(?=\s)")
 
 
