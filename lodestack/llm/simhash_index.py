@@ -30,8 +30,8 @@ from .common import checkpointed, map_arrow, slices, texts
 
 #: Words whose hashes are remembered, and terms whose votes are counted at a time.
 CACHE, BLOCK = 200_000, 1 << 14
-#: Rows of an id range on average.
-RANGE_ROWS = 4000
+#: Rows of an id range on average, the most ranges (rows stream through a range, so their size needs no bound), ranges of a task.
+RANGE_ROWS, MOST_RANGES, TASK_RANGES = 500, 20_000, 8
 
 
 class WordHashes(dict):
@@ -108,8 +108,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = ids.count()
     if not n:
         return rows.sparkSession.createDataFrame([], RESULT)
-    parts = max(1, -(-n // RANGE_ROWS))
-    limits = sorted({int(x) for x in ids.select(F.percentile_approx("i", F.lit([k / parts for k in range(1, parts)]), 10 * parts)).first()[0]}) if parts > 1 else []
+    parts = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    limits = sorted({int(x) for x in ids.select(F.percentile_approx("i", F.lit([k / parts for k in range(1, parts)]), 100 * parts)).first()[0]}) if parts > 1 else []
     place = F.when(F.col("i").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.lit(limits).cast("array<bigint>"), lambda x: x <= F.col("i")))) if len(limits) < 16 else _place(limits)
     firsts = {r["range"]: r["first"] for r in ids.withColumn("range", place).groupBy("range").agg(F.min("i").alias("first")).collect()}  # one row a range
     order = sorted(firsts)
@@ -118,7 +118,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     also = F.element_at(F.create_map(*(F.lit(x) for pair in ahead.items() for x in pair)), F.col("i")) if len(ahead) < 16 else F.element_at(F.map_from_arrays(F.split(F.lit(",".join(map(str, ahead))), ",").cast("array<bigint>"), F.split(F.lit(",".join(map(str, ahead.values()))), ",").cast("array<int>")), F.col("i"))
     to = F.array_compact(F.array(F.struct(F.col("range").cast("int").alias("range"), F.lit(0).alias("next")), F.when(also.isNotNull(), F.struct(also.cast("int").alias("range"), F.lit(1).alias("next")))))
     dealt = dealt.select("doc_id", "i", "text", F.explode(to).alias("to")).select("doc_id", "i", "text", "to.range", "to.next")
-    dealt = dealt.repartition(max(len(order), 1), "range").sortWithinPartitions("range", "next", "i", "text")
+    dealt = dealt.repartition(-(-len(order) // TASK_RANGES), "range").sortWithinPartitions("range", "next", "i", "text")
 
     def run(batches):
         held: tuple | None = None  # range, doc_id, text, fingerprint of the row that waits for the next one
