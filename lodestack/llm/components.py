@@ -1,23 +1,58 @@
-"""Connected components of a link table, without collecting it: large-star and small-star rounds over DataFrames."""
+"""Connected components of a link table, without collecting it: large-star and small-star rounds over DataFrames.
+
+Links up to ``LOCAL_LINKS`` (16 bytes each) are solved in one task, whose memory that number bounds; more links take as many
+rounds as their paths need. Either way the result is the same and holds every link.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Links that one task may solve.
+LOCAL_LINKS = 1_000_000
+
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links (a, b) of longs; root is the smallest node of its component.
+    """(node, root) for every node of the links (a, b) of longs; root is the smallest node of its component."""
+    pairs = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    if pairs.count() <= LOCAL_LINKS:
+        return pairs.repartition(1).mapInArrow(_solve, "node long, root long")
+    return _stars(pairs, max_rounds)
 
-    Each round joins every node to the smallest neighbour seen (first over larger neighbours, then over smaller ones) by
-    aggregations that are combined before the shuffle, so a hub of many links is never gathered in one task. Rounds end
-    when the links no longer change; their number grows with the logarithm of the longest path. Every round is cut from
-    its lineage by a checkpoint in the shared folder, so a lost executor costs a recomputation of one round at most.
+
+def _solve(batches):
+    """Least labels run along the links and along the labels themselves until nothing changes."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if len(b)]
+    if not parts:
+        return
+    a, b = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for ends in (a, b, label[a], label[b]):
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "root"])
+
+
+def _stars(pairs: DataFrame, max_rounds: int) -> DataFrame:
+    """Each round joins every node to the smallest neighbour seen, first over larger neighbours, then over smaller ones.
+
+    The aggregations are combined before the shuffle, so a hub of many links is never gathered in one task. Rounds end when the
+    links no longer change. Every round is cut from its lineage by a checkpoint in the shared folder, so that a lost executor
+    costs a recomputation of one round at most.
     """
-    pairs = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None if pairs.limit(1).count() else (0, None)
+    before = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))

@@ -213,6 +213,9 @@ def test_ring_links_lose_no_component(spark):
     links = simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
     assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 4 for r in rows(links))
     got = {r["node"]: r["root"] for r in rows(components.components(links))}
+    components.LOCAL_LINKS = 0
+    assert got == {r["node"]: r["root"] for r in rows(components.components(links))}
+    components.LOCAL_LINKS = 1_000_000
     root = {n: n for n in signed}
 
     def find(n):
