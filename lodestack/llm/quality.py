@@ -139,7 +139,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
         if k:
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["a", "b"])
 
-    parts = known.repartition(PARTIAL_SUMS, "doc_id").mapInArrow(sums, "a binary, b binary").collect()
+    parts = known.coalesce(PARTIAL_SUMS).mapInArrow(sums, "a binary, b binary").collect()
     a = sum(np.frombuffer(r["a"]).reshape(FEATURES + 1, -1) for r in parts)
     b = sum(np.frombuffer(r["b"]) for r in parts)
     model.weights = np.linalg.solve(a + RIDGE * total / FEATURES * np.eye(FEATURES + 1), b)
