@@ -188,15 +188,15 @@ class Search:
         main = build(query_fields=dict(query.query_fields) or None, default_and=query.default_and, mm=query.mm, dismax=query.dismax, tie=query.tie)
         main._explicit = bool(query.query_fields)
         self.main = main.compile(query.q)
-        self.compilers, self.parts, match = [main], [self.main], safe(self.main.match)
+        self.compilers, self.parts, match = [main], [self.main], self.main.match
         for text in query.scored:
             c = build()
             self.parts.append(c.compile(text))
             self.compilers.append(c)
-            match = match & safe(self.parts[-1].match)
+            match = match & self.parts[-1].match
         for text in query.filters:
             c = build()
-            match = match & safe(c.compile(text).match)
+            match = match & c.compile(text).match
             self.compilers.append(c)
         labels: dict[str, list[str]] = {}
         for facet, label in query.drill_downs:

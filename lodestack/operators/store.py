@@ -29,14 +29,14 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return best.select(*keys, *(F.col("_best")[c].alias(c) for c in rest))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def deflate(content: pd.Series) -> pd.Series:
     import zlib
 
     return content.map(lambda c: None if c is None else zlib.compress(c))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflate(content: pd.Series) -> pd.Series:
     import zlib
 
@@ -149,7 +149,7 @@ class DocumentStore:
         meta = F.col("meta") if "meta" in files.columns else F.lit(None)
         squeeze = F.coalesce(F.col("compressed"), F.lit(False)) if "compressed" in files.columns else F.lit(False)
         rows = files.select(F.col("unique_id").cast("string").alias("unique_id"), "filename", F.lit(time.time_ns() // 1_000_000).alias("ts"), F.lit(self._next()).alias("seq"), F.lit("store").alias("op"), meta.cast("map<string,string>").alias("meta"), squeeze.alias("compressed"), F.col("content").cast("binary").alias("content"))
-        self._append(rows.withColumn("content", F.when(F.col("compressed"), deflate("content")).otherwise(F.col("content"))), "files")
+        self._append(rows.withColumn("content", F.when(F.col("compressed"), deflate(F.when(F.col("compressed"), F.col("content")))).otherwise(F.col("content"))), "files")
 
     def files(self, kind: str = "META") -> DataFrame:
         """unique_id, filename, ts, meta, compressed, and content with ``kind`` FULL (META does not read it)."""
@@ -157,7 +157,7 @@ class DocumentStore:
         if kind != "FULL":
             rows = rows.drop("content")
         out = latest(rows, ["unique_id", "filename"], "ts", "seq").where("op = 'store'").drop("op", "seq")
-        return out.withColumn("content", F.when(F.col("compressed"), inflate("content")).otherwise(F.col("content"))) if kind == "FULL" else out
+        return out.withColumn("content", F.when(F.col("compressed"), inflate(F.when(F.col("compressed"), F.col("content")))).otherwise(F.col("content"))) if kind == "FULL" else out
 
     def delete_files(self, ids: DataFrame, filename: str | None = None) -> None:
         mine = self.files("META").join(ids.select("unique_id").distinct(), "unique_id", "left_semi")

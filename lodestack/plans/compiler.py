@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.minhash import bound
 from ..functions.values import element_type, parse_bool, parse_date, present, typed, values
 from . import parser as P
 from .config import ConfigError, FieldConfig, IndexConfig
@@ -159,8 +160,8 @@ class Compiler:
         make = {P.Phrase: self._phrase, P.Prefix: self._prefix, P.Wildcard: self._wildcard, P.Regex: self._regex, P.Fuzzy: self._fuzzy, P.Range: self._range, P.Exists: lambda n, name, b: self._constant(self._exists(name), b)}[type(node)]
         return self._fields([make(node, name, boost * b) for name, b in names.items()])
 
-    def _constant(self, match: Column, boost: float) -> Scored:
-        match = safe(match)
+    def _constant(self, match: Column, boost: float, never_null: bool = False) -> Scored:
+        match = match if never_null else safe(match)
         return Scored(match, [lambda _: F.when(match, F.lit(float(boost))).otherwise(F.lit(0.0))])
 
     def _fields(self, parts: list[Scored]) -> Scored:
@@ -269,9 +270,9 @@ class Compiler:
             hits = F.filter(starts, lambda p: _all(F.get(column, p + (i - first)) == t for i, t in wanted[1:]))
         else:
             # Sloppy: the positions, less their places in the phrase, lie within the slop of each other.
-            found = [_less(at(t), i) for i, t in wanted]
-            near = lambda lo: _all(F.exists(ps, lambda p: (p >= lo) & (p <= lo + node.slop)) for ps in found)
-            hits = F.filter(F.array_distinct(F.concat(*found)), near)
+            places = F.array(*(_less(at(t), i) for i, t in wanted))
+            near = lambda ps, lo: _all(F.exists(F.get(ps, k), lambda p: (p >= lo) & (p <= lo + node.slop)) for k in range(len(wanted)))
+            hits = bound(places, lambda ps: F.filter(F.array_distinct(F.flatten(ps)), lambda lo: near(ps, lo)))
         return self._leaf(Leaf(name, F.size(hits), safe(F.size(hits) > 0), [t for _, t in wanted], boost))
 
     def _over_terms(self, name: str, pattern, boost: float) -> Scored:
@@ -329,7 +330,7 @@ class Compiler:
         top = self.schema[f[0].stored] if f[0].stored in self.schema.names else None
         if top is not None and not str(top.dataType).startswith("Array") and not str(top.dataType).startswith("String"):
             value = F.col(f"`{f[0].stored}`")  # a plain column, so that the comparison reaches the scan
-            return self._constant(_between(value, low, high, node), boost)
+            return self._constant(_between(value, low, high, node), boost, never_null=True)
         return self._constant(F.exists(self._typed(f[0]), lambda v: _between(v, low, high, node)), boost)
 
     # Statistics -------------------------------------------------------------------------------------------------------

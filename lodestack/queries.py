@@ -301,7 +301,7 @@ def chain(name: str, steps: list[str], sql: str, tokenizer: str = "STANDARD") ->
         return table(spark, sf_dir, "documents").select(F.explode(tokens).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("tf"))
 
     raw = f"list_transform(regexp_extract_all(text, '{SQL_WORD}'), lambda t: lower(t))"
-    register(name, run, f"SELECT term, count(*) AS tf FROM (SELECT unnest({sql.format(raw=raw, toks=raw)}) AS term FROM documents) WHERE term IS NOT NULL GROUP BY term")
+    register(name, run, f"WITH r AS (SELECT text, {raw} AS raw FROM documents) SELECT term, count(*) AS tf FROM (SELECT unnest({sql.format(raw='raw')}) AS term FROM r) WHERE term IS NOT NULL GROUP BY term")
 
 
 chain("analyzer_lowercase", ["LOWERCASE"], "{raw}")
