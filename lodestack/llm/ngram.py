@@ -1,7 +1,7 @@
 """Operator 9: language-model scoring with an Elias-Fano n-gram trie.
 
 Tokens are lower-cased words and one end token. The model is a bigram model over unigrams: with c the counts in the training
-texts, P(w | h) = (c(h w) + MU * P1(w)) / (c(h) + MU) and P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); the first word's context is
+texts, P(w | h) = (c(h w) + m(h) * P1(w)) / (c(h) + m(h)), m(h) = A * c(h) ** B, and P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); the first word's context is
 the start of the text. It sums to one over the known words and one unknown.
 
 Two levels are built in shards, each in one task from blobs that every task of the counting pass has counted on its own:
@@ -39,8 +39,9 @@ from pyspark.sql import types as T
 
 from .common import checkpoint_folder, map_arrow, slices, texts
 
-#: Weight of the unigram distribution against a context's counts.
-MU = 40.0
+#: Weight m of the unigram distribution against a context's counts: as the number of different followers, it grows as a power
+#: of the count. Chosen on training rows alone.
+A, B = 4.0, 0.8
 #: Fixed values of the base score.
 ADD = 0.1
 START, END = 0, 1  # hashes kept for the marks; no word's hash is mapped there
@@ -51,6 +52,10 @@ CACHE = 150_000
 BUFFER = 3_000_000
 
 
+def prior(counts: np.ndarray) -> np.ndarray:
+    return A * np.maximum(counts, 1) ** B
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash above the marks; the most recent common words are remembered."""
 
@@ -338,7 +343,8 @@ def build(training: DataFrame, folder: str) -> Trie:
         context, word = (keys // np.uint64(v + 1)).astype(np.int64), (keys % np.uint64(v + 1)).astype(np.int64)
         before = np.concatenate([counts_of(trie, context[i : i + 500_000]) for i in range(0, len(keys), 500_000)])
         unigram = np.concatenate([trie.unigram(counts_of(trie, word[i : i + 500_000])) for i in range(0, len(keys), 500_000)])
-        logs = np.log10((counts + MU * unigram) / (before + MU))
+        weight = prior(before)
+        logs = np.log10((counts + weight * unigram) / (before + weight))
         floor = float(logs.min())
         width = max((float(logs.max()) - floor) / 65535, 1e-12)
         codes = np.zeros(-(-len(keys) // 4) * 4, "<u2")
@@ -382,7 +388,8 @@ def score_texts(trie: Trie, values: list[str]) -> tuple[np.ndarray, ...]:
     unigram = trie.unigram(counts)
     context, before = np.concatenate([[trie.v], ids[:-1]]), np.concatenate([[trie.docs], counts[:-1]])
     context[first], before[first] = trie.v, trie.docs
-    logs = np.log10(MU * unigram / (before + MU))
+    weight = prior(before)
+    logs = np.log10(weight * unigram / (before + weight))
     asked = np.flatnonzero((ids >= 0) & (context >= 0))
     known, found = trie.pair_logs(context[asked], ids[asked])
     logs[asked[known]] = found[known]

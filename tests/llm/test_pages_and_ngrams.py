@@ -60,7 +60,8 @@ def test_ngram_scores(spark, documents, odd, nothing):
         want = []
         for r in table:
             d = tokens(r["text"])
-            score = sum(math.log10((pairs[h, w] + ngram.MU * p1(w)) / (c1.get(h, 0) + ngram.MU)) for h, w in zip(["\n", *d], d, strict=False))
+            m = lambda h: ngram.A * max(c1.get(h, 0), 1) ** ngram.B
+            score = sum(math.log10((pairs[h, w] + m(h) * p1(w)) / (c1.get(h, 0) + m(h))) for h, w in zip(["\n", *d], d, strict=False))
             want.append((str(r["doc_id"]), held(r["doc_id"]), len(d), sum(c[w] > 0 for w in d), n, sum(math.log10(p1(w)) for w in d), score))
         got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows(ngram.scores(docs)))
         for a, b in zip(got, sorted(want), strict=True):
