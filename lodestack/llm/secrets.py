@@ -1,6 +1,6 @@
 """Operator 3: secret scans, DataFrame and SQL functions only.
 
-Three patterns find the base spans. Beyond them, runs of token characters that hold a digit are candidates; two first-order
+Three patterns find the base spans. Beyond them, runs of token characters that hold a digit and a letter are candidates; two first-order
 Markov models of characters, one of random strings and one of ordinary identifiers, are compared by the log-likelihood ratio
 of the run. The models come from labelled samples: generated random strings (label 1); a list of ordinary identifiers, and the words of a
 bounded sample of documents outside base spans and candidates (label 0).
@@ -127,7 +127,7 @@ def _ratio(run: Column, ratios: list[float]) -> Column:
 
 
 def random_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
-    """Spans of runs with a digit that the models call random."""
+    """Spans of runs with a digit and a letter that the models call random."""
     found, between = F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), F.split(text, RUN, -1)
     pairs = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(found)), F.length).alias("gap"), found.alias("run"))
     start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
@@ -135,7 +135,7 @@ def random_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["run"])
-        secret = F.when(x["run"].rlike("[0-9]"), _ratio(x["run"], ratios) > threshold).otherwise(F.lit(False))
+        secret = F.when(x["run"].rlike("[0-9]") & x["run"].rlike("[A-Za-z]"), _ratio(x["run"], ratios) > threshold).otherwise(F.lit(False))
         return F.struct(end.alias("at"), F.when(secret, F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(3).alias("kind"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
