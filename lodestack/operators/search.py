@@ -6,8 +6,8 @@ import base64
 import json
 from collections import OrderedDict
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,15 +19,20 @@ from ..functions.analysis import fold
 from ..functions.values import element_type, extract, typed, values
 from ..plans.compiler import Compiler, safe
 from ..plans.config import DATE_HANDLING, ConfigError, FieldConfig, IndexConfig
+from ..plans.postings import Postings, PostingsCompiler
 
 
 @dataclass
 class Index:
-    """Stored documents with their settings. ``version`` changes with the documents and empties the result cache."""
+    """Stored documents with their settings. ``version`` changes with the documents and empties the result cache.
+
+    With ``inverted`` tables, searches of their fields read postings instead of texts.
+    """
 
     config: IndexConfig
     docs: DataFrame
     version: int = 0
+    inverted: Postings | None = None
 
     def __post_init__(self) -> None:
         if self.config.unique_id not in self.docs.columns:
@@ -87,10 +92,14 @@ class Index:
         return self.docs.select(self.shard().alias("shard")).rollup("shard").agg(F.count("*").alias("count"))
 
     def postings(self, name: str) -> DataFrame:
-        """(unique_id, term, tf, positions) of an index field, to be written once and searched often."""
-        tokens = Compiler(self.config, self.docs).expression(name)
-        rows = self.docs.select(self.uid.alias("unique_id"), F.posexplode(tokens).alias("pos", "term")).where("term is not null")
-        return rows.groupBy("unique_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+        """(unique_id, term, tf, positions) of an index field."""
+        rows = (self.inverted or Postings.of(self.config, self.docs, [name])).rows.where(F.col("field") == name)
+        return rows.select(F.col("__id").cast("string").alias("unique_id"), "term", "tf", "positions")
+
+    def invert(self, path: str, *names: str) -> Index:
+        """This index over inverted tables of the fields, all texts if none is named, written below ``path``."""
+        every = names or [n for f in self.config.fields if f.type == "STRING" for n in f.index_as]
+        return replace(self, inverted=Postings.of(self.config, self.docs, list(every)).write(path))
 
 
 @dataclass
@@ -184,7 +193,8 @@ class Search:
         self.index, self.query = index, query
         config, docs = index.config, index.docs
         shared: dict[str, Column] = {}
-        build = lambda **o: Compiler(config, docs, tokens=shared, similarity=query.similarity, **o)
+        kind = Compiler if index.inverted is None else partial(PostingsCompiler, index.inverted)
+        build = lambda **o: kind(config, docs, tokens=shared, similarity=query.similarity, **o)
         main = build(query_fields=dict(query.query_fields) or None, default_and=query.default_and, mm=query.mm, dismax=query.dismax, tie=query.tie)
         main._explicit = bool(query.query_fields)
         self.main = main.compile(query.q)
@@ -215,11 +225,17 @@ class Search:
         """All matching documents, whole."""
         return self._frame().select(*(F.col(f"`{c}`") for c in self.index.docs.columns))
 
-    def _frame(self) -> DataFrame:
-        return self.compilers[0].with_tokens(self.index.docs).where(self.match)
+    def _frame(self, whole: bool = True) -> DataFrame:
+        return self.compilers[0].with_tokens(self.index.docs, whole).where(self.match)
+
+    def _needs_docs(self) -> bool:
+        """Whether the matches' ids and scores need more than postings."""
+        if self.index.inverted is None or self.query.drill_downs or self.query.cosines or any(c.needs_docs for c in self.compilers):
+            return True
+        return self.compilers[0].holds_without_terms(self.match)
 
     def total(self) -> DataFrame:
-        return self.matches().agg(F.count("*").alias("total_hits"))
+        return self._frame(self._needs_docs()).agg(F.count("*").alias("total_hits"))
 
     def score(self) -> Column:
         out = F.lit(0.0)
@@ -241,7 +257,7 @@ class Search:
         columns += [c.alias(n) for n, c, _ in keys if n != "score"]
         if q.fetch == "FULL":
             columns.append(self._document().alias("document"))
-        return self._frame().select(*columns)
+        return self._frame(bool(q.sorts) or q.fetch == "FULL" or self._needs_docs()).select(*columns)
 
     def _document(self) -> Column:
         names = [c for c in self.index.docs.columns if (not self.query.include or c in self.query.include) and c not in self.query.mask]

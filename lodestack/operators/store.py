@@ -8,6 +8,7 @@ rename, so a failed or repeated job leaves the old generation whole.
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 
@@ -22,6 +23,14 @@ LOG = T.StructType([T.StructField("unique_id", T.StringType()), T.StructField("t
 FILES = T.StructType([T.StructField("unique_id", T.StringType()), T.StructField("filename", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("meta", T.MapType(T.StringType(), T.StringType())), T.StructField("compressed", T.BooleanType()), T.StructField("content", T.BinaryType())])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (``spark.checkpoint.dir``); a private one is set only where it is unset."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-shared-"))
+    return str(context._jsc.sc().getCheckpointDir().get())
+
+
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The row with the greatest ``order`` of each key: one aggregate, combined before the shuffle, no sort of a key's rows."""
     rest = [c for c in df.columns if c not in keys]

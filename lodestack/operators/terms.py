@@ -20,10 +20,12 @@ from .search import Index, Search
 
 def token_rows(index: Index, name: str, docs: DataFrame | None = None, analyzer: str | None = None) -> DataFrame:
     """(unique_id, term, tf) of an index field, optionally of some of its documents or with another analyzer."""
-    docs = index.docs if docs is None else docs
     found = index.config.indexed(name)
     if not found:
         raise ConfigError(f"{name} is not an indexed field")
+    if docs is None and analyzer is None and index.inverted and name in index.inverted.names:
+        return index.postings(name).drop("positions")
+    docs = index.docs if docs is None else docs
     tokens = Compiler(index.config, docs).expression(name) if analyzer is None else index.config.analyzer(analyzer).column(values(docs.schema, found[0].stored).cast("array<string>"))
     rows = docs.select(index.uid.alias("unique_id"), F.explode(tokens).alias("term")).where("term is not null")
     return rows.groupBy("unique_id", "term").agg(F.count("*").alias("tf"))
@@ -50,7 +52,6 @@ class TermsRequest:
 
 def terms(index: Index, r: TermsRequest) -> DataFrame:
     """term, doc_freq, term_freq (and score for fuzzy scans), terms ascending. Conditions on the term precede the counting."""
-    tokens = Compiler(index.config, index.docs).expression(r.field)
     wanted = F.lit(True)
     t = F.col("term")
     if r.include:
@@ -65,9 +66,13 @@ def terms(index: Index, r: TermsRequest) -> DataFrame:
             wanted = wanted & ~t.rlike(f"^(?:{r.term_filter})$")
         if r.term_match:
             wanted = wanted & t.rlike(f"^(?:{r.term_match})$")
-    rows = index.docs.select(index.uid.alias("unique_id"), F.explode(tokens).alias("term")).where("term is not null").where(wanted)
-    per_doc = rows.groupBy("unique_id", "term").agg(F.count("*").alias("tf"))
-    out = per_doc.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("term_freq"))
+    if index.inverted and r.field in index.inverted.names:
+        out = index.inverted.terms.where(F.col("field") == r.field).where(wanted).select("term", "doc_freq", "term_freq")
+    else:
+        tokens = Compiler(index.config, index.docs).expression(r.field)
+        rows = index.docs.select(index.uid.alias("unique_id"), F.explode(tokens).alias("term")).where("term is not null").where(wanted)
+        per_doc = rows.groupBy("unique_id", "term").agg(F.count("*").alias("tf"))
+        out = per_doc.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("term_freq"))
     out = out.where((F.col("doc_freq") >= r.min_doc_freq) & (F.col("term_freq") >= r.min_term_freq))
     if r.fuzzy is not None and not r.include:
         near = fuzzy_terms(out, r.fuzzy, r.edits, r.prefix, r.transpositions)

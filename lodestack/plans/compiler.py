@@ -109,7 +109,7 @@ class Compiler:
             self._tokens[name] = self.expression(name)
         return F.col(f"`__tokens {name}`")
 
-    def with_tokens(self, docs: DataFrame) -> DataFrame:
+    def with_tokens(self, docs: DataFrame, whole: bool = True) -> DataFrame:
         return docs.withColumns({f"__tokens {name}": tokens for name, tokens in self._tokens.items()}) if self._tokens else docs
 
     def length(self, name: str) -> Column:
@@ -239,9 +239,22 @@ class Compiler:
         return Scored(match, [m for g in groups for m in g.parts])
 
     def _term(self, name: str, term: str, boost: float) -> Scored:
-        tokens = self.tokens(name)
-        freq, match = F.size(F.filter(tokens, lambda t: t == term)), safe(F.array_contains(tokens, term))
-        return self._leaf(Leaf(name, freq, match, [term], boost))
+        return self._leaf(Leaf(name, self._freq(name, term), self._has(name, [term]), [term], boost))
+
+    def _freq(self, name: str, term: str) -> Column:
+        return F.size(F.filter(self.tokens(name), lambda t: t == term))
+
+    def _has(self, name: str, terms: list[str]) -> Column:
+        """Whether the field has any of the terms."""
+        if len(terms) == 1:
+            return safe(F.array_contains(self.tokens(name), terms[0]))
+        return safe(F.arrays_overlap(self.tokens(name), F.array(*map(F.lit, terms))))
+
+    def _positions(self, name: str, term: str) -> Column:
+        return F.filter(F.transform(self.tokens(name), lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull())
+
+    def _at(self, name: str, position: Column, term: str) -> Column:
+        return F.get(self.tokens(name), position) == term
 
     def _leaf(self, leaf: Leaf) -> Scored:
         self.leaves.append(leaf)
@@ -263,11 +276,9 @@ class Compiler:
             return Scored(F.lit(False))
         if len(wanted) == 1:
             return self._term(name, wanted[0][1], boost)
-        first, column = wanted[0][0], self.tokens(name)
-        at = lambda t: F.filter(F.transform(column, lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
-        starts = at(wanted[0][1])
+        first, at = wanted[0][0], lambda t: self._positions(name, t)
         if node.slop == 0:
-            hits = F.filter(starts, lambda p: _all(F.get(column, p + (i - first)) == t for i, t in wanted[1:]))
+            hits = F.filter(at(wanted[0][1]), lambda p: _all(self._at(name, p + (i - first), t) for i, t in wanted[1:]))
         else:
             # Sloppy: the positions, less their places in the phrase, lie within the slop of each other.
             places = F.array(*(_less(at(t), i) for i, t in wanted))
@@ -299,10 +310,9 @@ class Compiler:
         found = fuzzy_terms(self.term_list(name), text, node.edits).orderBy("distance", "term").limit(FUZZY_EXPANSIONS).collect()
         if not found:
             return Scored(F.lit(False))
-        tokens = self.tokens(name)
-        match = safe(F.arrays_overlap(tokens, F.array(*(F.lit(r["term"]) for r in found))))
+        match = self._has(name, [r["term"] for r in found])
         weights = [(r["term"], max(0.0, 1 - r["distance"] / min(len(r["term"]), len(text)))) for r in found]
-        score = sum((F.when(F.array_contains(tokens, t), F.lit(w * boost)).otherwise(F.lit(0.0)) for t, w in weights), F.lit(0.0))
+        score = sum((F.when(self._has(name, [t]), F.lit(w * boost)).otherwise(F.lit(0.0)) for t, w in weights), F.lit(0.0))
         return Scored(match, [lambda _: score])
 
     def _exists(self, name: str) -> Column:
@@ -338,11 +348,12 @@ class Compiler:
     def term_list(self, name: str) -> DataFrame:
         return self.docs.select(F.explode(self.expression(name)).alias("term")).where("term is not null").distinct()
 
-    def statistics(self, docs: DataFrame) -> Statistics:
+    def statistics(self, docs: DataFrame, leaves: list[Leaf] | None = None) -> Statistics:
         """One aggregate over all documents: a row as wide as the query has terms."""
-        names = sorted({leaf.name for leaf in self.leaves if self.similarity_of(leaf.name) in ("BM25", "TFIDF")})
-        wanted = sorted({(leaf.name, t) for leaf in self.leaves for t in leaf.terms if leaf.name in names})
-        out = Statistics({leaf.name: 0 for leaf in self.leaves}, {leaf.name: 0 for leaf in self.leaves}, {(leaf.name, t): 0 for leaf in self.leaves for t in leaf.terms})
+        leaves = self.leaves if leaves is None else leaves
+        names = sorted({leaf.name for leaf in leaves if self.similarity_of(leaf.name) in ("BM25", "TFIDF")})
+        wanted = sorted({(leaf.name, t) for leaf in leaves for t in leaf.terms if leaf.name in names})
+        out = Statistics({leaf.name: 0 for leaf in leaves}, {leaf.name: 0 for leaf in leaves}, {(leaf.name, t): 0 for leaf in leaves for t in leaf.terms})
         if not names:
             return out
         # The field's tokens are made once per row, below the aggregate.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from .functions import vector
 from .functions.analysis import STOP_WORDS, WORD, Analyzer
 from .functions.values import extract
 from .operators import store, terms
+from .operators.store import shared_folder
 from .operators.search import FieldConfig, Index, IndexConfig, Query, Search, hits, search_facets
 from .plans.config import Projection
 from .sources import formats
@@ -47,8 +49,8 @@ def parts(spark: SparkSession, sf_dir: str) -> Index:
 
 
 def events(spark: SparkSession, sf_dir: str) -> Index:
-    """Every third value is missing."""
-    docs = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    """Clicks have no value."""
+    docs = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_type") != "click", F.col("value")))
     fields = [FieldConfig("event_type").index("lcKeyword").facet(), FieldConfig("value", "NUMERIC_DOUBLE").index().sort(), FieldConfig("ts", "DATE").index().facet("day").sort(), FieldConfig("user_id", "NUMERIC_LONG").index().sort()]
     return Index(IndexConfig("events", fields, unique_id="event_id"), docs)
 
@@ -131,10 +133,10 @@ plain_match("date_range", orders, "o_orderdate:[1996-01-01 TO 1996-03-31]", "ord
 plain_match("date_range_exclusive", orders, "o_orderdate:{1996-01-01 TO 1996-01-03}", "orders", "o_orderkey", "o_orderdate > TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-01-03'")
 plain_match("date_term", orders, "o_orderdate:1997-05-28", "orders", "o_orderkey", "o_orderdate = TIMESTAMP '1997-05-28'")
 plain_match("date_instant", events, 'ts:["2024-01-01T06:00:00Z" TO *]', "events", "event_id", "ts >= TIMESTAMP '2024-01-01 06:00:00'")
-plain_match("field_exists", events, "value:*", "events", "event_id", "event_id % 3 <> 0 AND value IS NOT NULL")
-plain_match("field_missing", events, "-value:*", "events", "event_id", "NOT (event_id % 3 <> 0 AND value IS NOT NULL)")
+plain_match("field_exists", events, "value:*", "events", "event_id", "event_type <> 'click' AND value IS NOT NULL")
+plain_match("field_missing", events, "-value:*", "events", "event_id", "NOT (event_type <> 'click' AND value IS NOT NULL)")
 plain_match("match_all", orders, "*:*", "orders", "o_orderkey", "true")
-plain_match("empty_with_fields", events, lambda: Query("").fields("value"), "events", "event_id", "event_id % 3 <> 0 AND value IS NOT NULL")
+plain_match("empty_with_fields", events, lambda: Query("").fields("value"), "events", "event_id", "event_type <> 'click' AND value IS NOT NULL")
 plain_match("filter_query_chain", orders, lambda: Query("o_orderstatus:f").filter("o_totalprice:[* TO 50000]", "-o_orderpriority:5-low"), "orders", "o_orderkey", "o_orderstatus = 'F' AND o_totalprice <= 50000 AND o_orderpriority <> '5-LOW'")
 plain_match("drilldown_or_and", orders, lambda: Query().drill("o_orderpriority", "1-URGENT", "2-HIGH").drill("o_orderstatus", "P"), "orders", "o_orderkey", "o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'P'")
 plain_match("drilldown_date", orders, lambda: Query().drill("day", "1997-05-28"), "orders", "o_orderkey", "o_orderdate::DATE = DATE '1997-05-28'")
@@ -172,6 +174,29 @@ top("must_should_topk", lambda: Query("+lang:en from than").similar("lang", "CON
 top("scored_query_topk", lambda: Query("from").score_also("than"), has("from", "than", joined=" AND "), f"{sql_term('from', 'BM25')} + {sql_term('than', 'BM25')}")
 top("constant_multi_term_topk", lambda: Query("from thon*"), f"{has('from')} OR len(list_filter(terms, lambda t: starts_with(t, 'thon'))) > 0", f"{sql_term('from', 'BM25')} + (len(list_filter(terms, lambda t: starts_with(t, 'thon'))) > 0)::INT")
 
+# The same searches over inverted tables
+
+
+def inverted(spark: SparkSession, sf_dir: str) -> Index:
+    return documents(spark, sf_dir).invert(f"{shared_folder(spark)}/inverted-{uuid4().hex}", "text")
+
+
+def inverted_top(name: str, like: str, query: Callable[[], Query]) -> None:
+    register(name, lambda spark, sf_dir: hits(inverted(spark, sf_dir), query()).select("rank", "unique_id", F.round("score", 6).alias("score")), CATALOGUE[like][1])
+
+
+def inverted_match(name: str, like: str, query: Callable[[], Query] | str) -> None:
+    matching(name, inverted, query, CATALOGUE[like][1])
+
+
+inverted_top("inverted_bm25_topk", "bm25_topk", lambda: Query("from than thon"))
+inverted_top("inverted_constant_multi_term_topk", "constant_multi_term_topk", lambda: Query("from thon*"))
+inverted_match("inverted_bool_and_or_not", "bool_and_or_not", "+from than -ther")
+inverted_match("inverted_pure_negative", "pure_negative", "-from")
+inverted_match("inverted_phrase_match", "phrase_match", '"anea eriner thanea"')
+inverted_match("inverted_phrase_slop", "phrase_slop", '"de le"~2')
+inverted_match("inverted_fuzzy_match", "fuzzy_match", "frmo~1")
+
 PARTS = f"""
 p AS (SELECT p_partkey::VARCHAR AS unique_id, list_transform(regexp_extract_all(p_name, '{SQL_WORD}'), lambda t: lower(t)) AS a, list_transform(regexp_extract_all(p_type, '{SQL_WORD}'), lambda t: lower(t)) AS b FROM part),
 st AS (SELECT count(*)::DOUBLE AS n, sum(len(a)) / count(*)::DOUBLE AS ma, sum(len(b)) / count(*)::DOUBLE AS mb FROM p)"""
@@ -231,7 +256,7 @@ page("sort_multi_key", parts, lambda: Query(amount=20).sort("p_size", True).sort
 page("sort_lowercase", parts, lambda: Query(amount=20).sort("p_name"), sql_page("p_partkey", "lower(p_name) AS name", "part", "lower(p_name)", 20), {"s0": "name"})
 page("sort_multivalued_min", parts, lambda: Query(amount=20).sort("words"), sql_page("p_partkey", "least(string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]) AS word", "part", "least(string_split(p_name, ' ')[1], string_split(p_name, ' ')[2])", 20), {"s0": "word"})
 page("sort_multivalued_max", parts, lambda: Query(amount=20).sort("words", True), sql_page("p_partkey", "greatest(string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]) AS word", "part", "greatest(string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]) DESC", 20), {"s0": "word"})
-page("sort_missing_values", events, lambda: Query(amount=20).sort("value").sort("ts", True), sql_page("event_id", "CASE WHEN event_id % 3 <> 0 THEN value ELSE 0 END AS value", "events", "CASE WHEN event_id % 3 <> 0 THEN value ELSE 0 END, ts DESC", 20), {"s0": "value"})
+page("sort_missing_values", events, lambda: Query(amount=20).sort("value").sort("ts", True), sql_page("event_id", "CASE WHEN event_type <> 'click' THEN value ELSE 0 END AS value", "events", "CASE WHEN event_type <> 'click' THEN value ELSE 0 END, ts DESC", 20), {"s0": "value"})
 page("sort_date", orders, lambda: Query("o_orderstatus:p", amount=20).sort("o_orderdate", True), sql_page("o_orderkey", "o_orderdate", "orders WHERE o_orderstatus = 'P'", "o_orderdate DESC", 20), {"s0": "o_orderdate"})
 page("offset_limit", orders, lambda: Query(amount=15, start=30).sort("o_totalprice", True), sql_page("o_orderkey", "o_totalprice", "orders", "o_totalprice DESC", 15, 30), {"s0": "o_totalprice"})
 
@@ -271,15 +296,15 @@ register("terms_fuzzy", lambda spark, sf_dir: terms.terms(documents(spark, sf_di
 def analysed(kind: Callable[..., DataFrame], r: terms.AnalysisRequest, **options) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         index = documents(spark, sf_dir)
-        out = kind(index, Search(index, Query("n_chars:[100 TO 900]")).matches(), r, **options)
+        out = kind(index, Search(index, Query("from AND than")).matches(), r, **options)
         return out.withColumn("score", F.round("score", 6))
 
     return run
 
 
 def sql_analysis(tail: str, keep: str = "true") -> str:
-    return f"""WITH {TOKENS}, n AS (SELECT count(*)::DOUBLE AS n FROM d), w AS (SELECT unique_id, n_chars, unnest(terms) AS term FROM d),
-f AS (SELECT term, count(DISTINCT unique_id) AS df FROM w GROUP BY term), m AS (SELECT unique_id, term, count(*) AS tf FROM w WHERE n_chars BETWEEN 100 AND 900 GROUP BY ALL),
+    return f"""WITH {TOKENS}, n AS (SELECT count(*)::DOUBLE AS n FROM d), w AS (SELECT unique_id, {has('from', 'than', joined=' AND ')} AS hit, unnest(terms) AS term FROM d),
+f AS (SELECT term, count(DISTINCT unique_id) AS df FROM w GROUP BY term), m AS (SELECT unique_id, term, count(*) AS tf FROM w WHERE hit GROUP BY ALL),
 x AS (SELECT unique_id, term, tf, df, sqrt(tf::DOUBLE) * (1 + ln((n + 1) / (df + 1))) AS score FROM m JOIN f USING (term), n WHERE {keep}),
 y AS (SELECT unique_id, term, tf, df, round(score, 6) AS score, (row_number() OVER (PARTITION BY unique_id ORDER BY x.score DESC, term))::INT AS place FROM x), {tail}"""
 

@@ -102,6 +102,23 @@ def test_scores_by_hand(tiny):
     assert {r["unique_id"]: r["score"] for r in hits(tiny, Query("red").similar("body", "TFIDF")).collect()}["b"] == pytest.approx(math.sqrt(2) * (1 + math.log(4 / 3)) / math.sqrt(3))
 
 
+def test_inverted_tables_answer_alike(spark, tiny, tmp_path):
+    inverted = tiny.invert(str(tmp_path / "inverted"), "body")
+    asked = ["red fox", "+red +dog", "red AND NOT dog", "-red", '"red fox"', '"fox over"', '"red jumps"~1', "ju*", "f?x", "/(lazy|blue)/", "bleu~1", "body:[blue TO fox}", "n:*", "-n:*", "*:*", "(red AND jumps) OR blue", "red^3 n:[2 TO *]", "nosuchword", '"the"', "red -n:1"]
+    requests = [Query(q) for q in asked] + [Query("red jumps blue", mm=2), Query("red fox", default_and=True), Query("fox").filter("n:[2 TO *]"), Query("fox").score_also("red"), Query("fox").sort("n", True), Query("red fox").similar("*", "TFIDF"), Query("fox").filter("-dog").show("n"), Query("").fields("n")]
+    for q in requests:
+        get = lambda i: [(r["unique_id"], None if r["score"] is None else round(r["score"], 9)) for r in hits(i, q).orderBy("rank").collect()]  # noqa: B023, E731
+        assert get(inverted) == get(tiny), q
+        assert Search(inverted, q).total().first()[0] == Search(tiny, q).total().first()[0], q
+    for r in (terms.TermsRequest("body"), terms.TermsRequest("body", start="f", end="s"), terms.TermsRequest("body", fuzzy="rad", edits=1)):
+        assert terms.terms(inverted, r).collect() == terms.terms(tiny, r).collect()
+    assert sorted(inverted.postings("body").collect()) == sorted(tiny.postings("body").collect())
+    plan = hits(inverted, Query("red fox"))._jdf.queryExecution().toString()
+    assert "EqualTo(term,red)" in plan and "Join" not in plan  # only the terms' postings are read
+    empty = Index(tiny.config, tiny.docs.limit(0)).invert(str(tmp_path / "empty"), "body")
+    assert hits(empty, Query("red")).count() == 0 and Search(empty, Query("-red")).total().first()[0] == 0
+
+
 def test_text_queries(tiny):
     cases = {
         "red fox": "abc", "+red +dog": "a", "red AND NOT dog": "b", "-red": "c", '"red fox"': "ab", '"fox over"': "", '"lazy dog"': "a", '"red jumps"~1': "a", "ju*": "a", "f?x": "abc",
