@@ -96,6 +96,8 @@ def _links(values: np.ndarray, at: int, ring: list[tuple[int, int]], radius: int
     return out
 
 
+#: Parts into which the join by component deals each component.
+SALTS = 16
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -149,9 +151,12 @@ def duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     fps = checkpointed(fingerprints(docs, words))
     groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(groups.select("fp"), radius))
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = checkpointed(named.join(best, "root").select("fp", "component_id"))
+    rooted = checkpointed(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+    # One component may hold a third of the linked fingerprints, so the join by root is dealt over salts as well.
+    linked = rooted.where("root is not null").withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS)))
+    best = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.join(best, ["root", "salt"]).select("fp", "component_id")
+    named = checkpointed(named.unionByName(rooted.where("root is null").select("fp", F.col("first_id").alias("component_id"))))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
