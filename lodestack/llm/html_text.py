@@ -6,8 +6,11 @@ comments). A line's weight is the length of its text without white space; lines
 
 Over the lines' weights a window of WINDOW lines slides. Text begins at the surge point, where a window's sum first reaches the
 threshold (or the page's highest sum, if that is lower), and ends at the dive point, after the last such window. All weighing
-lines between are kept, in page order. If the page marks an article or main part, its lines are the whole of it: the text begins
-and ends there.
+lines between are kept, in page order.
+
+The windows run over every page; an article or main part that the page marks only changes weights. Its lines weigh MARKED more,
+so that three in a row are dense and short paragraphs and lists at its ends stay; lines outside it weigh an OUTSIDE-th, and are
+kept only if they reach the threshold by themselves.
 
 Defined results: null or empty html gives empty text; a page cut off in a tag loses that tag, one cut off in a script what
 follows; repeated rows stay; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +29,8 @@ from pyspark.sql import types as T
 from .common import map_arrow, slices
 
 WINDOW, THRESHOLD = 3, 80
+#: What a line in a marked main part weighs more, and by what a line outside the marked part is divided.
+MARKED, OUTSIDE = -(-THRESHOLD // WINDOW), 4
 #: Least share of a line's text in links that makes it a menu.
 LINKS = 0.6
 #: Elements whose text is never shown as text.
@@ -139,15 +144,16 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(html: str) -> str:
     found = [x for x in lines(html) if not x[2]] if html else []
     marked = any(main for _, _, _, main in found)
-    found = [x for x in found if x[3] or not marked]
-    sizes = [len(text) - text.count(" ") for text, *_ in found]
-    weights = [size if main or linked < LINKS * size else 0 for size, (_, linked, _, main) in zip(sizes, found, strict=True)]
+    weights = []
+    for text, linked, _, main in found:
+        size = len(text) - text.count(" ")
+        weights.append(size + MARKED if main else 0 if linked >= LINKS * size else size // OUTSIDE if marked else size)
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     if not sums or not max(sums):
         return ""
     dense = [i for i, total in enumerate(sums) if total >= min(THRESHOLD, max(sums))]
-    first, last = (dense[0], dense[-1] + WINDOW) if not marked else (0, len(found))
-    return " ".join(found[i][0] for i in range(first, min(last, len(found))) if weights[i])
+    kept = range(dense[0], min(dense[-1] + WINDOW, len(found)))
+    return " ".join(found[i][0] for i in kept if weights[i] >= (THRESHOLD if marked and not found[i][3] else 1))
 
 
 RESULT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -32,6 +32,15 @@ def test_layouts():
         assert html_text.main_text(html) == want
 
 
+def test_windows_decide_on_marked_pages():
+    body = f"<div><p>{LONG * 5}</p><p>{LONG * 6}</p></div>"
+    assert html_text.main_text(f"<main><h1>Head</h1></main>{body}") == f"Head {LONG * 5} {LONG * 6}"  # the mark misses the body
+    lists = "<ul><li>one</li><li>two</li><li>three</li><li>four</li></ul>"
+    assert html_text.main_text(f"<div>Tagline</div><article>{lists}<p>{LONG}</p>{lists}</article><div>Tagline</div>") == f"one two three four {LONG} one two three four"
+    beside = "<div>Up</div><div>Down</div><div>Left</div>"
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>{beside}<article>Tiny</article>{beside}") == LONG  # past the dive point
+
+
 def test_pages_query(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r["page_id"]: r for r in rows(html_text.extract(pages))}
