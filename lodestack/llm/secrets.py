@@ -1,9 +1,11 @@
 """Operator 3: secret scans, DataFrame and SQL functions only.
 
-Three patterns find the base spans. Beyond them, runs of token characters that hold a digit and a letter are candidates; two first-order
+Three patterns find the base spans. Beyond them, all runs of at least 16 token characters are candidates; two first-order
 Markov models of characters, one of random strings and one of ordinary identifiers, are compared by the log-likelihood ratio
-of the run. The models come from labelled samples: generated random strings (label 1); a list of ordinary identifiers, and the words of a
-bounded sample of documents outside base spans and candidates (label 0).
+of the run. Runs without a digit or without a letter must exceed a ratio per character as well, since ordinary identifiers and
+numbers are among them; a character repeated more than twice in a row counts twice. The models come from labelled samples:
+generated random strings (label 1); a list of ordinary identifiers, and the words of a bounded sample of documents outside base
+spans and candidates (label 0).
 
 Positions are counted in code points: the parts between matches (``split``) and the matches alternate, so running lengths
 give every span without a UDF.
@@ -54,6 +56,8 @@ update upload user_id utf8 validation value variable vector version video visibl
 """
 #: A run is a secret if its log-likelihood ratio exceeds this many nats.
 THRESHOLD = 12.0
+#: What the ratio of a run without a digit, or without a letter, must exceed per character too.
+PER_CHARACTER = 1.5
 
 
 def _spans(text: Column, pattern: str, kind: int, group: Column | None, least: int) -> Column:
@@ -94,7 +98,7 @@ def samples(docs: DataFrame) -> DataFrame:
     some = texts(docs).where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / 2.0**63 <= share)
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("text"), ASSIGN, " "), ACCESS, " "), "[0-9a-f]{24,}", " ")
     words = some.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z0-9+/=_-]{4,}"), F.lit(0))).alias("word"))
-    return made.unionByName(known).unionByName(words.where(~(F.col("word").rlike("[0-9]") & F.col("word").rlike(RUN))))  # candidates have no label
+    return made.unionByName(known).unionByName(words.where(~F.col("word").rlike(RUN)))  # candidates have no label
 
 
 def train(labelled: DataFrame, smoothing: float = 0.1) -> list[float]:
@@ -127,7 +131,7 @@ def _ratio(run: Column, ratios: list[float]) -> Column:
 
 
 def random_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
-    """Spans of runs with a digit and a letter that the models call random."""
+    """Spans of runs that the models call random."""
     found, between = F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), F.split(text, RUN, -1)
     pairs = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(found)), F.length).alias("gap"), found.alias("run"))
     start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
@@ -135,11 +139,13 @@ def random_spans(text: Column, ratios: list[float], threshold: float = THRESHOLD
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + F.length(x["run"])
-        secret = F.when(x["run"].rlike("[0-9]") & x["run"].rlike("[A-Za-z]"), _ratio(x["run"], ratios) > threshold).otherwise(F.lit(False))
+        judged = F.regexp_replace(x["run"], r"(.)\1{2,}", "$1$1")
+        mixed = x["run"].rlike("[0-9]") & x["run"].rlike("[A-Za-z]")
+        secret = _ratio(judged, ratios) > F.greatest(F.lit(threshold), F.when(mixed, F.lit(0.0)).otherwise(PER_CHARACTER * F.length(judged)))
         return F.struct(end.alias("at"), F.when(secret, F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(3).alias("kind"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(r"(?=[A-Za-z0-9+/=_-]{16})[A-Za-z+/=_-]*[0-9]"), spans).otherwise(_none())
+    return F.when(text.rlike(RUN), spans).otherwise(_none())
 
 
 def _with_spans(docs: DataFrame, text: str, ratios: list[float], name: str) -> DataFrame:

@@ -130,6 +130,20 @@ def test_secret_scan(spark, documents, odd, nothing):
     assert clean[3] == "key [secret] here" and "abcdef'" not in clean[1] and secrets.redact(odd).columns == odd.columns
 
 
+def test_secret_scan_judges_runs_without_digits(spark, documents):
+    import random
+    import string
+
+    r = random.Random(7)
+    made = [(1000 + i, "key " + "".join(r.choice(string.ascii_letters) for _ in range(20)) + " end") for i in range(50)]
+    plain = ["=" * 40, "-" * 40, "A" * 40, "language_code_last_modified", "1111222233334444", "internationalization"]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(made + [(2000 + i, f"key {x} end") for i, x in enumerate(plain)], "doc_id long, text string"))
+    spans = {x["doc_id"]: x["spans"] for x in rows(secrets.scan(docs))}
+    assert all(spans[i] == "random:4:24" for i, _ in made)
+    assert all(spans[2000 + i] == "" for i in range(len(plain)))
+    assert all(x["text"] == "key [secret] end" for x in rows(secrets.redact(docs)) if 1000 <= x["doc_id"] < 2000)
+
+
 def test_mixing(spark, documents, odd, nothing):
     got = rows(mixing.mix(documents))
     source = {r["doc_id"]: r["source"] for r in rows(documents)}
