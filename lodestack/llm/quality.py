@@ -120,6 +120,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     total = known.count()
     if total > fit_rows:
         known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / 2.0**63 < fit_rows / total)
+        total = known.count()  # the ridge counts the rows of the normal equations
     rng = np.random.default_rng(seed)
     frequency, phase = rng.normal(0, width, (N_STATS, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
     model = Model(np.zeros(N_STATS), np.ones(N_STATS), frequency, phase, np.zeros(FEATURES + 1), np.array([0.0]), np.array([1.0]))

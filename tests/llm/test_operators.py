@@ -175,6 +175,19 @@ def test_quality(spark, small, documents, odd, nothing):
     assert v.tolist() == [0, 0.5, 1] and x.tolist()[:2] == [0, 1.5]
 
 
+def test_quality_penalty_follows_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.document_statistics(docs)
+    n = 40
+    known = stats.where(~quality.held_out_column()).join(marks.select("doc_id"), "doc_id").select("doc_id").distinct()
+    sample = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / 2.0**63 < n / known.count())
+    assert 0 < sample.count() < known.count()
+    a, b = quality.fit(stats, marks, fit_rows=n), quality.fit(stats, marks.join(sample, "doc_id"))
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and np.allclose(a.mean, b.mean)
+
+
 def brute_dedup(docs):
     def fp(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
