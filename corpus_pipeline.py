@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` wr
 share and reads again as the next stage's documents. All stages but the last return the columns of documents:
 
 * quality: rows that the classifier rejects go.
-* near_duplicates: of each SimHash component the rows with its smallest doc_id stay.
+* near_duplicates: of each SimHash component one row with its smallest doc_id stays, also of repeated rows and rows without id.
 * secrets: spans that the scan finds are replaced in the text.
 * mix: each row stays as often as the source mix takes the whole document.
 * tokens: adds the token ids; their decoded text is the text.
@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.one_of_each(docs)
+    return simhash_dedup.one_row_of_each(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary files are looked up when no path is given.
@@ -38,6 +38,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(columns: list[str]) -> Column:
+    """Hash of a row's whole content; only equal rows share it, nulls included."""
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000, max_rows: int = 512, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with about ``max_chars`` bytes of text (one longer text stays whole), and their texts."""
     for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh
+from .common import checkpointed, fresh, row_key
 
 #: Rows that a key range holds on average.
 RANGE_ROWS = 2000
@@ -58,18 +58,20 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", "rank", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
+def _prepared(docs: DataFrame, more: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     key = -F.ln(uniform(F.col("doc_id"))) / F.col("weight")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality_weight(text).alias("weight")).withColumn("key", key)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality_weight(text).alias("weight"), *more).withColumn("key", key)
 
 
-def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, whole: bool = False, row: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) of every row.
 
     ``whole``: documents are taken wholly; the one in which the budget ends is taken if at least half of it fits.
+    ``row``: a column of ``docs`` that tells rows apart, added to the result; it orders rows of one id and size.
     """
-    per = checkpointed(_prepared(docs))
+    more = [row] if row else []
+    per = checkpointed(_prepared(docs, more))
     by_source = per.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("mean"))
     goal = targets(by_source.select("source", "source_size")).withColumnRenamed("source", "s")
     goal = checkpointed(goal.join(by_source.select(F.col("source").alias("s2"), "n", "mean"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2"))
@@ -78,22 +80,24 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     rows = per.join(goal, per["source"].eqNullSafe(goal["s"])).withColumn("range", at)
-    rows = rows.select("doc_id", "size", "key", "rank", "range", "source_size", "target", epochs.alias("epochs")).withColumn("budget", budget)
+    rows = rows.select("doc_id", "size", "key", "rank", "range", "source_size", "target", epochs.alias("epochs"), *more).withColumn("budget", budget)
     sums = rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range"))
     offsets = sums.select(F.col("rank").alias("r"), F.col("range").alias("g"), (F.sum("in_range").over(W.partitionBy("rank").orderBy("range")) - F.col("in_range")).alias("offset"))
     rows = rows.join(offsets, (F.col("rank") == F.col("r")) & (F.col("range") == F.col("g")))
-    inside = F.sum("size").over(W.partitionBy("rank", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.sum("size").over(W.partitionBy("rank", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", *more).rowsBetween(W.unboundedPreceding, 0))
     left = F.col("budget") - F.col("offset") - inside + F.col("size")  # words of the budget before this document
     part = F.when(left * 2 >= F.col("size"), F.when(left > 0, F.col("size")).otherwise(F.lit(0))).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least(left, F.col("size")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *more)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes the whole document; its columns."""
-    times, key, copy = fresh(docs, "_times"), fresh(docs, "_id"), fresh(docs, "_copy")
-    taken = mix(docs, whole=True).groupBy(F.col("doc_id").alias(key)).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0))).cast("int").alias(times)).where(F.col(times) > 0)
-    joined = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken[key]))
-    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*(docs[c] for c in docs.columns))
+    """Rows of ``docs``, each as often as the mix takes the whole document; its columns. Equal rows are one with all their times."""
+    times, key, copy = fresh(docs, "_times"), fresh(docs, "_row"), fresh(docs, "_copy")
+    keyed = docs.withColumn(key, row_key(docs.columns))
+    each = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
+    taken = mix(keyed, whole=True, row=key).groupBy(key).agg(F.sum(each).cast("int").alias(times)).where(F.col(times) > 0)
+    joined = keyed.join(taken, key).dropDuplicates([key])
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 ORACLE = r"""

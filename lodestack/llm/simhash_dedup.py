@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, map_arrow, slices, texts
+from .common import checkpointed, fresh, map_arrow, row_key, slices, texts
 from .components import components
 
 #: Shingles whose bits are counted at a time, so that very long texts need bounded memory.
@@ -166,3 +166,26 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     found = duplicates(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     kept = docs.join(found, docs["doc_id"].cast("long") == found[key], "left_semi")
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+
+
+KEYED = T.StructType([*FINGERPRINTS, T.StructField("row", T.LongType())])
+
+
+def one_row_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` of each component: the smallest doc_id (null last), then the smallest row key. Of equal rows one stays,
+    and rows without id compete like any other."""
+    key = fresh(docs, "_row")
+    keyed = docs.withColumn(key, row_key(docs.columns))
+
+    def run(batches):
+        for part, values in slices(batches):
+            fps = np.array([fingerprint(t, words) for t in values], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps), part.column("row")], KEYED.names)
+
+    rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(key).alias("row"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = checkpointed(map_arrow(rows, run, KEYED).groupBy("fp").agg(F.min(place).alias("first")))
+    roots = components(links(groups.select("fp"), radius))
+    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)

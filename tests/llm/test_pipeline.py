@@ -49,6 +49,25 @@ def test_stages(spark, small, tmp_path):
     assert all(np.array(r["token_ids"], "<u4").tobytes() == b"".join(encoder.encode(r["text"])) for r in rows(after))
 
 
+def test_repeated_rows_and_rows_without_id(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    some = docs.limit(1)
+    copies = some.selectExpr("doc_id", "text", "lang", "source", "n_chars", "explode(sequence(1, 50))").drop("col")
+    lost = some.selectExpr("cast(null as long) doc_id", "'no words like these ' || text text", "lang", "source", "n_chars", "explode(sequence(1, 50))").drop("col")
+    full = docs.unionByName(copies).unionByName(lost)
+    left = [r["doc_id"] for r in rows(P.dedup_stage(spark, full, small))]
+    assert len(left) == len(set(left))  # one row of each id, one of the copies without id at most
+    assert len(left) == len({(r["component_id"]) for r in rows(simhash_dedup.duplicates(full))})
+
+    odd = spark.createDataFrame([(None if i % 2 else 7, " ".join(["w"] * (i + 1)), "abc"[i % 3], "en", 1) for i in range(90)], "doc_id long, text string, source string, lang string, n_chars int")
+    goal, biggest = {r["source_size"]: r["target"] for r in rows(mixing.mix(odd))}, 90
+    words = {}
+    for r in rows(mixing.mixed_documents(odd)):
+        words[r["source"]] = words.get(r["source"], 0) + len(r["text"].split())
+    size = {s: sum(i + 1 for i in range(90) if "abc"[i % 3] == s) for s in "abc"}
+    assert all(abs(words[s] - goal[size[s]]) <= biggest for s in "abc")
+
+
 def test_run_on_odd_tables(spark, small, odd, nothing, tmp_path):
     spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/a/labels.parquet")
     odd.write.parquet(f"{tmp_path}/a/documents.parquet")
