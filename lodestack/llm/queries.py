@@ -47,7 +47,7 @@ def op9_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_index.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return simhash_index.edits_and_neighbours(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

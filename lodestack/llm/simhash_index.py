@@ -6,6 +6,7 @@ bits; a bit is set where the votes are positive. Likeness is 1 - differing bits
 
 ``near_pairs`` finds all fingerprints within a Hamming radius by permuted block tables: 64 bits are cut into ``radius`` + 2
 blocks, every choice of two blocks that may agree is one table whose key these blocks lead, and rows of equal keys are compared.
+``first_near`` uses the same tables for the smallest doc_id near each fingerprint, which the query adds to its rows.
 
 The next document, ascending doc_id, is found without a global sort in one task: rows are dealt into id ranges whose limits are
 taken from quantiles, and the first row of every range also travels to the range before it.
@@ -32,6 +33,8 @@ from .common import checkpointed, map_arrow, slices, texts
 CACHE, BLOCK = 200_000, 1 << 14
 #: Rows of an id range on average, the most ranges (rows stream through a range, so their size needs no bound), ranges of a task.
 RANGE_ROWS, MOST_RANGES, TASK_RANGES = 500, 20_000, 8
+#: Parts into which the join by fingerprint deals the copies of one.
+SALTS = 16
 
 
 class WordHashes(dict):
@@ -97,6 +100,49 @@ def near_pairs(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
+NEAREST = T.StructType([T.StructField("fp", T.LongType()), T.StructField("first_id", T.LongType())])
+
+
+def first_near(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, first_id): of each distinct fingerprint of (doc_id, fp) the smallest doc_id within ``radius``, its own rows included.
+
+    Rows of equal keys are taken by ascending id; each names the rows near it that have no name yet, so a dense block gives one row
+    for each member instead of all pairs.
+    """
+    n = radius + 2
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    block = lambda k: F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1))
+    keys = [F.xxhash64(F.lit(i), block(p), block(q)) for i, (p, q) in enumerate(combinations(range(n), 2))]
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    filed = distinct.select("fp", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("id"), F.explode(F.array(*keys)).alias("key"))
+
+    def run(batches):
+        found = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "id", "key")] for batch in batches]
+        if not found:
+            return
+        fp, at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((at, key))
+        fp, at, key = fp[order].view(np.uint64), at[order], key[order]
+        limits = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        named, names = [], []
+        for k in np.flatnonzero(np.diff(limits) > 1).tolist():
+            lo, hi = limits[k], limits[k + 1]
+            rest, since = fp[lo:hi], at[lo:hi]
+            for x, name in zip(fp[lo:hi], at[lo:hi], strict=True):
+                near = np.bitwise_count(rest ^ x) <= radius
+                if (better := near & (since > name)).any():
+                    named.append(rest[better])
+                    names.append(np.full(int(better.sum()), name))
+                rest, since = rest[~near], since[~near]
+                if not len(rest):
+                    break
+        if named:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(named).view(np.int64)), pa.array(np.concatenate(names))], NEAREST.names)
+
+    parts = max(2 * fps.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() * len(keys) // 1_000_000))
+    return map_arrow(filed.repartition(parts, "key"), run, NEAREST).unionByName(distinct).groupBy("fp").agg(F.min("first_id").alias("first_id"))
+
+
 RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))])
 
 
@@ -142,6 +188,15 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, RESULT)
 
 
+def edits_and_neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """``fingerprint_edits`` with near_doc_id: the smallest doc_id whose fingerprint is within ``radius`` (own rows included)."""
+    edits = checkpointed(fingerprint_edits(docs)).withColumn("fp", F.conv("fingerprint", 16, -10).cast("long"))
+    near = first_near(edits.select("doc_id", "fp"), radius).withColumnRenamed("first_id", "near_doc_id")
+    edits = edits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edits.join(near, ["fp", "salt"]).select(*RESULT.names, "near_doc_id")
+
+
 def _place(limits: list[int]):
     """Number of limits at or below i, by a binary search written as one expression over a constant array."""
     table = F.split(F.lit(",".join(map(str, limits))), ",").cast("array<bigint>")

@@ -279,6 +279,20 @@ def test_fingerprints(spark, documents, odd, nothing):
     assert pairs == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+def test_fingerprint_query_names_neighbours(spark, small, documents, odd, nothing, tmp_path):
+    for name, docs in (("plain", documents), ("odd", odd), ("none", nothing)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = rows(queries.queries()["op10_fingerprints"](spark, f"{tmp_path}/{name}"))
+        fps = [(r["doc_id"], int(r["fingerprint"], 16)) for r in got]
+        want = [min((i for i, g in fps if i is not None and (f ^ g).bit_count() <= 3), default=None) for _, f in fps]
+        assert [r["near_doc_id"] for r in got] == want and len(got) == docs.count()
+    r = np.random.default_rng(6)
+    dense = [(i, int(sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)))) for i in range(400)]
+    signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in dense]
+    found = {x["fp"]: x["first_id"] for x in rows(simhash_index.first_near(spark.createDataFrame(signed, "doc_id long, fp long")))}
+    assert all(found[s] == min(j for j, g in dense if (f ^ g).bit_count() <= 3) for (_, f), (_, s) in zip(dense, signed, strict=True))
+
+
 def test_hamming_search_on_copies_and_odd_rows(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, rng.normal(size=64).tolist()) for i in range(300)] + [(i, [1.0] * 64) for i in range(300, 450)] + [(450, None), (None, [1.0]), (452, [1.0, None]), (0, rng.normal(size=64).tolist()), (500, [1.0, -1.0])]
