@@ -12,7 +12,7 @@ Two levels are built in shards, each in one task from blobs that every task of t
   context's pairs follow one another, and log10 P is kept quantised to 16 bits. A context's pairs are dealt over a run of an
   eighth of all shards by the word's id, so that a frequent context never meets in one task.
 
-A query finds the context's pointer and searches its successor among the keys relative to it.
+A query searches the successor of its combined key in the one shard that may hold it; there are no pointers from a context to its pairs.
 
 Shards are files in the shared folder (written under a temporary name and renamed, so that a repeated task does no harm). Scoring
 tasks map them into memory and touch only the pages they need; nothing of the model goes through the driver or a broadcast.
