@@ -367,13 +367,13 @@ register("superbit_candidates", superbit, None)
 
 
 def minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share most MinHash tokens with document 8."""
+    """Of every document whose id is divisible by 50, all documents that share at least 0.8 of its MinHash tokens (itself included)."""
     docs = table(spark, sf_dir, "documents")
     index = Index(IndexConfig("near", [FieldConfig("text").index("lsh", "near")], unique_id="doc_id"), docs)
-    asked = index.config.analyzer("lsh").tokens(docs.where("doc_id = 8").first()["text"])
-    mine = docs.select(F.col("doc_id").cast("string").alias("unique_id"), index.config.analyzer("lsh").column(F.array("text")).alias("tokens"))
-    same = F.size(F.array_intersect("tokens", F.lit(asked)))
-    return mine.select("unique_id", (same / F.lit(512)).alias("likeness")).where("likeness >= 0.5")
+    tokens = docs.select("doc_id", F.explode(index.config.analyzer("lsh").column(F.array("text"))).alias("token"))
+    asked = tokens.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "token")
+    shared = tokens.join(asked, "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.lit(512)).alias("likeness"))
+    return shared.where("likeness >= 0.8").select(F.col("query_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("unique_id"), "likeness")
 
 
 register("minhash_neardup", minhash_near, None)

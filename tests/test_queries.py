@@ -45,3 +45,21 @@ def test_top_k_is_one_pass_without_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     plan = queries.queries()["numeric_range_inclusive"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_totalprice,100000" in plan
+
+
+def test_minhash_asks_for_a_set_of_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id <> 8")
+    copies = docs.where("doc_id = 50").selectExpr("doc_id + 100000 as doc_id", "text", "lang", "source", "n_chars")
+    docs.unionByName(copies).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["unique_id"]): r["likeness"] for r in queries.queries()["minhash_neardup"](spark, str(tmp_path)).collect()}
+    some = {r["doc_id"]: r["text"] for r in docs.unionByName(copies).collect()}
+    of = lambda t: set(minhash_tokens_of(t))
+    have = {i: of(t) for i, t in some.items()}
+    want = {(str(q), str(i)): len(have[q] & have[i]) / 512 for q in have if q % 50 == 0 for i in have if len(have[q] & have[i]) >= 0.8 * 512}
+    assert got == want and ("50", "100050") in got
+
+
+def minhash_tokens_of(text):
+    from lodestack.plans.config import FieldConfig, IndexConfig
+
+    return IndexConfig("near", [FieldConfig("text").index("lsh", "near")], unique_id="doc_id").analyzer("lsh").tokens(text)
