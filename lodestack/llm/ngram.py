@@ -1,30 +1,42 @@
 """Operator 9: language-model scoring with an Elias-Fano n-gram trie.
 
-Tokens are lower-cased words and one end token. The model is a bigram model over unigrams: with c the counts in the training
-texts, P(w | h) = (c(h w) + m(h) * P1(w)) / (c(h) + m(h)), m(h) = A * c(h) ** B, and P1(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); the first word's context is
-the start of the text. It sums to one over the known words and one unknown.
+Tokens are lower-cased words and one end token; a start mark precedes each text. The model interpolates its orders: with c the
+counts in the training texts, P(w | h) = (c(h w) + m(h) * P(w | h')) / (c(h) + m(h)), where h' is h without its first token and
+m(h) = A * c(h) ** B; the lowest order is P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). A context that was not seen leaves the
+decision to the shorter one. It sums to one over the known words and one unknown.
 
-Two levels are built in shards, each in one task from blobs that every task of the counting pass has counted on its own:
+Passes: count the words; write each text as word ids (with its base score) to the shared folder; for each order count its n-grams
+and build its level; score the ids.
 
-* Level 1: the words' 64-bit hashes in order (Elias-Fano: high bits as pointers of a small directory, low bits packed), and
-  their counts. A word's id is its place among all hashes.
-* Level 2: (context id, word id) pairs in order. Within a shard the keys are one monotone sequence in Elias-Fano form, in which a
-  context's pairs follow one another, and log10 P is kept quantised to 16 bits. A context's pairs are dealt over a run of an
-  eighth of all shards by the word's id, so that a frequent context never meets in one task.
+Level 1 holds the words' 64-bit hashes in order, and their counts; a word's id is its shard and place. Level k holds the n-grams
+of k tokens as children of their contexts. A context is the place of a node of the level before, so a shard has
 
-A query searches the successor of its combined key in the one shard that may hold it; there are no pointers from a context to its pairs.
+* its contexts, ascending, in Elias-Fano form: the rank i of a context is its place among them;
+* the children's word ids, relative to their context: i * 2**b + word, b bits holding any word. In Elias-Fano form with b low
+  bits the high bits, one unary string, are at the same time the monotone pointers: bucket i is the range of the children of i;
+* log10 P of each child, quantised to 16 bits, and, below the highest order, its count.
 
-Shards are files in the shared folder (written under a temporary name and renamed, so that a repeated task does no harm). Scoring
-tasks map them into memory and touch only the pages they need; nothing of the model goes through the driver or a broadcast.
+A query finds its context's rank, reads the pointers, and searches the successor of the word among that context's children only.
+
+N-grams are dealt by their context, and a context over a run of an eighth of all shards by the word, so that a frequent context
+never meets in one task. Shards are files in the folder all executors share, written under a temporary name and renamed, so that
+a repeated task does no harm. Tasks map them into memory, at most OPEN at a time, and ask them in order of shard. Of each level one
+row (totals) reaches the driver. The result is written before the folder is deleted.
+
+Bounds: a shard holds about SHARD_TOKENS tokens' n-grams, a task BUFFER tokens, so memory does not grow with the corpus; a batch of
+BUFFER tokens asks each shard once, which stays cheap while there are fewer shards than tokens of a batch. Word ids have 32 bits; a
+corpus with more distinct words is refused.
 
 Defined results: null text is empty (one token, the end); rows without id are training rows; repeated rows count as often as they
 occur; without training rows N and V are 0 and every word is unknown; an empty table gives an empty result; other columns are
-ignored. Two words that share a 64-bit hash would be taken for one.
+ignored; a very long text is read whole and its ids are scored in one piece, in memory in proportion to it. Two words that share a
+64-bit hash would be taken for one.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 import zlib
 from functools import lru_cache
@@ -37,55 +49,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint_folder, map_arrow, slices, texts
+from .common import checkpoint_folder, checkpointed, map_arrow, slices, texts
+from .elias_fano import EliasFano
 
-#: Weight m of the unigram distribution against a context's counts: as the number of different followers, it grows as a power
-#: of the count. Chosen on training rows alone.
-A, B = 4.0, 0.8
+ORDER = 3
+#: Weight m of the shorter context against a context's counts, by order from 2 on (the last for all above): as the number of
+#: different followers, it grows as a power of the count. Chosen on training rows alone.
+A, B = (4.0, 2.0), 0.8
 #: Fixed values of the base score.
 ADD = 0.1
-START, END = 0, 1  # hashes kept for the marks; no word's hash is mapped there
-#: Counted tokens of a shard of level 2, and distinct words of one of level 1, on average.
-SHARD_TOKENS, SHARD_WORDS = 2_000_000, 250_000
-CACHE = 150_000
-#: Counts that a counting task holds before it hands them out.
-BUFFER = 3_000_000
+END = 1  # hash kept for the end; no word's hash is mapped there
+UNKNOWN = (1 << 32) - 1
+#: Tokens of a shard of the levels above 1, and characters of one of level 1, on average.
+SHARD_TOKENS, SHARD_CHARS = 3_000_000, 20_000_000
+#: Words whose places are remembered by a task, tokens that it handles at a time when counting and when scoring, files it keeps open.
+CACHE, BUFFER, SCORED, OPEN = 400_000, 2_000_000, 400_000, 256
+
+
+def prior(counts: np.ndarray, order: int) -> np.ndarray:
+    return A[min(order - 2, len(A) - 1)] * np.maximum(counts, 1) ** B
 
 
-def prior(counts: np.ndarray) -> np.ndarray:
-    return A * np.maximum(counts, 1) ** B
+# Words ------------------------------------------------------------------------------------------------------------------
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash above the marks; the most recent common words are remembered."""
+class Words(dict):
+    """Word -> place in ``hashes``, for the words that a task has met; emptied by ``trim`` when there are too many."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = [END]
 
     def __missing__(self, word: bytes) -> int:
-        out = max(xxhash.xxh64_intdigest(word, 9), 2)
-        if len(self) < CACHE and len(word) < 48:
-            self[word] = out
+        self.hashes.append(max(xxhash.xxh64_intdigest(word, 9), END + 1))
+        if len(word) < 48:
+            self[word] = len(self.hashes) - 1
+        return len(self.hashes) - 1
+
+    def places(self, text: str) -> np.ndarray:
+        """Of a text's tokens, the end (place 0) last."""
+        words = text.encode().lower().split()  # of bytes, both know ASCII only
+        out = np.zeros(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return out
 
-
-_hashes = WordHashes()
+    def trim(self) -> bool:
+        if len(self.hashes) <= CACHE:
+            return False
+        self.clear()
+        del self.hashes[1:]
+        return True
 
 
-def hashes(text: str) -> np.ndarray:
-    """Hashes of a text's tokens, the end last."""
-    words = text.encode().lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+# Columns on their way to a shard ----------------------------------------------------------------------------------------
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Ascending unsigned integers as compressed differences."""
-    return zlib.compress(np.diff(values, prepend=np.zeros(1, values.dtype)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def pack(values: np.ndarray, ascending: bool) -> bytes:
+    """Unsigned integers as compressed byte planes, ascending ones as differences."""
+    if ascending:
+        values = np.diff(values, prepend=np.zeros(1, values.dtype))
+    size = values.dtype.itemsize
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, size).T).tobytes(), 1)
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def unpack(raw: bytes, kind: str, ascending: bool) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    out = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(out, dtype=kind) if ascending else out
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,61 +125,25 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-class EliasFano:
-    """Ascending unsigned 64-bit integers: a directory of the high bits, the low bits packed; all in one array of 64-bit words."""
+def blobs(shard: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each shard. Rows must ascend within a shard by the first column."""
+    order = np.argsort(shard, kind="stable")
+    shard, columns, counts = shard[order], [c[order] for c in columns], counts[order].astype("<u4")
+    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+    cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    packed = [pa.array([pack(c[a:b], i == 0) for a, b in cut], pa.binary()) for i, c in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int64)), *packed, pa.array([pack(counts[a:b], False) for a, b in cut], pa.binary())], ["shard", *(f"c{i}" for i in range(len(columns))), "counts"])
+
+
+def blob_schema(columns: int) -> T.StructType:
+    return T.StructType([T.StructField("shard", T.LongType()), *(T.StructField(f"c{i}", T.BinaryType()) for i in range(columns)), T.StructField("counts", T.BinaryType())])
 
-    @staticmethod
-    def build(values: np.ndarray) -> np.ndarray:
-        n = len(values)
-        base = values[0] if n else np.uint64(0)
-        gap = values - base
-        top = int(gap[-1]) if n else 0
-        low = max(0, top.bit_length() - max(1, n.bit_length()))
-        high = (gap >> np.uint64(low)).astype(np.int64)
-        at = np.searchsorted(high, np.arange((top >> low) + 2)).astype("<u4")
-        at = np.concatenate([at, np.zeros(len(at) % 2, "<u4")]).view("<u8")
-        bits = np.zeros((n * low + 127) // 64 + 1, "<u8")
-        if low and n:
-            part, place = gap & np.uint64((1 << low) - 1), np.arange(n, dtype=np.uint64) * np.uint64(low)
-            word, shift = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
-            np.bitwise_or.at(bits, word, part << shift)
-            over = np.flatnonzero(shift + np.uint64(low) > np.uint64(64))
-            np.bitwise_or.at(bits, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-        return np.concatenate([np.array([n, base, low, top, len(at), len(bits)], "<u8"), at, bits])
-
-    def __init__(self, words: np.ndarray):
-        self.n, self.base, self.low, self.top, a, b = (int(x) for x in words[:6])
-        self.at, self.bits, self.size = words[6 : 6 + a].view("<u4"), words[6 + a : 6 + a + b], 6 + a + b
-
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low:
-            return np.zeros(len(i), np.uint64)
-        place = i.astype(np.uint64) * np.uint64(self.low)
-        word, shift = (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
-        out = self.bits[word] >> shift
-        over = np.flatnonzero(shift + np.uint64(self.low) > np.uint64(64))
-        out[over] |= self.bits[word[over] + 1] << (np.uint64(64) - shift[over])
-        return out & np.uint64((1 << self.low) - 1)
-
-    def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the first element not below each value, and whether it equals the value."""
-        inside = (values >= np.uint64(self.base)) & (values - np.uint64(self.base) <= np.uint64(self.top)) if self.n else np.zeros(len(values), bool)
-        place = np.where(values < np.uint64(self.base), 0, self.n)
-        some = np.flatnonzero(inside)
-        gap = values[some] - np.uint64(self.base)
-        high, rest = (gap >> np.uint64(self.low)).astype(np.int64), gap & np.uint64((1 << self.low) - 1)
-        lo, end = self.at[high].astype(np.int64), self.at[high + 1].astype(np.int64)
-        hi = end.copy()
-        while (open_ := np.flatnonzero(lo < hi)).size:
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self._low(mid) < rest[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-        place[some] = lo
-        found = np.zeros(len(values), bool)
-        candidates = np.flatnonzero(lo < end)
-        found[some[candidates]] = self._low(lo[candidates]) == rest[candidates]
-        return place, found
+
+def gathered(group: pd.DataFrame, name: str, kind: str, ascending: bool = False) -> np.ndarray:
+    return np.concatenate([unpack(x, kind, ascending) for x in group[name]])
+
+
+# Shards -----------------------------------------------------------------------------------------------------------------
 
 
 def _write(folder: str, name: str, *parts: np.ndarray) -> None:
@@ -161,251 +155,371 @@ def _write(folder: str, name: str, *parts: np.ndarray) -> None:
     os.replace(temporary, final)
 
 
-@lru_cache(maxsize=256)
-def _words(path: str) -> np.ndarray:
-    return np.memmap(path, "<u8", "r")
+def _whole(values: np.ndarray) -> np.ndarray:
+    """Filled up to whole 64-bit words."""
+    out = np.zeros(-(-len(values) * values.itemsize // 8) * 8 // values.itemsize, values.dtype)
+    out[: len(values)] = values
+    return out
 
 
 class WordShard:
     """Level 1: hashes and counts of the words whose hash falls into the shard."""
 
+    @staticmethod
+    def write(folder: str, k: int, hashes: np.ndarray, counts: np.ndarray) -> None:
+        _write(folder, f"level1-{k}", EliasFano.build(hashes), counts.astype("<u8"))
+
     def __init__(self, path: str):
-        w = _words(path)
-        self.keys = EliasFano(w)
-        self.counts = w[self.keys.size : self.keys.size + self.keys.n]
+        w = np.asarray(np.memmap(path, "<u8", "r"))
+        self.hashes = EliasFano(w)
+        self.counts = w[self.hashes.size : self.hashes.size + self.hashes.n]
 
 
-class PairShard:
-    """Level 2: keys (context id * V1 + word id) and their quantised log10 probabilities."""
+class Nodes:
+    """A shard of a level above 1: contexts, their children's words, quantised log10 P and counts."""
+
+    @staticmethod
+    def write(folder: str, name: str, contexts: np.ndarray, rank: np.ndarray, words: np.ndarray, low: int, logs: np.ndarray, counts: np.ndarray | None) -> None:
+        floor = float(logs.min())
+        step = max((float(logs.max()) - floor) / 65535, 1e-12)
+        children = EliasFano.build(rank.astype(np.uint64) << np.uint64(low) | words.astype(np.uint64), low, len(contexts))
+        extra = [] if counts is None else [_whole(counts.astype("<f4"))]
+        _write(folder, name, EliasFano.build(contexts), children, np.array([floor, step]), _whole(np.round((logs - floor) / step).astype("<u2")), *extra)
 
     def __init__(self, path: str):
-        w = _words(path)
-        self.keys = EliasFano(w)
-        self.floor, self.step = w[self.keys.size : self.keys.size + 2].view("<f8").tolist()
-        self.codes = w[self.keys.size + 2 :].view("<u2")
+        w = np.asarray(np.memmap(path, "<u8", "r"))
+        self.contexts = EliasFano(w)
+        self.children = EliasFano(w[self.contexts.size :])
+        at, n = self.contexts.size + self.children.size, self.children.n
+        self.floor, self.step = w[at : at + 2].view("<f8").tolist()
+        self.codes = w[at + 2 : at + 2 + -(-n // 4)].view("<u2")
+        self.counts = w[at + 2 + -(-n // 4) :].view("<f4")
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each context's child with the word, and whether there is one."""
+        rank, found = self.contexts.successor(contexts)
+        place, some = np.zeros(len(contexts), np.int64), np.flatnonzero(found)
+        first, end = self.children.bucket(rank[some])  # the pointers
+        place[some], found[some] = self.children.within(first, end, words[some].astype(np.uint64))
+        return place, found
 
 
-class Trie:
-    """Both levels, memory-mapped; ``word_offsets``: first id of each shard of level 1 and the number of all ids."""
-
-    def __init__(self, folder: str, word_offsets: list[int], pair_shards: int, train_tokens: int, train_docs: int):
-        self.folder, self.offsets, self.pair_shards = folder, np.array(word_offsets, np.int64), pair_shards
-        self.n, self.docs = train_tokens, train_docs
-        self.v = int(self.offsets[-1])  # distinct training tokens, the end included
-        self.unknown = np.log10(ADD / (self.n + ADD * (self.v + 1)))
-        self.step = (1 << 64) // max(2, len(word_offsets) - 1) + 1
-        self.opened: dict = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"opened": {}}
-
-    def _shard(self, level: int, k: int):
-        if (level, k) not in self.opened:
-            self.opened[level, k] = (WordShard, PairShard)[level](os.path.join(self.folder, f"level{level + 1}-{k}"))
-        return self.opened[level, k]
-
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Id, count and cumulated place of each hash; id -1 where the word is unknown."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        if len(self.offsets) > 1:
-            shard = (h // np.uint64(self.step)).astype(np.int64)
-            for k in np.unique(shard).tolist():
-                some = np.flatnonzero(shard == k)
-                own = self._shard(0, k)
-                place, found = own.keys.successor(h[some])
-                ids[some[found]] = self.offsets[k] + place[found]
-                counts[some[found]] = own.counts[place[found]]
-        return ids, counts
+@lru_cache(maxsize=OPEN)
+def _open(path: str) -> WordShard | Nodes:
+    return (WordShard if os.path.basename(path).startswith("level1-") else Nodes)(path)
 
-    def keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return context.astype(np.uint64) * np.uint64(self.v + 1) + word.astype(np.uint64)
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + ADD) / (self.n + ADD * (self.v + 1))
+def by_shard(shard: np.ndarray):
+    """(shard, places of its rows) in order of shard."""
+    order = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], shard[order[1:]] != shard[order[:-1]], [True]])) if len(order) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(shard[order[a]]), order[a:b]
 
-    def pair_logs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a pair is known, and its quantised log10 probability."""
-        known, out = np.zeros(len(word), bool), np.zeros(len(word))
-        if self.pair_shards and len(word):
-            key, shard = self.keys(context, word), spread(context, word, self.v, self.pair_shards)
-            for k in np.unique(shard).tolist():
-                some = np.flatnonzero(shard == k)
-                own = self._shard(1, k)
-                place, found = own.keys.successor(key[some])
-                known[some[found]] = True
-                out[some[found]] = own.floor + own.step * own.codes[place[found]]
-        return known, out
-
-
-def spread(context: np.ndarray, word: np.ndarray, v: int, shards: int) -> np.ndarray:
-    """Shard of a pair. Contexts are dealt by a hash of the id, and each context over a run of shards by its word id: a frequent
-    context meets as many different words as it has tokens, so its pairs spread over all of the run."""
-    run = max(1, shards // 8)
-    mixed = (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-    return (mixed % shards + word * run // (v + 1)) % shards
 
+def mixed(mix: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Hash of a context from that of its start and its last id."""
+    out = (mix ^ ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ out >> np.uint64(29)
 
-SHARDS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
+def spread(mix: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of an n-gram: contexts are dealt by their hash, and each over a run of shards by a hash of the word."""
+    run = max(1, shards // 8)
+    own = (word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(run)
+    return (((mix >> np.uint64(24)) % np.uint64(shards) + own) % np.uint64(shards)).astype(np.int64)
 
-def _blobs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """One row for each shard; keys must ascend within each shard."""
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-    cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard[edges[:-1]].astype(np.int64)), pa.array([pack(keys[a:b]) for a, b in cut], pa.binary()), pa.array([zlib.compress(counts[a:b].astype("<u4").tobytes(), 1) for a, b in cut], pa.binary())],
-        SHARDS.names,
-    )
 
+class Trie:
+    """What a task needs to know of the files in ``folder``: shards of each level, nodes of the largest shard, totals."""
 
-def _gathered(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([unpack(x) for x in group["keys"]])
-    counts = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in group["counts"]])
-    return summed(keys, counts)
+    def __init__(self, folder: str, order: int):
+        self.folder, self.order = folder, order
+        self.shards, self.width = [0] * (order + 1), [1] * (order + 1)
+        self.n = self.v = self.docs = 0
 
+    @property
+    def start(self) -> int:
+        """Id of the mark before each text."""
+        return self.shards[1] * self.width[1]
 
-class _Buffer:
-    """Counts of keys, handed out as blobs whenever enough distinct ones have come together, and at the end."""
+    @property
+    def low(self) -> int:
+        """Bits that hold any id."""
+        return self.start.bit_length()
 
-    def __init__(self, shard_of):
-        self.shard_of, self.parts, self.held = shard_of, [], 0
+    def level(self, k: int, shard: int):
+        return _open(os.path.join(self.folder, f"level{k}-{shard}"))
 
-    def add(self, keys: np.ndarray):
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.held += len(self.parts[-1][0])
-        if self.held > BUFFER:
-            self._merge()
-            if self.held > BUFFER // 2:
-                yield from self.out()
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + ADD) / (self.n + ADD * (self.v + 1))
 
-    def _merge(self):
-        self.parts = [summed(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
-        self.held = len(self.parts[0][0])
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id and count of each hash; UNKNOWN and 0 where there is none."""
+        ids, counts = np.full(len(h), UNKNOWN, np.int64), np.zeros(len(h), np.int64)
+        if self.v:
+            step = np.uint64((1 << 64) // self.shards[1] + 1)
+            for k, some in by_shard((h // step).astype(np.int64)):
+                own = self.level(1, k)
+                place, found = own.hashes.successor(h[some])
+                ids[some[found]] = k * self.width[1] + place[found]
+                counts[some[found]] = own.counts[place[found]]
+        return ids, counts
 
-    def out(self):
-        if self.parts:
-            self._merge()
-            keys, counts = self.parts[0]
-            if len(keys):
-                yield _blobs(self.shard_of(keys), keys, counts)
-        self.parts, self.held = [], 0
+    def counts_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of ids; the start mark counts as many times as there are training texts."""
+        out = np.where(ids == self.start, self.docs, 0)
+        known = np.flatnonzero(ids < self.start)
+        for k, some in by_shard(ids[known] // self.width[1]):
+            some = known[some]
+            out[some] = self.level(1, k).counts[ids[some] - k * self.width[1]]
+        return out
+
+    def find(self, k: int, contexts: np.ndarray, mix: np.ndarray, words: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node (-1: none), log10 P and count of the children ``words`` of nodes of level k - 1."""
+        node, logs, n = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.zeros(len(words))
+        if self.shards[k]:
+            for s, some in by_shard(spread(mix, words, self.shards[k])):
+                own = self.level(k, s)
+                place, found = own.find(contexts[some].astype(np.uint64), words[some])
+                some, place = some[found], place[found]
+                node[some], logs[some] = s * self.width[k] + place, own.floor + own.step * own.codes[place]
+                if counts and k < self.order:
+                    n[some] = own.counts[place]
+        return node, logs, n
+
+    def walk(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Node, mix, log10 P and count of paths of ids that are in the trie."""
+        node, mix, logs, n = columns[0].astype(np.int64), mixed(np.zeros(len(columns[0]), np.uint64), columns[0]), np.zeros(0), np.zeros(0)
+        if len(columns) == 1:
+            n = self.counts_of(node).astype(np.float64)
+            logs = np.log10(self.unigram(n))
+        for k, ids in enumerate(columns[1:], 2):
+            node, logs, n = self.find(k, node, mix, ids)
+            mix = mixed(mix, ids)
+        return node, mix, logs, n
+
+
+# Building ---------------------------------------------------------------------------------------------------------------
 
 
 def is_training(every: int = 10, id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % every != 0, F.lit(True))
 
 
-def build(training: DataFrame, folder: str) -> Trie:
-    """The trie of the texts in ``training`` (column text), written to the shared ``folder``."""
-    some, chars = training.agg(F.count("*"), F.sum(F.length("text"))).first()
-    word_shards = 2 + int((chars or 0) // (40 * SHARD_WORDS))
-    step = (1 << 64) // word_shards + 1
+def build_words(training: DataFrame, trie: Trie) -> None:
+    """Level 1 of the texts in ``training``, and the totals."""
+    trie.docs, chars = training.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards, folder = 2 + int(chars // SHARD_CHARS), trie.folder
+    step = np.uint64((1 << 64) // shards + 1)
+
+    def count(batches):
+        words, counts = Words(), np.zeros(0, np.int64)
+
+        def out():
+            hashes = np.array(words.hashes, np.uint64)
+            keys, n = summed(hashes[counts > 0], counts[counts > 0])
+            yield blobs((keys // step).astype(np.int64), [keys], n)
 
-    def count_words(batches):
-        buffer = _Buffer(lambda keys: (keys // np.uint64(step)).astype(np.int64))
-        for _, values in slices(batches):
-            yield from buffer.add(np.concatenate([hashes(t) for t in values]))
-        yield from buffer.out()
-
-    def level1(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        k = int(key[0])
-        keys, counts = _gathered(group)
-        _write(folder, f"level1-{k}", EliasFano.build(keys), counts.astype("<u8"))
-        return pd.DataFrame({"shard": [k], "n": [len(keys)], "tokens": [int(counts.sum())]})
-
-    def empty_words(k: int) -> None:
-        _write(folder, f"level1-{k}", EliasFano.build(np.zeros(0, np.uint64)))
-
-    made = {r["shard"]: r for r in map_arrow(training.select("text"), count_words, SHARDS).groupBy("shard").applyInPandas(level1, "shard long, n long, tokens long").collect()}  # one small row a shard
-    for k in range(word_shards):
-        if k not in made:
-            empty_words(k)
-    sizes = [made[k]["n"] if k in made else 0 for k in range(word_shards)]
-    tokens = sum(r["tokens"] for r in made.values())
-    pair_shards = int(tokens // SHARD_TOKENS) + 1 if tokens else 0
-    trie = Trie(folder, np.cumsum([0, *sizes]).tolist(), pair_shards, tokens, some)
-    v = trie.v
-
-    def count_pairs(batches):
-        buffer = _Buffer(lambda keys: spread((keys // np.uint64(v + 1)).astype(np.int64), (keys % np.uint64(v + 1)).astype(np.int64), v, pair_shards))
         for _, values in slices(batches):
-            own = [hashes(t) for t in values]
-            word, _ = ids_of(trie, np.concatenate(own))
-            context = np.concatenate([[v], word[:-1]])
-            context[np.cumsum([0, *map(len, own)])[:-1]] = v  # the start of a text
-            yield from buffer.add(trie.keys(context, word))
-        yield from buffer.out()
-
-    def level2(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _gathered(group)
-        context, word = (keys // np.uint64(v + 1)).astype(np.int64), (keys % np.uint64(v + 1)).astype(np.int64)
-        before = np.concatenate([counts_of(trie, context[i : i + 500_000]) for i in range(0, len(keys), 500_000)])
-        unigram = np.concatenate([trie.unigram(counts_of(trie, word[i : i + 500_000])) for i in range(0, len(keys), 500_000)])
-        weight = prior(before)
-        logs = np.log10((counts + weight * unigram) / (before + weight))
-        floor = float(logs.min())
-        width = max((float(logs.max()) - floor) / 65535, 1e-12)
-        codes = np.zeros(-(-len(keys) // 4) * 4, "<u2")
-        codes[: len(keys)] = np.round((logs - floor) / width)
-        _write(folder, f"level2-{int(key[0])}", EliasFano.build(keys), np.array([floor, width]), codes)
-        return pd.DataFrame({"shard": [int(key[0])]})
-
-    if tokens:
-        there = {r["shard"] for r in map_arrow(training.select("text"), count_pairs, SHARDS).groupBy("shard").applyInPandas(level2, "shard long").collect()}
-        for k in set(range(pair_shards)) - there:
-            _write(folder, f"level2-{k}", EliasFano.build(np.zeros(0, np.uint64)), np.array([0.0, 1.0]))
-    return trie
-
-
-def ids_of(trie: Trie, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of hashes with repeats."""
-    distinct, back = np.unique(h, return_inverse=True)
-    ids, counts = trie.words(distinct)
-    return ids[back], counts[back]
-
-
-def counts_of(trie: Trie, ids: np.ndarray) -> np.ndarray:
-    """Counts of known ids; the start of a text counts as many times as there are training texts."""
-    out = np.full(len(ids), trie.docs, np.int64)
-    shard = np.searchsorted(trie.offsets, ids, side="right") - 1
-    for k in np.unique(shard[ids < trie.v]).tolist():
-        some = np.flatnonzero((shard == k) & (ids < trie.v))
-        out[some] = trie._shard(0, k).counts[ids[some] - trie.offsets[k]]
-    return out
+            places = np.concatenate([words.places(t) for t in values])
+            counts = np.concatenate([counts, np.zeros(len(words.hashes) - len(counts), np.int64)]) + np.bincount(places, minlength=len(words.hashes))
+            if len(words.hashes) > CACHE:
+                yield from out()
+                words.trim()
+                counts = np.zeros(0, np.int64)
+        if counts.any():
+            yield from out()
 
+    def level(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        hashes, counts = summed(np.concatenate([unpack(x, "<u8", True) for x in group["c0"]]), gathered(group, "counts", "<u4").astype(np.int64))
+        WordShard.write(folder, int(key[0]), hashes, counts)
+        return pd.DataFrame({"n": [len(hashes)], "tokens": [int(counts.sum())]})
 
-RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
+    for k in range(shards):  # a shard that no word falls into
+        WordShard.write(folder, k, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = map_arrow(training.select("text"), count, blob_schema(1))
+    made = found.repartition(max(shards, 8), "shard").groupBy("shard").applyInPandas(level, "n long, tokens long")
+    v, n, width = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    trie.shards[1], trie.width[1], trie.v, trie.n = shards, max(1, width), v, n
+    if trie.start >= UNKNOWN:
+        raise ValueError(f"{v} distinct words are more than 32-bit ids can tell apart")
 
 
-def score_texts(trie: Trie, values: list[str]) -> tuple[np.ndarray, ...]:
-    """Number of tokens, of known ones, base score and score of each text."""
-    own = [hashes(t) for t in values]
-    sizes = np.array(list(map(len, own)))
-    first = np.cumsum(sizes) - sizes
-    ids, counts = ids_of(trie, np.concatenate(own))
-    unigram = trie.unigram(counts)
-    context, before = np.concatenate([[trie.v], ids[:-1]]), np.concatenate([[trie.docs], counts[:-1]])
-    context[first], before[first] = trie.v, trie.docs
-    weight = prior(before)
-    logs = np.log10(weight * unigram / (before + weight))
-    asked = np.flatnonzero((ids >= 0) & (context >= 0))
-    known, found = trie.pair_logs(context[asked], ids[asked])
-    logs[asked[known]] = found[known]
-    return sizes, np.add.reduceat((counts > 0).astype(np.int64), first), np.add.reduceat(np.log10(unigram), first), np.add.reduceat(logs, first)
+ENCODED = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("ids", T.BinaryType()))])
 
 
-def scores(docs: DataFrame, every: int = 10) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows not held out."""
-    rows = texts(docs)
-    folder = checkpoint_folder(docs.sparkSession, "ngram")
-    trie = build(rows.where(is_training(every)), folder)
+def encoded(rows: DataFrame, trie: Trie) -> DataFrame:
+    """Every text as 32-bit word ids, the start mark first, with what only depends on the words."""
 
     def run(batches):
+        words = Words()
+        ids, counts, base = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for part, values in slices(batches):
-            n, known, base, score = score_texts(trie, values)
-            held = pa.array([x is not None and zlib.crc32(str(x).encode()) % every == 0 for x in part.column("doc_id").to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), held, pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), trie.n, np.int64)), pa.array(base), pa.array(score)], RESULT.names)
+            if words.trim():
+                ids, counts, base = ids[:1], counts[:1], base[:1]
+            own = [words.places(t) for t in values]
+            new = np.array(words.hashes[len(ids) :], np.uint64)
+            i, c = trie.words(new)
+            ids, counts, base = np.concatenate([ids, i]), np.concatenate([counts, c]), np.concatenate([base, np.log10(trie.unigram(c))])
+            places, sizes = np.concatenate(own), np.array(list(map(len, own)))
+            first = np.cumsum(sizes) - sizes
+            stream = np.insert(ids[places], first, trie.start).astype("<u4")
+            edges = pa.array(np.concatenate([[0], 4 * np.cumsum(sizes + 1)]).astype(np.int32))
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, edges.buffers()[1], pa.py_buffer(stream.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((counts[places] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base[places], first)), raw], ENCODED.names)
+
+    return map_arrow(rows, run, ENCODED)
+
+
+def streams(batches, tokens: int):
+    """Batches with about ``tokens`` ids each (one longer text stays whole), their ids, and where the texts' start marks stand."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        ends, begin = np.cumsum(sizes), 0
+        while begin < len(sizes):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + tokens, side="right")))
+            part = batch.slice(begin, end - begin)
+            ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4")
+            yield part, ids, np.cumsum(sizes[begin:end]) - sizes[begin:end]
+            begin = end
+
+
+def _after(ids: np.ndarray, firsts: np.ndarray, k: int) -> np.ndarray:
+    """Whether a whole n-gram of k tokens, start mark included, ends at each id."""
+    out = np.ones(len(ids), bool)
+    for i in range(k - 1):
+        out[np.minimum(firsts + i, len(ids) - 1)] = False  # every text has a mark and an end
+    return out
+
+
+def ngrams(ids: np.ndarray, ends: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams of k ids that end at the given places, as columns in ascending order, and their counts."""
+    columns, rank = [], ids[ends - k + 1].astype(np.uint64)
+    for i in range(k - 2, -1, -1):
+        key = rank << np.uint64(32) | ids[ends - i].astype(np.uint64)
+        if i:
+            distinct, back = np.unique(key, return_inverse=True)
+            rank = back.astype(np.uint64)
+        else:
+            distinct, counts = np.unique(key, return_counts=True)
+        before, last = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype("<u4")
+        columns = [c[before] for c in columns] if columns else [before.astype("<u4")]
+        columns.append(last)
+    return columns, counts
+
+
+def build_level(training: DataFrame, trie: Trie, k: int) -> None:
+    """Level k >= 2 of the encoded texts."""
+    shards, folder = int(trie.n // SHARD_TOKENS) + 1 if trie.n else 0, trie.folder
+    trie.shards[k] = 0  # not there yet for the tasks that build it
+
+    def count(batches):
+        def out(held):
+            ids, lengths = np.concatenate([x for x, _ in held]), np.cumsum([0, *(len(x) for x, _ in held)])
+            firsts = np.concatenate([f + a for (_, f), a in zip(held, lengths, strict=False)])
+            columns, counts = ngrams(ids, np.flatnonzero(_after(ids, firsts, k)), k)
+            mix = np.zeros(len(counts), np.uint64)
+            for c in columns[:-1]:
+                mix = mixed(mix, c)
+            return blobs(spread(mix, columns[-1], shards), columns, counts)
+
+        held, n = [], 0
+        for _, ids, firsts in streams(batches, BUFFER):
+            held.append((ids, firsts))
+            n += len(ids)
+            if n >= BUFFER:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    def level(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        columns = [gathered(group, f"c{i}", "<u4", i == 0) if i else np.concatenate([unpack(x, "<u4", True) for x in group["c0"]]) for i in range(k)]
+        counts, ranks = gathered(group, "counts", "<u4").astype(np.int64), columns[0].astype(np.uint64)
+        heads = [columns[0]]
+        if k > 2:  # the distinct contexts, as columns, and the rank of each row's
+            for c in columns[1:-1]:
+                distinct, at, back = np.unique(ranks << np.uint64(32) | c.astype(np.uint64), return_index=True, return_inverse=True)
+                ranks = back.astype(np.uint64)
+            heads = [c[at] for c in columns[:-1]]
+        else:
+            heads[0], back = np.unique(columns[0], return_inverse=True)
+            ranks = back.astype(np.uint64)
+        keys, counts = summed(ranks << np.uint64(32) | columns[-1].astype(np.uint64), counts)
+        ranks, words = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        parts = [[h[i : i + SCORED] for h in heads] for i in range(0, len(heads[0]), SCORED)]
+        walked = [trie.walk(p) for p in parts]
+        contexts, before = np.concatenate([w[0] for w in walked]), np.concatenate([w[3] for w in walked])
+        lower = np.concatenate([trie.walk([*(h[ranks[i : i + SCORED]] for h in heads[1:]), words[i : i + SCORED]])[2] for i in range(0, len(words), SCORED)])
+        weight = prior(before, k)[ranks]
+        logs = np.log10((counts + weight * 10**lower) / (before[ranks] + weight))
+        order = np.argsort(contexts)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        rows = np.argsort(place[ranks], kind="stable")
+        Nodes.write(folder, f"level{k}-{int(key[0])}", contexts[order].astype(np.uint64), place[ranks][rows], words[rows], trie.low, logs[rows], counts[rows] if k < trie.order else None)
+        return pd.DataFrame({"n": [len(words)]})
+
+    if not shards:
+        return
+    found = map_arrow(training.select("ids"), count, blob_schema(k)).repartition(max(shards, 8), "shard")
+    width = found.groupBy("shard").applyInPandas(level, "n long").agg(F.max("n")).first()[0]
+    for s in range(shards):  # a shard that no n-gram falls into
+        if not os.path.exists(os.path.join(folder, f"level{k}-{s}")):
+            Nodes.write(folder, f"level{k}-{s}", np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), trie.low, np.zeros(1), np.zeros(0))
+    trie.shards[k], trie.width[k] = shards, width
+
+
+# Scoring ----------------------------------------------------------------------------------------------------------------
+
+
+def log_probabilities(trie: Trie, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """log10 P of every id in its text; 0 for the start marks."""
+    mark = np.zeros(len(ids), bool)
+    mark[firsts] = True
+    node, count = ids.astype(np.int64), trie.counts_of(ids.astype(np.int64)).astype(np.float64)
+    logs, known = np.log10(trie.unigram(np.where(mark, 0.0, count))), ids != UNKNOWN
+    node[~known] = -1
+    mix = mixed(np.zeros(len(ids), np.uint64), ids)
+    for k in range(2, trie.order + 1):
+        at = np.flatnonzero(_after(ids, firsts, k))
+        at = at[node[at - 1] >= 0]
+        c = count[at - 1]
+        weight = prior(c, k)
+        logs[at] += np.log10(weight / (c + weight))
+        at = at[known[at]]
+        new, found, n = trie.find(k, node[at - 1], mix[at - 1], ids[at], counts=k < trie.order)
+        there = new >= 0
+        logs[at[there]] = found[there]
+        last, node, count = mix, np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+        node[at], count[at] = new, n
+        mix = mixed(np.concatenate([last[:1], last[:-1]]), ids)
+    logs[mark] = 0.0
+    return logs
+
+
+RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
+
+
+def scores(docs: DataFrame, every: int = 10, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows not held out."""
+    rows, spark = texts(docs), docs.sparkSession
+    folder = checkpoint_folder(spark, "ngram")
+    trie = Trie(folder, order)
+    build_words(rows.where(is_training(every)), trie)
+    encoded(rows, trie).write.option("compression", "zstd").parquet(f"file:{folder}/ids")
+    ids = spark.read.schema(ENCODED).parquet(f"file:{folder}/ids")
+    for k in range(2, order + 1):
+        build_level(ids.where(is_training(every)), trie, k)
 
-    return map_arrow(rows, run, RESULT)
+    def run(batches):
+        for part, stream, firsts in streams(batches, SCORED):
+            score = np.add.reduceat(log_probabilities(trie, stream, firsts), firsts)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in RESULT.names[:-1]), pa.array(score)], RESULT.names)
+
+    held = F.lit(True) != is_training(every)
+    scored = map_arrow(ids, run, RESULT).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out = checkpointed(scored)
+    shutil.rmtree(folder, ignore_errors=True)
+    return out

@@ -1,13 +1,17 @@
 """Main text on pages of several layouts, and the n-gram model against plain counting."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodestack.llm import html_text, ngram
+from lodestack.llm.common import checkpoint_dir
+from lodestack.llm.elias_fano import EliasFano
 
 LONG = "This paragraph is long enough to count as the text of an article, and it goes on for a while."
 
@@ -58,38 +62,85 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or "")) + [None]
 
 
-def test_ngram_scores(spark, documents, odd, nothing):
-    for docs in (documents, odd):
-        table = rows(docs)
-        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
-        train = [tokens(r["text"]) for r in table if not held(r["doc_id"])]
-        c, pairs, n = Counter(t for d in train for t in d), Counter(p for d in train for p in zip(["\n", *d], d, strict=False)), sum(map(len, train))
-        c1 = c | Counter({"\n": len(train)})
-        p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
-        want = []
-        for r in table:
-            d = tokens(r["text"])
-            m = lambda h: ngram.A * max(c1.get(h, 0), 1) ** ngram.B
-            score = sum(math.log10((pairs[h, w] + m(h) * p1(w)) / (c1.get(h, 0) + m(h))) for h, w in zip(["\n", *d], d, strict=False))
-            want.append((str(r["doc_id"]), held(r["doc_id"]), len(d), sum(c[w] > 0 for w in d), n, sum(math.log10(p1(w)) for w in d), score))
-        got = sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows(ngram.scores(docs)))
-        for a, b in zip(got, sorted(want), strict=True):
-            assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and abs(a[6] - b[6]) < 1e-3 * b[2]
-    assert rows(ngram.scores(nothing)) == []
-    total = lambda which: sum(r["score"] - r["base_score"] for r in rows(ngram.scores(documents)) if r["held_out"] == which)
-    assert total(True) > 0 and total(False) > 0
-
-
-def test_elias_fano_and_spread():
+def brute_scores(table, order):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    train = [["\n", *tokens(r["text"])] for r in table if not held(r["doc_id"])]
+    c = {k: Counter(tuple(d[i : i + k]) for d in train for i in range(len(d) - k + 1)) for k in range(1, order + 1)}
+    marks = c[1].pop(("\n",), 0)
+    n, v = sum(c[1].values()), len(c[1])
+
+    def p(h, w):
+        if not h:
+            return (c[1][(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        seen, shorter = (marks if h == ("\n",) else c[len(h)][h]), p(h[1:], w)
+        m = ngram.prior(np.array([float(seen)]), len(h) + 1)[0]
+        return (c[len(h) + 1][(*h, w)] + m * shorter) / (seen + m) if seen else shorter
+
+    for r in table:
+        d = ["\n", *tokens(r["text"])]
+        score = sum(math.log10(p(tuple(d[max(0, i - order + 1) : i]), d[i])) for i in range(1, len(d)))
+        yield str(r["doc_id"]), held(r["doc_id"]), len(d) - 1, sum(c[1][(w,)] > 0 for w in d[1:]), n, sum(math.log10(p((), w)) for w in d[1:]), score
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_ngram_scores(spark, documents, odd, nothing, order, monkeypatch):
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for docs, shard, buffer in ((documents, 3_000_000, 2_000_000), (documents, 4000, 7000), (odd, 3_000_000, 2_000_000)):
+        monkeypatch.setattr(ngram, "SHARD_TOKENS", shard)
+        for size in ("BUFFER", "SCORED", "CACHE"):
+            monkeypatch.setattr(ngram, size, buffer)
+        got = sorted((str(r["doc_id"]), *(r[k] for k in names[1:])) for r in rows(ngram.scores(docs, order=order)))
+        for a, b in zip(got, sorted(brute_scores(rows(docs), order)), strict=True):
+            assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9) and abs(a[6] - b[6]) < 1e-3 * b[2]
+    assert rows(ngram.scores(nothing, order=order)) == []
+
+
+def test_longer_contexts_score_better(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    total = {order: sum(r["score"] for r in rows(ngram.scores(docs, order=order)) if r["held_out"]) for order in (2, 3)}
+    base = sum(r["base_score"] for r in rows(ngram.scores(docs)) if r["held_out"])
+    assert base < total[2] < total[3]
+
+
+def test_trie_files_and_their_folder(spark, documents, tmp_path):
+    trie = ngram.Trie(str(tmp_path), 3)
+    training = documents.select("doc_id", "text").where("text is not null")
+    ngram.build_words(training, trie)
+    ids = ngram.encoded(training, trie)
+    for k in (2, 3):
+        ngram.build_level(ids, trie, k)
+    for k in (2, 3):
+        for s in range(trie.shards[k]):
+            nodes = ngram.Nodes(f"{tmp_path}/level{k}-{s}")
+            contexts = nodes.contexts.n
+            first, end = nodes.children.bucket(np.arange(contexts))
+            assert first[0] == 0 and end[-1] == nodes.children.n and (first[1:] == end[:-1]).all() and (end > first).all()
+            assert nodes.children.bits / nodes.children.n < nodes.children.low + 3 and nodes.children.low == trie.low
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    scored = ngram.scores(documents)
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("ngram-")] and scored.count() == documents.count()
+
+
+def test_elias_fano():
     rng = np.random.default_rng(3)
-    for high in (10, 1 << 20, 1 << 63):
-        for n in (0, 1, 2, 500):
+    for high in (1, 10, 1 << 20, 1 << 63):
+        for n in (0, 1, 2, 500, 100_000):
             values = np.unique(rng.integers(0, high, n, dtype=np.uint64))
-            ef = ngram.EliasFano(ngram.EliasFano.build(values))
+            ef = EliasFano(EliasFano.build(values))
             asked = np.concatenate([values, rng.integers(0, high, 300, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
             place, found = ef.successor(asked)
             assert place.tolist() == np.searchsorted(values, asked).tolist() and found.tolist() == np.isin(asked, values).tolist()
-            if n:
-                assert ngram.unpack(ngram.pack(values)).tolist() == values.tolist()
-    one = ngram.spread(np.full(10_000, 7), np.arange(10_000), 10_000, 80)
+            if len(values) > 1000:
+                assert ef.bits / len(values) < ef.low + 3  # 64 bits each as they come
+    runs = np.concatenate([np.arange(70_000, dtype=np.uint64), np.array([1 << 40, (1 << 40) + 5], np.uint64)])  # one bucket has nearly all
+    ef = EliasFano(EliasFano.build(runs, 20))
+    assert ef.successor(runs)[0].tolist() == list(range(len(runs))) and ef.successor(runs + np.uint64(1))[0].tolist() == np.searchsorted(runs, runs + np.uint64(1)).tolist()
+
+
+def test_columns_and_spread():
+    rng = np.random.default_rng(4)
+    values = np.sort(rng.integers(0, 1 << 32, 1000).astype("<u4"))
+    assert ngram.unpack(ngram.pack(values, True), "<u4", True).tolist() == ngram.unpack(ngram.pack(values, False), "<u4", False).tolist() == values.tolist()
+    one = ngram.spread(np.full(10_000, 7 << 30, np.uint64), np.arange(10_000), 80)
     assert len(np.unique(one)) == 10 and np.bincount(one).max() < 1200
