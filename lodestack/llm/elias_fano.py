@@ -2,16 +2,17 @@
 
 An ascending sequence of n values is cut at bit ``low``: the low bits are packed, the high parts are one bit string in unary
 (for h = 0, 1, ...: a one for each value with high part h, then a zero). The place of a zero tells how many values come before a
-high part, so ``bucket`` is a select of zeros: a directory holds the zeros before each block of 256 bits, the rest is popcounts.
-Directory and string take low + 2 bits a value and a quarter (``build`` chooses ``low`` so that there are at most n + 1 zeros).
+high part, so ``bucket`` is a select of zeros: samples hold the place of every 64th zero, from where a few words are counted through;
+where a long run of ones lies between, a directory of the zeros before each block of 256 bits is searched instead. String, samples
+and directory take low + 2.75 bits a value at most (``build`` chooses ``low`` so that there are no more than n + 1 zeros).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: 64-bit words of a directory block.
-BLOCK = 4
+#: 64-bit words of a directory block, zeros from sample to sample, words that are counted through before the directory is asked.
+BLOCK, SAMPLE, STEPS = 4, 64, 4
 U, ONES, TOPS = np.uint64, np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 #: Place of the r-th one of a byte, at 8 * byte + r.
 NTH = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[r] for x in range(256) for r in range(8)], np.uint8)
@@ -43,6 +44,11 @@ def packed(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _words(values: np.ndarray) -> np.ndarray:
+    """32-bit numbers in whole 64-bit words."""
+    return np.concatenate([values, np.zeros(len(values) % 2, np.int64)]).astype("<u4").view("<u8")
+
+
 class EliasFano:
     """Ascending values below 2**64. ``low`` given: the number of low bits, so that a high part is a bucket of its own."""
 
@@ -56,15 +62,16 @@ class EliasFano:
         bits = np.zeros(-(-(n + zeros) // (64 * BLOCK)) * 64 * BLOCK + 64 * BLOCK, np.uint8)
         bits[(values >> U(low)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view("<u8")
-        before = np.cumsum(64 * BLOCK - np.bitwise_count(high.reshape(-1, BLOCK)).sum(axis=1, dtype=np.int64)) - 64 * BLOCK + np.bitwise_count(high.reshape(-1, BLOCK)).sum(axis=1, dtype=np.int64)
-        before = np.concatenate([before, np.zeros(len(before) % 2, np.int64)]).astype("<u4").view("<u8")
+        own = 64 * BLOCK - np.bitwise_count(high.reshape(-1, BLOCK)).sum(axis=1, dtype=np.int64)
+        before, samples = _words(np.cumsum(own) - own), _words(np.flatnonzero(bits[: n + zeros] == 0)[::SAMPLE])
         lows = packed(values, low)
-        return np.concatenate([np.array([n, low, zeros, len(high), len(before), len(lows)], "<u8"), high, before, lows])
+        return np.concatenate([np.array([n, low, zeros, len(high), len(before), len(samples), len(lows)], "<u8"), high, before, samples, lows])
 
     def __init__(self, words: np.ndarray):
-        self.n, self.low, self.zeros, a, b, c = (int(x) for x in words[:6])
-        self.high, self.lows, self.size = words[6 : 6 + a], words[6 + a + b : 6 + a + b + c], 6 + a + b + c
-        self.before = words[6 + a : 6 + a + b].view("<u4")[: a // BLOCK]
+        self.n, self.low, self.zeros, *sizes = (int(x) for x in words[:7])
+        a, b, c, self.size = (7 + sum(sizes[: k + 1]) for k in range(4))
+        self.high, self.lows = words[7:a], words[c : self.size]
+        self.before, self.samples = words[a:b].view("<u4")[: sizes[0] // BLOCK], words[b:c].view("<u4")
 
     @property
     def bits(self) -> int:
@@ -73,17 +80,28 @@ class EliasFano:
 
     def zero(self, i: np.ndarray) -> np.ndarray:
         """Places of the i-th zeros."""
-        block = np.searchsorted(self.before, i.astype(np.uint32), side="right") - 1
-        left, word = i - self.before[block], block * BLOCK
-        x = ~self.high[word]
+        at, left = self.samples[i // SAMPLE].astype(np.int64), i % SAMPLE
+        word = at >> 6
+        x = ~self.high[word] & (~U(0) << (at & 63).astype(U))
         n = np.bitwise_count(x)
         on = np.flatnonzero(n <= left)
-        while on.size:
+        for _ in range(STEPS):
+            if not on.size:
+                break
             left[on] -= n[on]
             word[on] += 1
             x[on] = ~self.high[word[on]]
             n[on] = np.bitwise_count(x[on])
             on = on[n[on] <= left[on]]
+        if on.size:
+            block = np.searchsorted(self.before, i[on].astype(np.uint32), side="right") - 1
+            left[on], word[on] = i[on] - self.before[block], block * BLOCK
+            while on.size:
+                x[on] = ~self.high[word[on]]
+                n[on] = np.bitwise_count(x[on])
+                on = on[n[on] <= left[on]]
+                left[on] -= n[on]
+                word[on] += 1
         return word * 64 + nth_one(x, left)
 
     def bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,18 +129,19 @@ class EliasFano:
 
     def within(self, lo: np.ndarray, hi: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the places from lo to hi, which must lie in one bucket, the first whose low bits are not below ``rest``, and if equal."""
-        end, lo, hi = hi, lo.copy(), hi.copy()
-        on = np.flatnonzero(lo < hi)
-        while on.size:
+        some = np.flatnonzero(lo < hi)
+        place, found = lo.copy(), np.zeros(len(lo), bool)
+        lo, hi, rest = lo[some], hi[some], rest[some]
+        on = np.flatnonzero(hi - lo > 1)
+        while on.size:  # the last one that is not above
             mid = (lo[on] + hi[on]) >> 1
-            less = self.rest(mid) < rest[on]
-            lo[on] = np.where(less, mid + 1, lo[on])
-            hi[on] = np.where(less, hi[on], mid)
-            on = on[lo[on] < hi[on]]
-        found = np.zeros(len(lo), bool)
-        some = np.flatnonzero(lo < end)
-        found[some] = self.rest(lo[some]) == rest[some]
-        return lo, found
+            above = self.rest(mid) > rest[on]
+            lo[on] = np.where(above, lo[on], mid)
+            hi[on] = np.where(above, mid, hi[on])
+            on = on[hi[on] - lo[on] > 1]
+        there = self.rest(lo)
+        place[some], found[some] = lo + (there < rest), there == rest
+        return place, found
 
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the first value not below each, and whether it is equal."""

@@ -1,12 +1,13 @@
 """Operator 9: language-model scoring with an Elias-Fano n-gram trie.
 
 Tokens are lower-cased words and one end token; a start mark precedes each text. The model interpolates its orders: with c the
-counts in the training texts, P(w | h) = (c(h w) + m(h) * P(w | h')) / (c(h) + m(h)), where h' is h without its first token and
-m(h) = A * c(h) ** B; the lowest order is P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). A context that was not seen leaves the
-decision to the shorter one. It sums to one over the known words and one unknown.
+counts in the training texts, P(w | h) = p(w | h) + b(h) * P(w | h'), where h' is h without its first token, p(w | h) =
+c(h w) / (c(h) + m(h)) is smoothed by m(h) = A * c(h) ** B, and b(h) = m(h) / (c(h) + m(h)). The lowest order is
+P(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)). A context that was not seen leaves the decision to the shorter one. It sums to one over
+the known words and one unknown.
 
-Passes: count the words; write each text as word ids (with its base score) to the shared folder; for each order count its n-grams
-and build its level; score the ids.
+Passes: read the texts once, as numbers into the words of blocks of BLOCK tokens, whose words are counted; number the words and
+write each text as word ids (with its base score); for each order count its n-grams and build its level; score the ids.
 
 Level 1 holds the words' 64-bit hashes in order, and their counts; a word's id is its shard and place. Level k holds the n-grams
 of k tokens as children of their contexts. A context is the place of a node of the level before, so a shard has
@@ -14,7 +15,8 @@ of k tokens as children of their contexts. A context is the place of a node of t
 * its contexts, ascending, in Elias-Fano form: the rank i of a context is its place among them;
 * the children's word ids, relative to their context: i * 2**b + word, b bits holding any word. In Elias-Fano form with b low
   bits the high bits, one unary string, are at the same time the monotone pointers: bucket i is the range of the children of i;
-* log10 P of each child, quantised to 16 bits, and, below the highest order, its count.
+* the smoothed p of each child, its logarithm quantised to 16 bits, and, below the highest order, its count, exact below 32,768 and
+  within 0.05 % above.
 
 A query finds its context's rank, reads the pointers, and searches the successor of the word among that context's children only.
 
@@ -24,7 +26,7 @@ a repeated task does no harm. Tasks map them into memory, at most OPEN at a time
 row (totals) reaches the driver. The result is written before the folder is deleted.
 
 Bounds: a shard holds about SHARD_TOKENS tokens' n-grams, a task BUFFER tokens, so memory does not grow with the corpus; a batch of
-BUFFER tokens asks each shard once, which stays cheap while there are fewer shards than tokens of a batch. Word ids have 32 bits; a
+SCORED tokens asks each shard once, which stays cheap while there are fewer shards than tokens of a batch. Word ids have 32 bits; a
 corpus with more distinct words is refused.
 
 Defined results: null text is empty (one token, the end); rows without id are training rows; repeated rows count as often as they
@@ -49,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint_folder, checkpointed, map_arrow, slices, texts
+from .common import checkpoint_folder, checkpointed, map_arrow, release, slices, texts
 from .elias_fano import EliasFano
 
 ORDER = 3
@@ -60,10 +62,10 @@ A, B = (4.0, 2.0), 0.8
 ADD = 0.1
 END = 1  # hash kept for the end; no word's hash is mapped there
 UNKNOWN = (1 << 32) - 1
-#: Tokens of a shard of the levels above 1, and characters of one of level 1, on average.
-SHARD_TOKENS, SHARD_CHARS = 3_000_000, 20_000_000
-#: Words whose places are remembered by a task, tokens that it handles at a time when counting and when scoring, files it keeps open.
-CACHE, BUFFER, SCORED, OPEN = 400_000, 2_000_000, 400_000, 256
+#: Tokens of a shard, on average.
+SHARD_TOKENS = 3_000_000
+#: Tokens of a block, those that a task handles at a time when counting and when scoring, files it keeps open.
+BLOCK, BUFFER, SCORED, OPEN = 500_000, 2_000_000, 400_000, 256
 
 
 def prior(counts: np.ndarray, order: int) -> np.ndarray:
@@ -74,7 +76,7 @@ def prior(counts: np.ndarray, order: int) -> np.ndarray:
 
 
 class Words(dict):
-    """Word -> place in ``hashes``, for the words that a task has met; emptied by ``trim`` when there are too many."""
+    """Word -> place in ``hashes``, for the words of a block."""
 
     def __init__(self):
         super().__init__()
@@ -82,23 +84,28 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         self.hashes.append(max(xxhash.xxh64_intdigest(word, 9), END + 1))
-        if len(word) < 48:
-            self[word] = len(self.hashes) - 1
+        self[word] = len(self.hashes) - 1
         return len(self.hashes) - 1
 
     def places(self, text: str) -> np.ndarray:
         """Of a text's tokens, the end (place 0) last."""
         words = text.encode().lower().split()  # of bytes, both know ASCII only
-        out = np.zeros(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out = np.zeros(len(words) + 1, "<u4")
+        out[:-1] = np.fromiter(map(self.__getitem__, words), "<u4", len(words))
         return out
 
-    def trim(self) -> bool:
-        if len(self.hashes) <= CACHE:
-            return False
-        self.clear()
-        del self.hashes[1:]
-        return True
+
+def log_codes(values: np.ndarray) -> np.ndarray:
+    """Counts as 16 bits: below 32,768 as they are, above on a logarithmic scale."""
+    above = 32768 + np.round(np.log2(np.maximum(values, 32768) / 32768) * 700)
+    return np.where(values < 32768, values, np.minimum(above, 65535)).astype("<u2")
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    out = codes.astype(np.float64)
+    some = np.flatnonzero(codes >= 32768)
+    out[some] = 32768 * 2 ** ((out[some] - 32768) / 700)
+    return out
 
 
 # Columns on their way to a shard ----------------------------------------------------------------------------------------
@@ -176,14 +183,14 @@ class WordShard:
 
 
 class Nodes:
-    """A shard of a level above 1: contexts, their children's words, quantised log10 P and counts."""
+    """A shard of a level above 1: contexts, their children's words, quantised p and counts."""
 
     @staticmethod
     def write(folder: str, name: str, contexts: np.ndarray, rank: np.ndarray, words: np.ndarray, low: int, logs: np.ndarray, counts: np.ndarray | None) -> None:
         floor = float(logs.min())
         step = max((float(logs.max()) - floor) / 65535, 1e-12)
         children = EliasFano.build(rank.astype(np.uint64) << np.uint64(low) | words.astype(np.uint64), low, len(contexts))
-        extra = [] if counts is None else [_whole(counts.astype("<f4"))]
+        extra = [] if counts is None else [_whole(log_codes(counts))]
         _write(folder, name, EliasFano.build(contexts), children, np.array([floor, step]), _whole(np.round((logs - floor) / step).astype("<u2")), *extra)
 
     def __init__(self, path: str):
@@ -193,15 +200,16 @@ class Nodes:
         at, n = self.contexts.size + self.children.size, self.children.n
         self.floor, self.step = w[at : at + 2].view("<f8").tolist()
         self.codes = w[at + 2 : at + 2 + -(-n // 4)].view("<u2")
-        self.counts = w[at + 2 + -(-n // 4) :].view("<f4")
+        self.counts = w[at + 2 + -(-n // 4) :].view("<u2")
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each context's child with the word, and whether there is one."""
-        rank, found = self.contexts.successor(contexts)
-        place, some = np.zeros(len(contexts), np.int64), np.flatnonzero(found)
-        first, end = self.children.bucket(rank[some])  # the pointers
-        place[some], found[some] = self.children.within(first, end, words[some].astype(np.uint64))
-        return place, found
+        """Place of each context's child with the word, and whether there is one. Equal contexts stand together."""
+        new = np.concatenate([[True], contexts[1:] != contexts[:-1]])
+        rank, there = self.contexts.successor(contexts[new])
+        first, end = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        first[there], end[there] = self.children.bucket(rank[there])  # the pointers
+        each = np.cumsum(new) - 1
+        return self.children.within(first[each], end[each], words)
 
 
 @lru_cache(maxsize=OPEN)
@@ -209,9 +217,9 @@ def _open(path: str) -> WordShard | Nodes:
     return (WordShard if os.path.basename(path).startswith("level1-") else Nodes)(path)
 
 
-def by_shard(shard: np.ndarray):
-    """(shard, places of its rows) in order of shard."""
-    order = np.argsort(shard, kind="stable")
+def by_shard(shard: np.ndarray, then: np.ndarray | None = None):
+    """(shard, places of its rows) in order of shard; rows with equal ``then`` (below 2**44) stand together."""
+    order = np.argsort(shard, kind="stable") if then is None else np.argsort(shard.astype(np.uint64) << np.uint64(44) ^ then & np.uint64((1 << 44) - 1))
     edges = np.flatnonzero(np.concatenate([[True], shard[order[1:]] != shard[order[:-1]], [True]])) if len(order) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(shard[order[a]]), order[a:b]
@@ -275,61 +283,81 @@ class Trie:
             out[some] = self.level(1, k).counts[ids[some] - k * self.width[1]]
         return out
 
-    def find(self, k: int, contexts: np.ndarray, mix: np.ndarray, words: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Node (-1: none), log10 P and count of the children ``words`` of nodes of level k - 1."""
-        node, logs, n = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.zeros(len(words))
+    def find(self, k: int, contexts: np.ndarray, mix: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Node (-1: none), p and count of the children ``words`` of nodes of level k - 1; ``mix``: the contexts' hashes."""
+        node, p, n = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.zeros(len(words))
         if self.shards[k]:
-            for s, some in by_shard(spread(mix, words, self.shards[k])):
+            contexts, words = contexts.astype(np.uint64), words.astype(np.uint64)
+            for s, some in by_shard(spread(mix, words, self.shards[k]), contexts):
                 own = self.level(k, s)
-                place, found = own.find(contexts[some].astype(np.uint64), words[some])
+                place, found = own.find(contexts[some], words[some])
                 some, place = some[found], place[found]
-                node[some], logs[some] = s * self.width[k] + place, own.floor + own.step * own.codes[place]
-                if counts and k < self.order:
-                    n[some] = own.counts[place]
-        return node, logs, n
-
-    def walk(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Node, mix, log10 P and count of paths of ids that are in the trie."""
-        node, mix, logs, n = columns[0].astype(np.int64), mixed(np.zeros(len(columns[0]), np.uint64), columns[0]), np.zeros(0), np.zeros(0)
-        if len(columns) == 1:
-            n = self.counts_of(node).astype(np.float64)
-            logs = np.log10(self.unigram(n))
+                node[some], p[some] = s * self.width[k] + place, 10.0 ** (own.floor + own.step * own.codes[place])
+                if k < self.order:
+                    n[some] = decoded(own.counts[place])
+        return node, p, n
+
+    def walk(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Node and count of paths of ids that are in the trie."""
+        node, mix = columns[0].astype(np.int64), mixed(np.zeros(len(columns[0]), np.uint64), columns[0])
+        n = self.counts_of(node).astype(np.float64) if len(columns) == 1 else np.zeros(0)
         for k, ids in enumerate(columns[1:], 2):
-            node, logs, n = self.find(k, node, mix, ids)
+            node, _, n = self.find(k, node, mix, ids)
             mix = mixed(mix, ids)
-        return node, mix, logs, n
+        return node, n
 
 
 # Building ---------------------------------------------------------------------------------------------------------------
 
 
-def is_training(every: int = 10, id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % every != 0, F.lit(True))
+BLOCKS = T.StructType([T.StructField(n, T.BinaryType()) for n in ("doc_ids", "known_ids", "training", "sizes", "places", "hashes", "counts")])
 
 
-def build_words(training: DataFrame, trie: Trie) -> None:
-    """Level 1 of the texts in ``training``, and the totals."""
-    trie.docs, chars = training.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    shards, folder = 2 + int(chars // SHARD_CHARS), trie.folder
-    step = np.uint64((1 << 64) // shards + 1)
+def blocks(rows: DataFrame, every: int) -> DataFrame:
+    """The texts in blocks: their tokens as places in the block's words, these words' hashes and their counts in training texts.
 
-    def count(batches):
-        words, counts = Words(), np.zeros(0, np.int64)
+    Columns are little-endian arrays: ids (0 where ``known_ids`` is 0), whether a text is for training, tokens of each text.
+    """
+
+    def run(batches):
+        words, held, parts = Words(), 0, []
 
         def out():
-            hashes = np.array(words.hashes, np.uint64)
-            keys, n = summed(hashes[counts > 0], counts[counts > 0])
-            yield blobs((keys // step).astype(np.int64), [keys], n)
-
-        for _, values in slices(batches):
-            places = np.concatenate([words.places(t) for t in values])
-            counts = np.concatenate([counts, np.zeros(len(words.hashes) - len(counts), np.int64)]) + np.bincount(places, minlength=len(words.hashes))
-            if len(words.hashes) > CACHE:
-                yield from out()
-                words.trim()
-                counts = np.zeros(0, np.int64)
-        if counts.any():
-            yield from out()
+            places, training = np.concatenate([p for _, _, ps in parts for p in ps]), np.concatenate([t for _, t, _ in parts])
+            sizes = np.array([len(p) for _, _, ps in parts for p in ps], "<u4")
+            counts = np.bincount(places[np.repeat(training, sizes)], minlength=len(words.hashes)).astype("<u4")
+            ids = [i for some, _, _ in parts for i in some]
+            columns = [np.array([i or 0 for i in ids], "<i8"), np.array([i is not None for i in ids]), training, sizes, places, np.array(words.hashes, "<u8"), counts]
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], BLOCKS.names)
+
+        for part, values in slices(batches):
+            ids = part.column("doc_id").to_pylist()
+            parts.append((ids, np.array([i is None or zlib.crc32(str(i).encode()) % every != 0 for i in ids]), [words.places(t) for t in values]))
+            held += sum(map(len, parts[-1][2]))
+            if held >= BLOCK:
+                yield out()
+                words, held, parts = Words(), 0, []
+        if parts:
+            yield out()
+
+    return map_arrow(rows, run, BLOCKS)
+
+
+def build_words(read: DataFrame, trie: Trie) -> None:
+    """Level 1 of the blocks, and the totals."""
+    folder = trie.folder
+    flags = F.regexp_count(F.hex("training"), F.lit("01"))  # texts for training; a byte is 00 or 01
+    trie.docs, tokens = read.agg(F.coalesce(F.sum(flags), F.lit(0)), F.coalesce(F.sum(F.length("places") / 4), F.lit(0))).first()
+    shards = 2 + int(tokens // SHARD_TOKENS)
+    step = np.uint64((1 << 64) // shards + 1)
+
+    def deal(batches):
+        for batch in batches:
+            for h, c in zip(batch.column("hashes"), batch.column("counts"), strict=True):
+                hashes, counts = np.frombuffer(h.as_py(), "<u8"), np.frombuffer(c.as_py(), "<u4")
+                keys, n = summed(hashes[counts > 0], counts[counts > 0])
+                if len(keys):
+                    yield blobs((keys // step).astype(np.int64), [keys], n)
 
     def level(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         hashes, counts = summed(np.concatenate([unpack(x, "<u8", True) for x in group["c0"]]), gathered(group, "counts", "<u4").astype(np.int64))
@@ -338,7 +366,7 @@ def build_words(training: DataFrame, trie: Trie) -> None:
 
     for k in range(shards):  # a shard that no word falls into
         WordShard.write(folder, k, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    found = map_arrow(training.select("text"), count, blob_schema(1))
+    found = map_arrow(read.select("hashes", "counts"), deal, blob_schema(1))
     made = found.repartition(max(shards, 8), "shard").groupBy("shard").applyInPandas(level, "n long, tokens long")
     v, n, width = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     trie.shards[1], trie.width[1], trie.v, trie.n = shards, max(1, width), v, n
@@ -346,30 +374,27 @@ def build_words(training: DataFrame, trie: Trie) -> None:
         raise ValueError(f"{v} distinct words are more than 32-bit ids can tell apart")
 
 
-ENCODED = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("ids", T.BinaryType()))])
+ENCODED = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("training", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("ids", T.BinaryType()))])
 
 
-def encoded(rows: DataFrame, trie: Trie) -> DataFrame:
-    """Every text as 32-bit word ids, the start mark first, with what only depends on the words."""
+def encoded(read: DataFrame, trie: Trie) -> DataFrame:
+    """Every text of the blocks as 32-bit word ids, the start mark first, with what only depends on the words."""
 
     def run(batches):
-        words = Words()
-        ids, counts, base = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for part, values in slices(batches):
-            if words.trim():
-                ids, counts, base = ids[:1], counts[:1], base[:1]
-            own = [words.places(t) for t in values]
-            new = np.array(words.hashes[len(ids) :], np.uint64)
-            i, c = trie.words(new)
-            ids, counts, base = np.concatenate([ids, i]), np.concatenate([counts, c]), np.concatenate([base, np.log10(trie.unigram(c))])
-            places, sizes = np.concatenate(own), np.array(list(map(len, own)))
-            first = np.cumsum(sizes) - sizes
-            stream = np.insert(ids[places], first, trie.start).astype("<u4")
-            edges = pa.array(np.concatenate([[0], 4 * np.cumsum(sizes + 1)]).astype(np.int32))
-            raw = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, edges.buffers()[1], pa.py_buffer(stream.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(np.add.reduceat((counts[places] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base[places], first)), raw], ENCODED.names)
-
-    return map_arrow(rows, run, ENCODED)
+        for batch in batches:
+            for row in batch.to_pylist():
+                column = lambda name, kind: np.frombuffer(row[name], kind)  # noqa: B023, E731
+                ids, counts = trie.words(column("hashes", "<u8"))
+                places, sizes = column("places", "<u4"), column("sizes", "<u4").astype(np.int64)
+                first = np.cumsum(sizes) - sizes
+                stream = np.insert(ids[places], first, trie.start).astype("<u4")
+                edges = pa.array(np.concatenate([[0], 4 * np.cumsum(sizes + 1)]), pa.int64())
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, edges.buffers()[1], pa.py_buffer(stream.tobytes())]).cast(pa.binary())
+                known, base = np.add.reduceat((counts > 0).astype(np.int64)[places], first), np.add.reduceat(np.log10(trie.unigram(counts))[places], first)
+                doc_ids = pa.array(column("doc_ids", "<i8"), mask=~column("known_ids", bool))
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(column("training", bool)), pa.array(sizes), pa.array(known), pa.array(base), raw], ENCODED.names)
+
+    return map_arrow(read.drop("counts"), run, ENCODED)
 
 
 def streams(batches, tokens: int):
@@ -448,12 +473,9 @@ def build_level(training: DataFrame, trie: Trie, k: int) -> None:
             ranks = back.astype(np.uint64)
         keys, counts = summed(ranks << np.uint64(32) | columns[-1].astype(np.uint64), counts)
         ranks, words = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        parts = [[h[i : i + SCORED] for h in heads] for i in range(0, len(heads[0]), SCORED)]
-        walked = [trie.walk(p) for p in parts]
-        contexts, before = np.concatenate([w[0] for w in walked]), np.concatenate([w[3] for w in walked])
-        lower = np.concatenate([trie.walk([*(h[ranks[i : i + SCORED]] for h in heads[1:]), words[i : i + SCORED]])[2] for i in range(0, len(words), SCORED)])
-        weight = prior(before, k)[ranks]
-        logs = np.log10((counts + weight * 10**lower) / (before[ranks] + weight))
+        walked = [trie.walk([h[i : i + SCORED] for h in heads]) for i in range(0, len(heads[0]), SCORED)]
+        contexts, before = (np.concatenate([w[i] for w in walked]) for i in range(2))
+        logs = np.log10(counts / (before + prior(before, k))[ranks])
         order = np.argsort(contexts)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -476,10 +498,9 @@ def build_level(training: DataFrame, trie: Trie, k: int) -> None:
 
 def log_probabilities(trie: Trie, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """log10 P of every id in its text; 0 for the start marks."""
-    mark = np.zeros(len(ids), bool)
-    mark[firsts] = True
-    node, count = ids.astype(np.int64), trie.counts_of(ids.astype(np.int64)).astype(np.float64)
-    logs, known = np.log10(trie.unigram(np.where(mark, 0.0, count))), ids != UNKNOWN
+    node, known = ids.astype(np.int64), ids != UNKNOWN
+    count = trie.counts_of(node).astype(np.float64)
+    p = trie.unigram(count)
     node[~known] = -1
     mix = mixed(np.zeros(len(ids), np.uint64), ids)
     for k in range(2, trie.order + 1):
@@ -487,39 +508,45 @@ def log_probabilities(trie: Trie, ids: np.ndarray, firsts: np.ndarray) -> np.nda
         at = at[node[at - 1] >= 0]
         c = count[at - 1]
         weight = prior(c, k)
-        logs[at] += np.log10(weight / (c + weight))
+        p[at] *= weight / (c + weight)
         at = at[known[at]]
-        new, found, n = trie.find(k, node[at - 1], mix[at - 1], ids[at], counts=k < trie.order)
-        there = new >= 0
-        logs[at[there]] = found[there]
-        last, node, count = mix, np.full(len(ids), -1, np.int64), np.zeros(len(ids))
-        node[at], count[at] = new, n
-        mix = mixed(np.concatenate([last[:1], last[:-1]]), ids)
-    logs[mark] = 0.0
-    return logs
+        new, more, n = trie.find(k, node[at - 1], mix[at - 1], ids[at])
+        p[at] += more
+        if k < trie.order:
+            last, node, count = mix, np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+            node[at], count[at] = new, n
+            mix = mixed(np.concatenate([last[:1], last[:-1]]), ids)
+    p[firsts] = 1.0
+    return np.log10(p)
 
 
-RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
+RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
 
 
 def scores(docs: DataFrame, every: int = 10, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows not held out."""
-    rows, spark = texts(docs), docs.sparkSession
+    spark = docs.sparkSession
     folder = checkpoint_folder(spark, "ngram")
     trie = Trie(folder, order)
-    build_words(rows.where(is_training(every)), trie)
-    encoded(rows, trie).write.option("compression", "zstd").parquet(f"file:{folder}/ids")
-    ids = spark.read.schema(ENCODED).parquet(f"file:{folder}/ids")
+
+    def written(df: DataFrame, name: str, schema: T.StructType) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"file:{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"file:{folder}/{name}")
+
+    read = written(blocks(texts(docs), every), "blocks", BLOCKS)
+    build_words(read, trie)
+    ids = written(encoded(read, trie), "ids", ENCODED)
+    shutil.rmtree(f"{folder}/blocks", ignore_errors=True)
     for k in range(2, order + 1):
-        build_level(ids.where(is_training(every)), trie, k)
+        release(spark)
+        build_level(ids.where("training"), trie, k)
 
     def run(batches):
         for part, stream, firsts in streams(batches, SCORED):
             score = np.add.reduceat(log_probabilities(trie, stream, firsts), firsts)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in RESULT.names[:-1]), pa.array(score)], RESULT.names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.compute.invert(part.column("training")), *(part.column(c) for c in RESULT.names[2:-1]), pa.array(score)], RESULT.names)
 
-    held = F.lit(True) != is_training(every)
-    scored = map_arrow(ids, run, RESULT).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(trie.n).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = map_arrow(ids, run, RESULT).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(trie.n).cast("long").alias("train_tokens"), "base_score", "score")
     out = checkpointed(scored)
     shutil.rmtree(folder, ignore_errors=True)
     return out

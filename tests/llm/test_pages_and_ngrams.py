@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from lodestack.llm import html_text, ngram
-from lodestack.llm.common import checkpoint_dir
+from lodestack.llm.common import checkpoint_dir, checkpointed
 from lodestack.llm.elias_fano import EliasFano
 
 LONG = "This paragraph is long enough to count as the text of an article, and it goes on for a while."
@@ -87,7 +87,7 @@ def test_ngram_scores(spark, documents, odd, nothing, order, monkeypatch):
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     for docs, shard, buffer in ((documents, 3_000_000, 2_000_000), (documents, 4000, 7000), (odd, 3_000_000, 2_000_000)):
         monkeypatch.setattr(ngram, "SHARD_TOKENS", shard)
-        for size in ("BUFFER", "SCORED", "CACHE"):
+        for size in ("BUFFER", "SCORED", "BLOCK"):
             monkeypatch.setattr(ngram, size, buffer)
         got = sorted((str(r["doc_id"]), *(r[k] for k in names[1:])) for r in rows(ngram.scores(docs, order=order)))
         for a, b in zip(got, sorted(brute_scores(rows(docs), order)), strict=True):
@@ -105,8 +105,9 @@ def test_longer_contexts_score_better(spark):
 def test_trie_files_and_their_folder(spark, documents, tmp_path):
     trie = ngram.Trie(str(tmp_path), 3)
     training = documents.select("doc_id", "text").where("text is not null")
-    ngram.build_words(training, trie)
-    ids = ngram.encoded(training, trie)
+    read = checkpointed(ngram.blocks(training, 1 << 40))
+    ngram.build_words(read, trie)
+    ids = checkpointed(ngram.encoded(read, trie))
     for k in (2, 3):
         ngram.build_level(ids, trie, k)
     for k in (2, 3):
@@ -142,5 +143,7 @@ def test_columns_and_spread():
     rng = np.random.default_rng(4)
     values = np.sort(rng.integers(0, 1 << 32, 1000).astype("<u4"))
     assert ngram.unpack(ngram.pack(values, True), "<u4", True).tolist() == ngram.unpack(ngram.pack(values, False), "<u4", False).tolist() == values.tolist()
+    n = np.array([0, 1, 32_767, 32_768, 100_000, 10**9, 10**12])
+    assert np.abs(ngram.decoded(ngram.log_codes(n)) - n).max() <= 1e-3 * 10**12 and ngram.decoded(ngram.log_codes(n))[:4].tolist() == [0, 1, 32_767, 32_768]
     one = ngram.spread(np.full(10_000, 7 << 30, np.uint64), np.arange(10_000), 80)
     assert len(np.unique(one)) == 10 and np.bincount(one).max() < 1200
