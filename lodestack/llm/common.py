@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Where the public vocabulary files are looked up when no path is given.
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,9 +40,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Type of ``row_key``.
+ROW_KEY = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.LongType(), False)])
+
+
 def row_key(columns: list[str]) -> Column:
-    """Hash of a row's whole content; only equal rows share it, nulls included."""
-    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+    """Two 64-bit hashes of a row's whole content; only equal rows share them, nulls included."""
+    every = [*map(F.col, columns), *(F.col(c).isNull() for c in columns)]
+    return F.struct(F.xxhash64(F.lit(0), *every).alias("a"), F.xxhash64(F.lit(1), *every).alias("b"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000, max_rows: int = 512, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -59,11 +66,13 @@ def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000, max_ro
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a private one is set only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); a private one only where it is unset and Spark runs in one process."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="lodestack-checkpoint-")
@@ -87,5 +96,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more; otherwise they stay until the JVM's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)

@@ -25,12 +25,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return _stars(pairs, max_rounds)
 
 
-def _solve(batches):
-    """Least labels run along the links and along the labels themselves until nothing changes."""
-    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if len(b)]
-    if not parts:
-        return
-    a, b = (np.concatenate([p[k] for p in parts]) for k in range(2))
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links, ascending, and the smallest node of each one's component.
+
+    Least labels run along the links and along the labels themselves until nothing changes.
+    """
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
     while True:
@@ -40,9 +39,21 @@ def _solve(batches):
             np.minimum.at(new, ends, least)
         new = new[new]
         if (new == label).all():
-            break
+            return nodes, nodes[label]
         label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "root"])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link from each node to the smallest of its component: the same components with fewer links than nodes."""
+    nodes, roots = least_labels(a, b)
+    return nodes[nodes != roots], roots[nodes != roots]
+
+
+def _solve(batches):
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if len(b)]
+    if parts:
+        nodes, roots = least_labels(*(np.concatenate([p[k] for p in parts]) for k in range(2)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
 
 
 def _stars(pairs: DataFrame, max_rounds: int) -> DataFrame:

@@ -4,16 +4,18 @@ A text's fingerprint has a bit set where over half of its shingle hashes (XXH64,
 ``radius`` or fewer differing bits. The fingerprint is cut into a ring of m > radius segments. If two fingerprints link, there
 is a segment from which every chain of consecutive segments (of any length l, round the ring) differs in at most
 l * radius / m bits. The chain's first segment then agrees wholly, its first two differ in at most one bit (for m = 5 and
-radius 4), and so on: a row is filed under each segment with its value, candidates must agree there and pass every longer
-chain before the full distance is taken.
+radius 4): a fingerprint is filed under each segment with that chain of two, and candidates of a file must pass the chains of
+three, of four and so on one after the other; the longest is the whole ring, that is the full Hamming check.
 
-Only distinct fingerprints are compared, so exact copies never multiply. Inside one file of fingerprints links are found
-breadth first, each newly reached fingerprint against those not yet reached: a dense group of any size yields one link for
-each member (a spanning forest), no pair is emitted twice, and no link between components is lost.
+Only distinct fingerprints are compared, so exact copies never multiply. In files of up to SMALL fingerprints all candidates are
+judged at once; in larger ones links are found breadth first, each newly reached fingerprint against those not yet reached. A task
+keeps only a spanning forest of the links it finds, so a dense group of any size yields one link for each member and no link
+between components is lost. A file with more than DENSE fingerprints is dealt into blocks by a hash, and every two blocks meet in a
+task of their own; files are counted in HASHES classes beforehand, so that no task ever holds a denser one.
 
 Defined results: null text counts as empty; a text without words has fingerprint 0 and links like any other; repeated rows
 stay; a null doc_id keeps its row and never names a component (null if the component has no other); an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored; of a very long text all shingles vote, BLOCK at a time.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, map_arrow, row_key, slices, texts
-from .components import components
+from .common import ROW_KEY, checkpointed, fresh, map_arrow, row_key, slices, texts
+from .components import components, forest
 
 #: Shingles whose bits are counted at a time, so that very long texts need bounded memory.
 BLOCK = 1 << 15
@@ -68,107 +70,135 @@ def segments(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _chain(x: np.ndarray, at: int, ring: list[tuple[int, int]], radius: int) -> np.ndarray:
-    """Which differences x keep every chain that starts at segment ``at`` within its share of the radius."""
-    m, total, ok = len(ring), np.zeros(len(x), np.int64), np.ones(len(x), bool)
-    for length in range(1, m + 1):
-        shift, width = ring[(at + length - 1) % m]
-        total = total + np.bitwise_count((x >> np.uint64(shift)) & np.uint64((1 << width) - 1))
-        ok &= total * m <= length * radius
-    return ok
-
-
-def _links(values: np.ndarray, at: int, ring: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints that agree in segment ``at``."""
-    out, rest = [], values
-    while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            diff = rest ^ x
-            near = np.flatnonzero(_chain(diff, at, ring, radius)) if len(rest) > 64 else np.arange(len(rest))
-            near = near[np.bitwise_count(diff[near]) <= radius]
-            if len(near):
-                found = rest[near]
-                out += [(int(x), int(y)) for y in found]
-                queue += list(found)
-                rest = np.delete(rest, near)
+def chained(x: np.ndarray, at: np.ndarray, ring: list[tuple[int, int]], radius: int, since: int = 1) -> list[np.ndarray]:
+    """Places of the differences x that keep every chain from segment ``at`` on within its share, after each length from ``since``.
+
+    Shorter chains must hold already. The last entry, after the whole ring, holds the links.
+    """
+    m, out, left = len(ring), [], np.arange(len(x))
+    shifts, masks = (np.array(v, np.uint64) for v in ([a for a, _ in ring], [(1 << w) - 1 for _, w in ring]))
+    count = lambda some, k: np.bitwise_count(x[some] >> shifts[(at[some] + k) % m] & masks[(at[some] + k) % m]).astype(np.int64)
+    total = sum((count(left, k) for k in range(since - 1)), np.zeros(len(x), np.int64))
+    for length in range(since, m + 1):
+        total = total + count(left, length - 1)
+        ok = total * m <= length * radius
+        left, total = left[ok], total[ok]
+        out.append(left)
     return out
 
 
-#: Parts into which the join by component deals each component.
+#: Fingerprints of a file whose candidates are judged all at once, and of a file (or two blocks of one) that one task holds.
+SMALL, DENSE = 32, 20_000
+#: Classes in which files are counted; the counts of one class are 16 bytes, so at most 16 MB are broadcast.
+HASHES = 1 << 20
+
+
+def file_links(fp: np.ndarray, at: np.ndarray, key: np.ndarray, ring: list[tuple[int, int]], radius: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (a, b), of the links among fingerprints with equal key and segment; rows ascend by (key, at)."""
+    edge = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1]), [True]])
+    edges = np.flatnonzero(edge)
+    size = np.diff(edges)
+    found_a, found_b = [], []
+    some = np.flatnonzero((size > 1) & (size <= SMALL))
+    first, n = edges[some], size[some]
+    left = np.repeat(first, n)
+    left = left + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)  # every row of a small file
+    end = np.repeat(first + n, n)
+    for step in range(1, SMALL):
+        on = left + step < end
+        left, end = left[on], end[on]
+        if not len(left):
+            break
+        linked = chained(fp[left] ^ fp[left + step], at[left], ring, radius, since)[-1]
+        found_a.append(fp[left[linked]])
+        found_b.append(fp[left[linked] + step])
+    for k in np.flatnonzero(size > SMALL).tolist():
+        rest, which = fp[edges[k] : edges[k + 1]], at[edges[k] : edges[k] + 1]
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                x = queue.pop()
+                near = chained(rest ^ x, np.broadcast_to(which, len(rest)), ring, radius, since)[-1]
+                if len(near):
+                    found_a.append(np.full(len(near), x, np.uint64))
+                    found_b.append(rest[near])
+                    queue += list(rest[near])
+                    rest = np.delete(rest, near)
+    if not found_a:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+#: Parts into which joins by component, and by a fingerprint of many copies, deal their rows.
 SALTS = 16
+#: Fingerprints with more than this share of all rows are dealt over salts; there are fewer than its inverse.
+HOT = 1 / 1000
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) among distinct fingerprints ``fp`` whose components are those of all links."""
+def filed(distinct: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """(fp, at, key): each fingerprint under every segment with the chain that begins there, and the first chain not yet judged."""
     ring = segments(radius)
     m = len(ring)
-    filed = distinct.select("fp", F.posexplode(F.array(*(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in ring))).alias("at", "value"))
-    # Files are wide enough that unrelated fingerprints seldom meet: the next segment joins the key, and a row is filed once
-    # for each value that differs from its own in the one bit the chain of two allows.
-    n = F.element_at(F.array(*(F.element_at(F.array(*(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in ring)), (k + 1) % m + 1) for k in range(m))), F.col("at") + 1)
-    filed = filed.withColumn("next", n)
+    part = lambda k: F.shiftrightunsigned("fp", ring[k % m][0]).bitwiseAND(F.lit((1 << ring[k % m][1]) - 1))
     free = 2 * radius // m  # differing bits that a chain of two may have
-    if free == 1:
-        width = F.element_at(F.array(*(F.lit(ring[(k + 1) % m][1]) for k in range(m))), F.col("at") + 1)
-        filed = filed.select("fp", "at", "value", F.explode(F.transform(F.sequence(F.lit(0), width - 1), lambda b: F.col("next").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), b))) * 64 + b)).alias("next"))
-    else:
-        filed = filed.withColumn("next", F.lit(0).cast("long"))
-    key = F.xxhash64("at", "value", "next")
-    filed = filed.select("fp", F.col("at").cast("int").alias("at"), key.alias("key"))
+    rows = []
+    for k in range(m):
+        if free == 1:  # once for each value that differs from its own in that one bit at most: the bit is left out of the key
+            nexts = [part(k + 1).bitwiseAND(F.lit(~(1 << b))) * 64 + b for b in range(ring[(k + 1) % m][1])]
+        else:
+            nexts = [part(k + 1) if free == 0 else F.lit(0).cast("long")]
+        rows += [F.struct(F.lit(k).alias("at"), F.xxhash64(F.lit(k), part(k), n).alias("key")) for n in nexts]
+    return distinct.select("fp", F.explode(F.array(*rows)).alias("file")).select("fp", "file.at", "file.key"), 3 if free < 2 else 2
+
+
+def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """Links (a, b) among distinct fingerprints ``fp`` whose components are those of all links."""
+    ring = segments(radius)
+    every, since = filed(distinct, radius)
+    kind = lambda: F.pmod(F.col("key"), F.lit(HASHES)).alias("kind")
+    # Blocks of a dense class: each row goes to the pairs of its own block with every block.
+    dense = every.groupBy(kind()).agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("kind", F.ceil(2 * F.col("n") / DENSE).alias("blocks"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)))
+    every = every.withColumn("kind", kind()).join(F.broadcast(dense), "kind", "left")  # at most HASHES rows
+    every = every.select("fp", "at", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
 
     def run(batches):
-        fps, ats, keys = [], [], []
-        for batch in batches:
-            fps.append(batch.column("fp").to_numpy(zero_copy_only=False))
-            ats.append(batch.column("at").to_numpy(zero_copy_only=False).astype(np.int8))
-            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-        if not fps:
+        found = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "at", "key")] for batch in batches]
+        if not found:
             return
-        fp, at, key = (np.concatenate(x) for x in (fps, ats, keys))
-        order = np.argsort(key, kind="stable")
-        fp, at, key = fp[order].view(np.uint64), at[order], key[order]
-        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        found: set[tuple[int, int]] = set()
-        for k in np.flatnonzero(np.diff(edges) > 1).tolist():
-            lo, hi = edges[k], edges[k + 1]
-            for which in np.unique(at[lo:hi]).tolist() if at[lo] != at[hi - 1] or hi - lo > 2 else [int(at[lo])]:
-                mine = fp[lo:hi][at[lo:hi] == which]
-                found.update(_links(mine, which, ring, radius))
-        a = np.array([x for x, _ in found], np.uint64).view(np.int64)
-        b = np.array([y for _, y in found], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    n_rows = max(1, distinct.count()) * m * (max(w for _, w in ring) if free == 1 else 1)
-    parts = max(2 * distinct.sparkSession.sparkContext.defaultParallelism, -(-n_rows // 1_000_000))
-    return filed.repartition(parts, "key").mapInArrow(run, LINKS)
+        fp, at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((at, key))
+        a, b = file_links(fp[order].view(np.uint64), at[order].astype(np.int64), key[order], ring, radius, since)
+        a, b = forest(a.view(np.int64), b.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], LINKS.names)
+
+    width = max(w for _, w in ring) if 2 * radius // len(ring) == 1 else 1
+    parts = max(2 * distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() * len(ring) * width // 1_000_000))
+    return map_arrow(every.repartition(parts, "key"), run, LINKS)
 
 
 def duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links)."""
     fps = checkpointed(fingerprints(docs, words))
-    groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(links(groups.select("fp"), radius))
     rooted = checkpointed(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     # One component may hold a third of the linked fingerprints, so the join by root is dealt over salts as well.
     linked = rooted.where("root is not null").withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS)))
     best = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = linked.join(best, ["root", "salt"]).select("fp", "component_id")
-    named = checkpointed(named.unionByName(rooted.where("root is null").select("fp", F.col("first_id").alias("component_id"))))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; of rows that share that id, and of rows without id, all stay."""
-    key = fresh(docs, "_kept")
-    found = duplicates(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found[key], "left_semi")
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    named = linked.join(best, ["root", "salt"]).select("fp", "n", "component_id")
+    named = checkpointed(named.unionByName(rooted.where("root is null").select("fp", "n", F.col("first_id").alias("component_id"))))
+    # Copies share a fingerprint; those of one with many copies are dealt over salts.
+    many = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * HOT
+    hot = F.broadcast(named.where(F.col("n") > many).select("fp", F.lit(SALTS).alias("salts")))  # fewer than 1 / HOT rows
+    dealt = fps.join(hot, "fp", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int")).otherwise(F.lit(0)))
+    named = named.withColumn("salt", F.explode(F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-KEYED = T.StructType([*FINGERPRINTS, T.StructField("row", T.LongType())])
+KEYED = T.StructType([*FINGERPRINTS, T.StructField("row", ROW_KEY)])
 
 
 def one_row_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -188,4 +218,4 @@ def one_row_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     roots = components(links(groups.select("fp"), radius))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    return keyed.dropDuplicates([key]).join(kept, key, "left_semi").select(docs.columns)  # equal rows are combined before the shuffle

@@ -221,41 +221,110 @@ def test_simhash_dedup(spark, documents, odd, nothing):
         got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in rows(simhash_dedup.duplicates(docs)))
         assert got == brute_dedup(rows(docs))
     assert rows(simhash_dedup.duplicates(nothing)) == []
-    kept = rows(simhash_dedup.one_of_each(odd))
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "3", "3", "5", "6", "7", "8", "9", "None", "None"])
+    kept = rows(simhash_dedup.one_row_of_each(odd))
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "3", "5", "6", "7", "8", "9", "None"]
 
 
-def test_ring_links_lose_no_component(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+def test_simhash_dedup_of_many_copies(spark, monkeypatch):
+    made = [(i if i % 3 else None, "the same words in every one of these rows") for i in range(500)] + [(1000 + i, f"text {i} has {i * i} words of its {i % 7} own {i}") for i in range(60)]
+    monkeypatch.setattr(simhash_dedup, "HOT", 1 / 10)
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in rows(simhash_dedup.duplicates(docs))) == brute_dedup(rows(docs))
+
+
+def test_very_long_text_votes_whole():
+    words = [f"w{i % 977}x{i % 13}" for i in range(100_000)]
+    hs = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(len(words) - 3)]
+    assert simhash_dedup.fingerprint(" ".join(words)) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def near_groups(seed, groups, size, alone):
+    """Distinct fingerprints, ascending: groups of some that differ in up to five bits from their centre, and some alone."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, groups + alone, dtype=np.uint64)
     fps = set(centres.tolist())
-    for c in centres[:20].tolist():
-        for _ in range(60):
+    for c in centres[:groups].tolist():
+        for _ in range(size):
             x = c
             for b in rng.choice(64, rng.integers(1, 6), replace=False).tolist():
                 x ^= 1 << b
             fps.add(x)
-    fps = sorted(fps)
-    signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    links = simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
-    assert all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 4 for r in rows(links))
-    got = {r["node"]: r["root"] for r in rows(components.components(links))}
-    components.LOCAL_LINKS = 0
-    assert got == {r["node"]: r["root"] for r in rows(components.components(links))}
-    components.LOCAL_LINKS = 1_000_000
-    root = {n: n for n in signed}
+    return sorted(fps)
+
+
+def brute_components(fps, radius):
+    values, root = np.array(fps, np.uint64), {n: n for n in fps}
 
     def find(n):
         while root[n] != n:
             n = root[n]
         return n
 
-    for i, a in enumerate(signed):
-        for b in signed[i + 1 :]:
-            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert {n: got.get(n, n) for n in signed} == {n: find(n) for n in signed}
+    for i, a in enumerate(fps):
+        for b in values[i + 1 :][np.bitwise_count(values[i + 1 :] ^ np.uint64(a)) <= radius].tolist():
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in fps}
+
+
+def grouping(labels):
+    out = {}
+    for n, r in labels.items():
+        out.setdefault(r, set()).add(n)
+    return {frozenset(x) for x in out.values()}
+
+
+@pytest.mark.parametrize(("radius", "small", "dense"), [(4, 32, 20_000), (4, 4, 20_000), (4, 32, 30), (3, 32, 20_000), (7, 32, 20_000)])
+def test_ring_links_lose_no_component(spark, monkeypatch, radius, small, dense):
+    monkeypatch.setattr(simhash_dedup, "SMALL", small)
+    monkeypatch.setattr(simhash_dedup, "DENSE", dense)
+    fps = near_groups(5, 20, 60, 20)
+    signed = {x: int(np.uint64(x).view(np.int64)) for x in fps}
+    table = spark.createDataFrame([(x,) for x in signed.values()], "fp long")
+    found = simhash_dedup.links(table, radius)
+    got = {r["node"]: r["root"] for r in rows(components.components(found))}
+    monkeypatch.setattr(components, "LOCAL_LINKS", 0)
+    assert got == {r["node"]: r["root"] for r in rows(components.components(found))}
+    assert grouping({n: got.get(s, s) for n, s in signed.items()}) == grouping(brute_components(fps, radius))
+
+
+def test_one_dense_file_meets_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "DENSE", 64)
+    fps = sorted({0, *(1 << b for b in range(64)), *(1 << b | 1 << c for b in range(64) for c in range(b))})  # one ball: 2,081 fingerprints
+    table = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    assert len({r["root"] for r in rows(components.components(simhash_dedup.links(table)))}) == 1
+
+
+def test_longer_chains_prune_candidates():
+    rng = np.random.default_rng(8)
+    ring, n = simhash_dedup.segments(4), 400_000
+    (a, wa), (b, wb) = ring[0], ring[1]
+    x = rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+    x &= ~np.uint64((1 << wa) - 1 << a | (1 << wb) - 1 << b)  # candidates of one file: two segments agree
+    left = [len(p) for p in simhash_dedup.chained(x, np.zeros(n, np.int64), ring, 4, 3)]
+    links = int((np.bitwise_count(x) <= 4).sum())
+    assert left[-1] <= links  # the chains hold at one start at least, not at each
+    assert left[0] < 0.02 * n and left[1] < 0.01 * left[0] + 10 and left[2] <= left[1]  # of three, of four, all
+    every = [simhash_dedup.chained(np.full(1, d, np.uint64), np.array([at]), ring, 4)[-1].size for d in (0b1111, 1 << 63 | 1 << 40 | 1 << 20 | 1, 0b11111) for at in range(5)]
+    assert sum(every[:5]) >= 1 and sum(every[5:10]) >= 1 and not sum(every[10:])
+
+
+def test_stars_on_many_links(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    chain = [(i, i + 1) for i in range(2000)]
+    hub = [(10_000_000, 10_000_001 + i) for i in range(60_000)]
+    tangle = [(20_000_000 + int(a), 20_000_000 + int(b)) for a, b in rng.integers(0, 40_000, (40_000, 2))]
+    made = chain + hub + tangle
+    assert len(made) > 100_000
+    a, b = np.array(made, np.int64).T
+    nodes, roots = components.least_labels(a, b)
+    monkeypatch.setattr(components, "LOCAL_LINKS", 0)
+    table = spark.createDataFrame(__import__("pandas").DataFrame({"a": a, "b": b}))
+    got = components.components(table).toPandas()
+    want = {n: r for n, r in zip(nodes.tolist(), roots.tolist(), strict=True) if (np.array([n]) != r).any() or n in roots}
+    assert {n: r for n, r in zip(got["node"], got["root"], strict=True)} == {n: want[n] for n in got["node"].tolist()}
+    alone = {n for n, m in made if n == m}
+    assert set(nodes.tolist()) - alone <= set(got["node"].tolist()) | alone
 
 
 def test_fingerprints(spark, documents, odd, nothing):
