@@ -36,6 +36,39 @@ def test_layouts():
         assert html_text.main_text(html) == want
 
 
+def test_names_and_quotes_of_real_pages():
+    cases = {
+        f"<article><p>Teaser</p></article><div><p>{LONG}</p><p>{LONG}</p><p>Short one</p><p>{LONG}</p></div>": f"{LONG} {LONG} Short one {LONG}",
+        f"<article><p>{LONG}</p><section class='review'><p>{LONG} a</p></section><div class='social-history'><p>{LONG} b</p></div><div class='social-links'>Share</div></article>": f"{LONG} {LONG} a {LONG} b",
+        f"<article class=review><p>{LONG}</p></article>": LONG,
+        f"<article><p>{LONG}</p><div class='user-reviews'><article class='review'>{LONG}</article></div></article>": LONG,
+        f"<article><p>{LONG} <a href=\"foo>link</a> more</p><p class=\"x\">{LONG}</p></article>": f"{LONG} link more {LONG}",
+        f"<article><p title=don't>{LONG}</p><p title=\"it's > that\">{LONG}</p></article>": f"{LONG} {LONG}",
+        f"<article><p>{LONG}</p><p class='open>{LONG}": f"{LONG} {LONG}",
+    }
+    for html, want in cases.items():
+        assert html_text.main_text(html) == want
+
+
+def test_windows_find_the_article_without_its_mark(spark):
+    kept = lost = more = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want, got = (Counter(html_text.main_text(h).split()) for h in (r["html"], re.sub(r"(</?)article\b", r"\1div", r["html"])))
+        kept, lost, more = kept + (want & got).total(), lost + (want - got).total(), more + (got - want).total()
+    assert kept / (kept + lost) >= 0.95 and kept / (kept + more) >= 0.95
+
+
+def test_very_long_pages():
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>") == " ".join([LONG] * 20_000)
+    assert html_text.main_text("<article><p>" + "x" * 2_000_000) == "x" * 2_000_000
+    assert html_text.main_text(f"<article><p>{LONG}</p>" + "<a href=\"" * 5_000) == LONG
+    assert html_text.main_text("<div>" * 20_000 + f"<p>{LONG}</p>") == LONG
+    assert time.time() - began < 20
+
+
 def test_windows_decide_on_marked_pages():
     body = f"<div><p>{LONG * 5}</p><p>{LONG * 6}</p></div>"
     assert html_text.main_text(f"<main><h1>Head</h1></main>{body}") == f"Head {LONG * 5} {LONG * 6}"  # the mark misses the body
@@ -53,7 +86,7 @@ def test_pages_query(spark, small):
         parts = re.split(r"</?(?:p|h1|br)>", body if "</article>" in r["html"] else re.sub(r"<[^<]*$", "", body))
         want = " ".join(x for x in (" ".join(html_text.unescape(re.sub("</?b>", "", p)).split()) for p in parts) if x)
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
-    odd = spark.createDataFrame([(1, "u", None, 5), (None, None, "", 5), (1, "u", None, 5)], "page_id long, url string, html string, text long")
+    odd = spark.createDataFrame([(1, "u", None, 5), (None, None, "", 5), (1, "u", None, 5)], "page_id long, url string, html string, text long").selectExpr("*", "text n_chars", "text _1", "url as doc_id")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in rows(html_text.extract(odd))) == [("1", "", 0), ("1", "", 0), ("None", "", 0)]
     assert rows(html_text.extract(odd.limit(0))) == []
 
