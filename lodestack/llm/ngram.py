@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint_folder, checkpointed, map_arrow, release, slices, texts
+from .common import brief_shuffles, checkpoint_folder, checkpointed, map_arrow, slices, texts
 from .elias_fano import EliasFano
 
 ORDER = 3
@@ -533,13 +533,13 @@ def scores(docs: DataFrame, every: int = 10, order: int = ORDER) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"file:{folder}/{name}")
         return spark.read.schema(schema).parquet(f"file:{folder}/{name}")
 
-    read = written(blocks(texts(docs), every), "blocks", BLOCKS)
-    build_words(read, trie)
-    ids = written(encoded(read, trie), "ids", ENCODED)
-    shutil.rmtree(f"{folder}/blocks", ignore_errors=True)
-    for k in range(2, order + 1):
-        release(spark)
-        build_level(ids.where("training"), trie, k)
+    with brief_shuffles(spark):
+        read = written(blocks(texts(docs), every), "blocks", BLOCKS)
+        build_words(read, trie)
+        ids = written(encoded(read, trie), "ids", ENCODED)
+        shutil.rmtree(f"{folder}/blocks", ignore_errors=True)
+        for k in range(2, order + 1):
+            build_level(ids.where("training"), trie, k)
 
     def run(batches):
         for part, stream, firsts in streams(batches, SCORED):
