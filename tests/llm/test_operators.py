@@ -144,6 +144,66 @@ def test_secret_scan_judges_runs_without_digits(spark, documents):
     assert all(x["text"] == "key [secret] end" for x in rows(secrets.redact(docs)) if 1000 <= x["doc_id"] < 2000)
 
 
+HELD_OUT = """apple bridge candle dolphin engine forest garden harbor island jungle kitchen ladder mountain needle orchard pepper quarter river
+saddle thunder umbrella valley winter yellow zebra anchor basket copper desert elephant feather guitar hammer insect jacket kernel lantern marble
+napkin oyster pirate quilt ribbon shadow tunnel uncle velvet whisper journal bottle castle dragon emerald flower glacier horizon invoice shipment
+ledger weather economy politics science history culture travel football health finance opinion editorial election parliament hospital""".split()
+
+
+def labelled_strings(seed, each):
+    """Strings of forms and words that the models were not trained on: (secret, form, string)."""
+    import random
+    import string
+    import uuid
+
+    r = random.Random(seed)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"base62": low + up + digits, "letters": low + up, "lower": low, "upper": up, "base64": low + up + digits + "+/", "base64url": low + up + digits + "-_", "base32": up + "234567", "base36": low + digits, "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF"}
+    for name, alphabet in alphabets.items():
+        for _ in range(each):
+            yield 1, name, "".join(r.choice(alphabet) for _ in range(r.choice([16, 18, 20, 22, 32, 40])))
+    for i in range(each):
+        w = [r.choice(HELD_OUT) for _ in range(r.choice([3, 4]))]
+        n, date = str(r.randint(0, 9999)), [str(r.randint(1990, 2030)), f"{r.randint(1, 12):02d}", f"{r.randint(1, 28):02d}"]
+        made = {
+            "slug": "-".join(w), "snake": "_".join(w), "CamelCase": "".join(map(str.capitalize, w)), "CamelCase2": "".join(map(str.capitalize, w)) + n, "camelCase": w[0] + "".join(map(str.capitalize, w[1:])), "CONSTANT": "_".join(w).upper(),
+            "CONSTANT_2": "_".join(w).upper() + "_" + n, "path": "/".join(w), "dated path": "/".join(date + ["-".join(w)]), "dated": "-".join(date + w), "uuid": str(uuid.UUID(int=r.getrandbits(128))), "UUID": str(uuid.UUID(int=r.getrandbits(128))).upper(),
+            "digits": "".join(r.choice(digits) for _ in range(18)), "time": "".join(date) + "T" + f"{r.randint(0, 235959):06d}-{n}", "line": "-=_"[i % 3] * 40,
+        }
+        for name, s in made.items():
+            if len(s) >= 16:
+                yield 0, name, s
+
+
+def test_secret_models_on_held_out_labels(spark, documents):
+    made = list(labelled_strings(11, 250))
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(100_000 + i, f"key {s} end") for i, (_, _, s) in enumerate(made)], "doc_id long, text string"))
+    spans = {r["doc_id"]: r["spans"] for r in rows(secrets.scan(docs))}
+    found, total = {}, {}
+    for i, (secret, name, s) in enumerate(made):
+        total[secret, name] = total.get((secret, name), 0) + 1
+        found[secret, name] = found.get((secret, name), 0) + (f"random:4:{4 + len(s)}" in spans[100_000 + i] or f"hex:4:{4 + len(s)}" in spans[100_000 + i])
+    rate = {k: found[k] / n for k, n in total.items()}
+    print(rate)
+    assert all(x >= 0.9 if secret else x < 0.02 for (secret, _), x in rate.items())
+
+
+def test_secret_scan_of_very_long_texts(spark):
+    import random
+    import string
+    import time
+
+    r = random.Random(7)
+    one, many = "A" * 1_000_000, "".join(r.choice(string.ascii_letters) for _ in range(300_000))
+    runs = " ".join("".join(r.choice(string.ascii_letters + string.digits) for _ in range(20)) for _ in range(5_000))
+    docs = spark.createDataFrame([(1, one), (2, many), (3, runs)], "doc_id long, text string")
+    began = time.time()
+    got = {x["doc_id"]: x["spans"] for x in rows(secrets.scan(docs))}
+    assert time.time() - began < 60
+    assert got[1] == "" and got[2] == "random:0:300000"
+    assert len(got[3].split(",")) >= 4_500
+
+
 def test_mixing(spark, documents, odd, nothing):
     got = rows(mixing.mix(documents))
     source = {r["doc_id"]: r["source"] for r in rows(documents)}
