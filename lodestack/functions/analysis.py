@@ -18,8 +18,11 @@ from . import stemming
 from .minhash import bound, minhash_column, minhash_tokens
 
 GAP = 100
-#: Runs of letters, digits and underscores, joined by an apostrophe or full stop between them; approximates Unicode word breaks.
-WORD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
+#: Ideographs and hiragana, each a word of its own.
+ALONE = "\u3041-\u3096\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+#: Approximates Unicode word breaks: one of ALONE, or a run of other letters, marks, digits and underscores, joined by an apostrophe or
+#: full stop between them. The same for the JVM's expressions (COLUMN_WORD) and for plain Python.
+WORD, COLUMN_WORD = (f"[{ALONE}]|{run}+(?:['’.]{run}+)*" for run in (rf"(?:(?![{ALONE}])[\p{{L}}\p{{M}}\p{{N}}_])", rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{ALONE}]]"))
 LONGEST = 255
 #: Fixed value: the usual short list of English stop words.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -122,7 +125,7 @@ def tokenizers() -> dict[str, tuple[ColumnStep, Callable[[str], Tokens]]]:
     return {
         "KEYWORD": (lambda c: F.array(c), lambda s: [s]),
         "WHITESPACE": (lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != ""), str.split),
-        "STANDARD": (lambda c: F.filter(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), lambda t: F.length(t) <= LONGEST), standard),
+        "STANDARD": (lambda c: F.filter(F.regexp_extract_all(c, F.lit(COLUMN_WORD), F.lit(0)), lambda t: F.length(t) <= LONGEST), standard),
     }
 
 
@@ -134,8 +137,11 @@ class Analyzer:
     tokenizer: str = "STANDARD"
     filters: list[str] = field(default_factory=list)
     similarity: str = "BM25"
+    query_handling: str = "NORMAL"  # NORMAL or MINHASH_QUERY; kept with the settings, and of no effect on queries
 
     def __post_init__(self) -> None:
+        if self.query_handling not in ("NORMAL", "MINHASH_QUERY"):
+            raise ValueError(f"analyzer {self.name}: unknown query handling {self.query_handling}")
         if self.tokenizer not in tokenizers() or any(f not in FILTER_NAMES for f in self.filters):
             raise ValueError(f"analyzer {self.name}: unknown tokenizer or filter")
         if self.similarity not in ("BM25", "TFIDF", "TF", "CONSTANT"):

@@ -20,19 +20,33 @@ from ..functions.values import element_type, extract, typed, values
 from ..plans.compiler import Compiler, safe
 from ..plans.config import DATE_HANDLING, ConfigError, FieldConfig, IndexConfig
 from ..plans.postings import Postings, PostingsCompiler
+from .store import DocumentStore
 
 
 @dataclass
 class Index:
-    """Stored documents with their settings. ``version`` changes with the documents and empties the result cache.
+    """Stored documents with their settings. ``version`` changes with the settings; the result cache also tells documents apart.
 
-    With ``inverted`` tables, searches of their fields read postings instead of texts.
+    With ``inverted`` tables, searches of their fields read postings instead of texts. With a ``store``, searches read what the
+    store holds when they begin (``current``).
     """
 
     config: IndexConfig
     docs: DataFrame
     version: int = 0
     inverted: Postings | None = None
+    store: DocumentStore | None = None
+    seen: str = ""  # state of the store that ``docs`` show
+
+    @classmethod
+    def of_store(cls, config: IndexConfig, store: DocumentStore) -> Index:
+        return cls(config, store.documents().withColumnRenamed("unique_id", config.unique_id), store=store, seen=store.state())
+
+    def current(self) -> Index:
+        """This index, or one over the store's present documents if it has changed; inverted tables then are built anew by hand."""
+        if self.store is None or self.store.state() == self.seen:
+            return self
+        return replace(Index.of_store(self.config, self.store), version=self.version)
 
     def __post_init__(self) -> None:
         if self.config.unique_id not in self.docs.columns:
@@ -264,17 +278,38 @@ class Search:
         return F.struct(*(F.col(f"`{n}`") for n in names))
 
     def facets(self) -> DataFrame:
-        """(facet, value, count, max_error): counts over all matches, exact, so that the error is 0."""
-        out = []
-        for r in self.query.counts:
-            self.index.config.facet(r.facet)
-            found = self.matches().select(F.explode(self.index.facet_values(r.facet)).alias("value")).groupBy("value").agg(F.count("*").alias("count"))
-            found = found.orderBy(F.desc("count"), "value")
-            found = found.limit(r.max_facets) if r.max_facets else found
-            out.append(found.select(F.lit(r.facet).alias("facet"), "value", "count", F.lit(0).cast("long").alias("max_error")))
-        if not out:
+        """(facet, value, count, max_error, possible_missing, max_value_possible_missing), best first within a facet.
+
+        One pass over the matches counts all facets: labels are exploded with their facet's name and combined before the shuffle.
+        Counts are exact, so no error is possible and nothing can be missing.
+        """
+        requests = self.query.counts
+        if not requests:
             raise ConfigError("the request counts no facet")
-        return reduce(DataFrame.unionByName, out)
+        for r in requests:
+            self.index.config.facet(r.facet)
+        named = lambda name: F.transform(self.index.facet_values(name), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+        labels = F.concat(*map(named, dict.fromkeys(r.facet for r in requests)))
+        found = self.matches().select(F.explode(labels).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("count"))
+        return cut_facets(found.withColumn("max_error", F.lit(0).cast("long")), requests)
+
+
+def cut_facets(counted: DataFrame, requests: list[CountRequest]) -> DataFrame:
+    """The best values of each facet, as many as asked for (0: all)."""
+    from pyspark.sql import Window
+
+    limits = {r.facet: r.max_facets for r in requests}
+    if len(limits) == 1:  # a top-k of each partition
+        limit = next(iter(limits.values()))
+        counted = counted.orderBy(F.desc("count"), "value")
+        counted = counted.limit(limit) if limit else counted
+    else:
+        counted = counted.withColumn("__place", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("count"), "value")))
+        if all(limits.values()):  # cut before the shuffle already
+            counted = counted.where(F.col("__place") <= max(limits.values()))
+        asked = F.create_map(*(F.lit(x) for name, limit in limits.items() for x in (name, limit or 2**31 - 1)))
+        counted = counted.where(F.col("__place") <= F.element_at(asked, F.col("facet"))).drop("__place")
+    return counted.select("facet", "value", "count", "max_error", F.lit(False).alias("possible_missing"), F.lit(0).cast("long").alias("max_value_possible_missing"))
 
 
 def _after(query: Query, keys: list[tuple[str, bool]], schema: T.StructType) -> Column:
@@ -300,7 +335,7 @@ def hits(indexes: Index | Sequence[Index], query: Query) -> DataFrame:
 
     The order is total (ties end at the id), so a page is a top-k of each partition, merged; a cursor is a range of keys.
     """
-    indexes = [indexes] if isinstance(indexes, Index) else list(indexes)
+    indexes = [i.current() for i in ([indexes] if isinstance(indexes, Index) else indexes)]
     kinds = {tuple(i.config.sort(n).type for n, _ in query.sorts) for i in indexes}
     if len(kinds) > 1:
         raise ConfigError("a sort field has different types in the indexes")
@@ -308,6 +343,8 @@ def hits(indexes: Index | Sequence[Index], query: Query) -> DataFrame:
     keys = [(f"s{i}", d) for i, (_, d) in enumerate(query.sorts)] or [("score", True)]
     if query.after and query.after != "0":
         found = found.where(_after(query, keys, found.schema))
+    if not query.amount:  # facets and totals only: no score, no sort, no scan
+        return found.limit(0).withColumn("rank", F.lit(0))
     order = [F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_first() for n, d in keys] + [F.col("unique_id").asc(), F.col("index_name").asc()]
     page = found.orderBy(*order).limit(query.start + query.amount)
     page = page.offset(query.start) if query.start else page
@@ -315,6 +352,16 @@ def hits(indexes: Index | Sequence[Index], query: Query) -> DataFrame:
     return page.withColumn("rank", (ranks + query.start).cast("int"))
 
 
+def hits_with_next(indexes: Index | Sequence[Index], query: Query) -> DataFrame:
+    """``hits`` with has_more: whether another hit follows the page. One hit more is taken to know, none is scored twice."""
+    page = hits(indexes, replace(query, amount=query.amount + 1))
+    last = query.start + query.amount
+    from pyspark.sql import Window
+
+    more = F.max("rank").over(Window.partitionBy(F.lit(0))) > last  # over one page only
+    return page.withColumn("has_more", more).where(F.col("rank") <= last)
+
+
 def _window(order: list[Column]):
     from pyspark.sql import Window
 
@@ -330,26 +377,26 @@ def cursor(row: Any, query: Query) -> str:
 
 def search_facets(indexes: Index | Sequence[Index], query: Query) -> DataFrame:
     """Facet counts summed over indexes, cut to each request's number."""
-    from pyspark.sql import Window
-
-    indexes = [indexes] if isinstance(indexes, Index) else list(indexes)
+    indexes = [i.current() for i in ([indexes] if isinstance(indexes, Index) else indexes)]
     if len(indexes) == 1:
         return Search(indexes[0], query).facets()
-    every = Query(**{**query.__dict__, "counts": [CountRequest(r.facet, 0) for r in query.counts]})
+    every = replace(query, counts=[CountRequest(r.facet, 0) for r in query.counts])
     summed = reduce(DataFrame.unionByName, [Search(i, every).facets() for i in indexes]).groupBy("facet", "value").agg(F.sum("count").alias("count"), F.sum("max_error").alias("max_error"))
-    limits = F.create_map(*(F.lit(x) for r in query.counts for x in (r.facet, r.max_facets or 2**31 - 1)))
-    ranked = summed.withColumn("r", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("count"), "value")))
-    return ranked.where(F.col("r") <= F.element_at(limits, F.col("facet"))).drop("r")
+    return cut_facets(summed, query.counts)
 
 
 class ResultCache:
-    """Results of small requests, by request and index version; the oldest go first."""
+    """Results of small requests, by request, settings and documents; the oldest go first.
+
+    Documents are told apart by their plan, and those of a store by the store's state, so a change is never answered from before.
+    """
 
     def __init__(self, size: int = 512, most: int = 256):
         self.size, self.most, self.kept = size, most, OrderedDict()
 
     def get(self, index: Index, query: Query) -> list:
-        key = (index.config.name, index.version, json.dumps(query.__dict__, default=lambda o: o.__dict__, sort_keys=True))
+        index = index.current()
+        key = (index.config.to_json(), index.version, index.seen, index.docs.semanticHash(), json.dumps(query.__dict__, default=lambda o: o.__dict__, sort_keys=True))
         if not query.cache or query.amount > self.most:
             return hits(index, query).collect()
         if key not in self.kept:
@@ -366,10 +413,12 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark, self.indexes = spark, {}
 
-    def create(self, config: IndexConfig, docs: DataFrame) -> Index:
+    def create(self, config: IndexConfig, docs: DataFrame, invert: str | None = None) -> Index:
+        """``invert``: a shared folder in which inverted tables of the text fields are written, which all searches then use."""
         if config.name in self.indexes:
             raise ConfigError(f"index {config.name} exists already")
-        self.indexes[config.name] = Index(config, docs)
+        index = Index(config, docs)
+        self.indexes[config.name] = index.invert(f"{invert.rstrip('/')}/{config.name}") if invert else index
         docs.createOrReplaceTempView(config.name)
         return self.indexes[config.name]
 
@@ -411,4 +460,4 @@ def dotted(docs: DataFrame, path: str) -> Column:
     return extract(docs.schema, path)
 
 
-__all__ = ["Catalog", "CountRequest", "FieldConfig", "Index", "IndexConfig", "Query", "ResultCache", "Search", "cursor", "dotted", "hits", "or_query", "search_facets"]
+__all__ = ["Catalog", "CountRequest", "FieldConfig", "Index", "IndexConfig", "Query", "ResultCache", "Search", "cursor", "dotted", "hits", "hits_with_next", "or_query", "search_facets"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import regex
@@ -80,6 +80,16 @@ def terms(index: Index, r: TermsRequest) -> DataFrame:
     return out.orderBy("term").limit(r.amount) if r.amount else out.orderBy("term")
 
 
+def terms_with_last(index: Index, r: TermsRequest) -> DataFrame:
+    """``terms`` with last_term, where the scan stopped: the last term given out if the amount was reached, else the last in range."""
+    out = terms(index, r)
+    every = terms(index, replace(r, amount=0, min_doc_freq=1, min_term_freq=1, term_filter=None, term_match=None)).agg(F.max("term").alias("__end"))
+    given = out.agg(F.count("*").alias("__n"), F.max("term").alias("__last"))
+    last = F.when((F.lit(r.amount) > 0) & (F.col("__n") >= r.amount), F.col("__last")).otherwise(F.col("__end"))
+    at = given.join(every, F.lit(True)).select(last.alias("last_term"))  # one row each
+    return out.join(F.broadcast(at), F.lit(True)).orderBy("term")
+
+
 @dataclass
 class AnalysisRequest:
     """Terms of hits: ``sort`` TFIDF, TF or ABC; word lengths; document frequency as a count or a share of all documents."""
@@ -100,6 +110,16 @@ class AnalysisRequest:
             raise ConfigError(f"unknown term order {self.sort}")
 
 
+def doc_freqs(index: Index, r: AnalysisRequest, wanted: DataFrame) -> DataFrame:
+    """term, df of the terms in ``wanted``: from the inverted tables, or counted over the texts for these terms only."""
+    if r.analyzer is None and index.inverted and r.field in index.inverted.names:
+        return index.inverted.terms.where(F.col("field") == r.field).join(wanted, "term", "left_semi").select("term", F.col("doc_freq").alias("df"))
+    found = index.config.indexed(r.field)
+    tokens = Compiler(index.config, index.docs).expression(r.field) if r.analyzer is None else index.config.analyzer(r.analyzer).column(values(index.docs.schema, found[0].stored).cast("array<string>"))
+    every = index.docs.select(F.explode(F.array_distinct(tokens)).alias("term")).where("term is not null")  # once a document
+    return every.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+
 def doc_terms(index: Index, hits: DataFrame, r: AnalysisRequest) -> DataFrame:
     """unique_id, term, tf, df, score, place of every term of the hits (rows of the index's documents) that passes the filters."""
     mine = token_rows(index, r.field, hits, r.analyzer)
@@ -108,7 +128,7 @@ def doc_terms(index: Index, hits: DataFrame, r: AnalysisRequest) -> DataFrame:
     if r.max_length:
         mine = mine.where(F.length("term") <= r.max_length)
     total = index.docs.count()
-    df = token_rows(index, r.field, None, r.analyzer).groupBy("term").agg(F.count("*").alias("df"))
+    df = doc_freqs(index, r, mine.select("term").distinct())
     out = mine.join(df, "term").withColumn("score", F.sqrt(F.col("tf").cast("double")) * (1 + F.log((F.lit(total) + 1) / (F.col("df") + 1))))
     low, high = r.min_doc_freq or round(total * r.min_share), r.max_doc_freq or round(total * r.max_share)
     if low:

@@ -133,7 +133,9 @@ class Compiler:
         if not query.strip():
             return self._any_field() if self.fields and query == "" and self._explicit else Scored(F.lit(True), [lambda _: F.lit(1.0)])
         node = P.parse(query, self.default_and, self.mm)
-        out = self.node(node, 1.0)
+        out = self._bool(node, node.boost, top=True) if isinstance(node, P.Bool) else self.node(node, 1.0)
+        if out is None:
+            return Scored(F.lit(False))  # every clause is without terms
         return out if scored else Scored(out.match)
 
     _explicit = False
@@ -144,7 +146,8 @@ class Compiler:
             match = match | self._exists(name)
         return Scored(match, [lambda _: F.lit(1.0)])
 
-    def node(self, node: P.Node, boost: float) -> Scored:
+    def node(self, node: P.Node, boost: float) -> Scored | None:
+        """None: the analyzer leaves no term of the clause (stop words, say), so the query is as if it were not there."""
         boost *= node.boost
         if isinstance(node, P.MatchAll):
             return Scored(F.lit(True), [lambda _: F.lit(boost)])
@@ -164,10 +167,11 @@ class Compiler:
         match = match if never_null else safe(match)
         return Scored(match, [lambda _: F.when(match, F.lit(float(boost))).otherwise(F.lit(0.0))])
 
-    def _fields(self, parts: list[Scored]) -> Scored:
+    def _fields(self, parts: list[Scored | None]) -> Scored | None:
         """Any of the fields; scores add up, or the best counts under dismax."""
-        if len(parts) == 1:
-            return parts[0]
+        parts = [p for p in parts if p is not None]
+        if len(parts) < 2:
+            return parts[0] if parts else None
         match = parts[0].match
         for p in parts[1:]:
             match = match | p.match
@@ -181,16 +185,22 @@ class Compiler:
 
         return Scored(match, [best])
 
-    def _bool(self, node: P.Bool, boost: float) -> Scored:
-        clauses = [(occur, self.node(n, boost)) for occur, n in node.clauses]
+    def _bool(self, node: P.Bool, boost: float, top: bool = False) -> Scored | None:
+        """``top``: the whole query, which takes from all documents if only prohibitions are left."""
+        clauses = [(occur, c) for occur, n in node.clauses if (c := self.node(n, boost)) is not None]
+        if not clauses:
+            return None
+        if top and all(occur == P.MUST_NOT for occur, _ in clauses):
+            clauses.insert(0, (P.MUST, self.node(P.MatchAll(), boost)))
         must, should, never = ([c for o, c in clauses if o == kind] for kind in (P.MUST, P.SHOULD, P.MUST_NOT))
         match = F.lit(True)
         for c in must:
             match = match & c.match
         for c in never:
             match = match & ~c.match
-        needed = max(node.mm, 0 if must else 1) if len(clauses) > 1 or never else 0
-        if should or node.mm and len(clauses) > 1:
+        several = len(node.clauses) > 1  # as written, also where a clause went
+        needed = max(node.mm, 0 if must else 1) if several or never else 0
+        if should or node.mm and several:
             count = sum((c.match.cast("int") for c in should), F.lit(0))
             if needed == 1 and should:
                 hit = should[0].match
@@ -204,7 +214,7 @@ class Compiler:
         parts = [lambda stats, c=c: F.when(c.match, c.score(stats)).otherwise(F.lit(0.0)) for c in must + should if c.parts]
         return Scored(match, parts)
 
-    def _text(self, node: P.Text, names: dict[str, float], boost: float) -> Scored:
+    def _text(self, node: P.Text, names: dict[str, float], boost: float) -> Scored | None:
         """Each field's own tokens; the i-th of every field is one group, groups combine by the default operator."""
         per_field: list[tuple[str, float, list[str] | None]] = []
         for name, b in names.items():
@@ -225,7 +235,7 @@ class Compiler:
                     parts.append(self._term(name, tokens[i], boost * b))
             groups.append(self._fields(parts))
         if not groups:
-            return Scored(F.lit(False))
+            return None
         if len(groups) == 1:
             return groups[0]
         multi = len(names) > 1
@@ -266,14 +276,14 @@ class Compiler:
 
         return Scored(leaf.match, [score])
 
-    def _phrase(self, node: P.Phrase, name: str, boost: float) -> Scored:
+    def _phrase(self, node: P.Phrase, name: str, boost: float) -> Scored | None:
         f = self.config.indexed(name)
         if f and f[0].type in (*NUMERIC, "DATE", "BOOL"):
             return self._exact(name, node.text, boost)
         tokens = self.config.analyzer(f[1] if f else "keyword").tokens(node.text)
         wanted = [(i, t) for i, t in enumerate(tokens) if t is not None]
         if not wanted:
-            return Scored(F.lit(False))
+            return None
         if len(wanted) == 1:
             return self._term(name, wanted[0][1], boost)
         first, at = wanted[0][0], lambda t: self._positions(name, t)

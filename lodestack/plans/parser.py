@@ -113,7 +113,7 @@ class Parser:
         out = self._clauses(None, False)
         if self.s[self.at :].strip():
             raise QueryError(f"can't read {self.s[self.at :]!r}")
-        return pure_negative(out)
+        return out
 
     def _peek(self) -> re.Match | None:
         return TOKEN.match(self.s, self.at)
@@ -220,12 +220,5 @@ class Parser:
         return Text(field_name, unescape(raw))
 
 
-def pure_negative(node: Node) -> Node:
-    """A top-level query of prohibitions only gets everything to take from."""
-    if isinstance(node, Bool) and node.clauses and all(o == MUST_NOT for o, _ in node.clauses):
-        return Bool([(MUST, MatchAll()), *node.clauses], boost=node.boost)
-    return node
-
-
 def parse(query: str, default_and: bool = False, mm: int = 0) -> Node:
     return Parser(query, default_and, mm).parse()

@@ -10,11 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import vector
-from .functions.analysis import STOP_WORDS, WORD, Analyzer
+from .functions.analysis import Analyzer
 from .functions.values import extract
 from .operators import store, terms
-from .operators.store import shared_folder
-from .operators.search import FieldConfig, Index, IndexConfig, Query, Search, hits, search_facets
+from .operators.store import DocumentStore, shared_folder
+from .operators.search import FieldConfig, Index, IndexConfig, Query, Search, hits, hits_with_next, search_facets
 from .plans.config import Projection
 from .sources import formats
 
@@ -63,7 +63,9 @@ def people(spark: SparkSession, sf_dir: str, name: str, prefix: str) -> Index:
 
 # SQL pieces -----------------------------------------------------------------------------------------------------------
 
-SQL_WORD, SQL_STOPS = WORD.replace("'", "''"), ", ".join(f"'{w}'" for w in STOP_WORDS)
+#: Fixed values, written out apart from the engine's own: what a word is, and the usual short list of English stop words.
+SQL_WORD = r"[\p{L}\p{M}\p{N}_]+(?:[''’.][\p{L}\p{M}\p{N}_]+)*"
+SQL_STOPS = "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'if', 'in', 'into', 'is', 'it', 'no', 'not', 'of', 'on', 'or', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'will', 'with'"
 #: Tokens in order with nulls for stop words, and the terms without them.
 TOKENS = f"""
 docs AS (
@@ -121,6 +123,13 @@ WITH {TOKENS}, x AS (
   ORDER BY damerau_levenshtein(term, 'frmo'), term LIMIT 50
 ) SELECT unique_id FROM d WHERE list_has_any(terms, (SELECT list(term) FROM x))""")
 
+# Clauses that the analyzer leaves without a term are as if they were not there.
+text_match("stop_word_and", "from AND the", has("from"))
+text_match("stop_word_must", "+the from -than", f"{has('from')} AND NOT {has('than')}")
+text_match("stop_word_phrase_default_and", lambda: Query('from "the" text:and', default_and=True), has("from"))
+text_match("stop_word_pure_negative", "+the -from", f"NOT {has('from')}")
+text_match("only_stop_words", "the OR (and OR of)", "false")
+
 # Typed fields, filters, drill-down (F10-F15, F21-F23) -------------------------------------------------------------------
 
 plain_match("numeric_range_inclusive", orders, "o_totalprice:[100000 TO 200000.5]", "orders", "o_orderkey", "o_totalprice BETWEEN 100000 AND 200000.5")
@@ -177,8 +186,15 @@ top("constant_multi_term_topk", lambda: Query("from thon*"), f"{has('from')} OR
 # The same searches over inverted tables
 
 
+_inverted: dict[tuple[str, str], Index] = {}
+
+
 def inverted(spark: SparkSession, sf_dir: str) -> Index:
-    return documents(spark, sf_dir).invert(f"{shared_folder(spark)}/inverted-{uuid4().hex}", "text")
+    """The documents over inverted tables, which a session writes once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _inverted:
+        _inverted[key] = documents(spark, sf_dir).invert(f"{shared_folder(spark)}/inverted-{uuid4().hex}", "text")
+    return _inverted[key]
 
 
 def inverted_top(name: str, like: str, query: Callable[[], Query]) -> None:
@@ -196,6 +212,7 @@ inverted_match("inverted_pure_negative", "pure_negative", "-from")
 inverted_match("inverted_phrase_match", "phrase_match", '"anea eriner thanea"')
 inverted_match("inverted_phrase_slop", "phrase_slop", '"de le"~2')
 inverted_match("inverted_fuzzy_match", "fuzzy_match", "frmo~1")
+inverted_match("inverted_stop_word_and", "stop_word_and", "from AND the")
 
 PARTS = f"""
 p AS (SELECT p_partkey::VARCHAR AS unique_id, list_transform(regexp_extract_all(p_name, '{SQL_WORD}'), lambda t: lower(t)) AS a, list_transform(regexp_extract_all(p_type, '{SQL_WORD}'), lambda t: lower(t)) AS b FROM part),
@@ -226,7 +243,7 @@ def faceted(name: str, index, query: Callable[[], Query], sql: str) -> None:
 
 def sql_facet(facet: str, value: str, source: str, limit: int = 10) -> str:
     cut = f" ORDER BY count DESC, value LIMIT {limit}" if limit else ""
-    return f"SELECT '{facet}' AS facet, value, count(*) AS count, 0::BIGINT AS max_error FROM (SELECT {value} AS value FROM {source}) WHERE value <> '' GROUP BY value{cut}"
+    return f"SELECT '{facet}' AS facet, value, count(*) AS count, 0::BIGINT AS max_error, false AS possible_missing, 0::BIGINT AS max_value_possible_missing FROM (SELECT {value} AS value FROM {source}) WHERE value <> '' GROUP BY value{cut}"
 
 
 faceted("facet_count", documents, lambda: Query("from").count("lang", 0), f"WITH {TOKENS} {sql_facet('lang', 'lang', 'd WHERE ' + has('from'), 0)}")
@@ -236,7 +253,7 @@ faceted("facet_date_ymd", orders, lambda: Query("o_totalprice:[400000 TO *]").co
 faceted("facet_date_compact", orders, lambda: Query().count("compact", 7), sql_facet("compact", "strftime(o_orderdate, '%Y%m%d')", "orders", 7))
 faceted("facet_after_drilldown", orders, lambda: Query().drill("o_orderstatus", "F").count("o_orderpriority"), sql_facet("o_orderpriority", "o_orderpriority", "orders WHERE o_orderstatus = 'F'"))
 faceted("facet_two_at_once", orders, lambda: Query("o_totalprice:[400000 TO *]").count("o_orderstatus").count("o_orderpriority", 2), "(" + sql_facet("o_orderstatus", "o_orderstatus", "orders WHERE o_totalprice >= 400000") + ") UNION ALL (" + sql_facet("o_orderpriority", "o_orderpriority", "orders WHERE o_totalprice >= 400000", 2) + ")")
-register("facet_multi_index", lambda spark, sf_dir: search_facets([people(spark, sf_dir, "customer", "c_cust"), people(spark, sf_dir, "supplier", "s_supp")], Query().count("nationkey", 5)), "SELECT 'nationkey' AS facet, value, count(*) AS count, 0::BIGINT AS max_error FROM (SELECT c_nationkey::VARCHAR AS value FROM customer UNION ALL SELECT s_nationkey::VARCHAR FROM supplier) GROUP BY value ORDER BY count DESC, value LIMIT 5")
+register("facet_multi_index", lambda spark, sf_dir: search_facets([people(spark, sf_dir, "customer", "c_cust"), people(spark, sf_dir, "supplier", "s_supp")], Query().count("nationkey", 5)), "SELECT 'nationkey' AS facet, value, count(*) AS count, 0::BIGINT AS max_error, false AS possible_missing, 0::BIGINT AS max_value_possible_missing FROM (SELECT c_nationkey::VARCHAR AS value FROM customer UNION ALL SELECT s_nationkey::VARCHAR FROM supplier) GROUP BY value ORDER BY count DESC, value LIMIT 5")
 register("total_hits", lambda spark, sf_dir: Search(documents(spark, sf_dir), Query("from AND than")).total(), f"WITH {TOKENS} SELECT count(*) AS total_hits FROM d WHERE {has('from', 'than', joined=' AND ')}")
 register("doc_count", lambda spark, sf_dir: documents(spark, sf_dir).doc_counts().groupBy(F.col("shard").isNull().alias("is_total")).agg(F.sum("count").alias("count")), "SELECT true AS is_total, count(*) AS count FROM documents UNION ALL SELECT false, count(*) FROM documents")
 register("field_names", lambda spark, sf_dir: documents(spark, sf_dir).field_names(), "SELECT unnest(['lang', 'n_chars', 'source', 'text']) AS field")
@@ -275,6 +292,21 @@ WITH u AS (SELECT 'customer' AS index_name, 'customer-' || c_custkey AS unique_i
 SELECT (row_number() OVER (ORDER BY acctbal, unique_id))::INT AS rank, unique_id, index_name, acctbal FROM u WHERE acctbal < 0 ORDER BY acctbal, unique_id LIMIT 25""")
 register("include_and_mask", lambda spark, sf_dir: hits(parts(spark, sf_dir), Query("p_size:7", amount=10).sort("p_retailprice").show("p_name", "p_size", "-p_size")).select("unique_id", F.to_json("document").alias("document")), "SELECT p_partkey::VARCHAR AS unique_id, '{\"p_name\":\"' || p_name || '\"}' AS document FROM part WHERE p_size = 7 ORDER BY p_retailprice, unique_id LIMIT 10")
 
+register("page_has_more", lambda spark, sf_dir: hits_with_next(orders(spark, sf_dir), Query("o_orderstatus:p", amount=12, start=12).sort("o_totalprice", True)).select("rank", "unique_id", "has_more"), """
+SELECT rank, unique_id, n > 24 AS has_more FROM (SELECT (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey::VARCHAR))::INT AS rank, o_orderkey::VARCHAR AS unique_id, count(*) OVER () AS n FROM orders WHERE o_orderstatus = 'P') WHERE rank BETWEEN 13 AND 24""")
+register("page_of_none", lambda spark, sf_dir: hits(orders(spark, sf_dir), Query(amount=0).sort("o_totalprice")).select("rank", "unique_id"), "SELECT 1::INT AS rank, '' AS unique_id WHERE false")
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> Index:
+    """Customers, with a boolean field: whether they owe."""
+    docs = table(spark, sf_dir, "customer").select("c_custkey", "c_name", (F.col("c_acctbal") < 0).alias("owes"))
+    return Index(IndexConfig("flagged", [FieldConfig("owes", "BOOL").index().sort(), FieldConfig("c_name").index("lcKeyword").sort("LOWERCASE_FOLDING")], unique_id="c_custkey"), docs)
+
+
+plain_match("boolean_term", flagged, "owes:true", "customer", "c_custkey", "c_acctbal < 0")
+page("sort_boolean", flagged, lambda: Query(amount=30).sort("owes", True), sql_page("c_custkey", "c_acctbal < 0 AS owes", "customer", "c_acctbal < 0 DESC", 30), {"s0": "owes"})
+page("sort_folded", flagged, lambda: Query(amount=30).sort("c_name", True), sql_page("c_custkey", "lower(c_name) AS name", "customer", "lower(c_name) DESC", 30), {"s0": "name"})
+
 # Terms (D1-D7) and analysis (H2-H8) -------------------------------------------------------------------------------------
 
 SQL_TERMS = f"WITH {TOKENS}, t AS (SELECT term, count(DISTINCT unique_id) AS doc_freq, count(*)::BIGINT AS term_freq FROM (SELECT unique_id, unnest(terms) AS term FROM d) GROUP BY term) SELECT * FROM t"
@@ -293,9 +325,14 @@ scan("terms_include", "WHERE term IN ('from', 'than', 'nosuchterm')", include=["
 register("terms_fuzzy", lambda spark, sf_dir: terms.terms(documents(spark, sf_dir), terms.TermsRequest("text", fuzzy="than", edits=1)).withColumn("score", F.round("score", 6)), SQL_TERMS.replace("SELECT * FROM t", "SELECT *, round(1 - damerau_levenshtein(term, 'than')::DOUBLE / least(length(term), 4), 6) AS score FROM t WHERE abs(length(term) - 4) <= 1 AND damerau_levenshtein(term, 'than') <= 1"))
 
 
-def analysed(kind: Callable[..., DataFrame], r: terms.AnalysisRequest, **options) -> Run:
+register("inverted_terms_min_freq", lambda spark, sf_dir: terms.terms(inverted(spark, sf_dir), terms.TermsRequest("text", min_doc_freq=50, min_term_freq=100)), f"{SQL_TERMS} WHERE doc_freq >= 50 AND term_freq >= 100")
+register("terms_last_term", lambda spark, sf_dir: terms.terms_with_last(documents(spark, sf_dir), terms.TermsRequest("text", start="de", end="df", min_doc_freq=20)), SQL_TERMS.replace("SELECT * FROM t", "SELECT *, (SELECT max(term) FROM t WHERE term >= 'de' AND term < 'df') AS last_term FROM t WHERE term >= 'de' AND term < 'df' AND doc_freq >= 20"))
+register("terms_last_term_of_amount", lambda spark, sf_dir: terms.terms_with_last(inverted(spark, sf_dir), terms.TermsRequest("text", start="de", amount=25)), SQL_TERMS.replace("SELECT * FROM t", "SELECT *, max(term) OVER () AS last_term FROM (SELECT * FROM t WHERE term >= 'de' ORDER BY term LIMIT 25)"))
+
+
+def analysed(kind: Callable[..., DataFrame], r: terms.AnalysisRequest, of=documents, **options) -> Run:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = documents(spark, sf_dir)
+        index = of(spark, sf_dir)
         out = kind(index, Search(index, Query("from AND than")).matches(), r, **options)
         return out.withColumn("score", F.round("score", 6))
 
@@ -312,6 +349,7 @@ y AS (SELECT unique_id, term, tf, df, round(score, 6) AS score, (row_number() OV
 _sum = "SELECT term, tf, df, round(score, 6) AS score FROM (SELECT term, sum(tf)::BIGINT AS tf, first(df) AS df, sqrt(sum(tf)::DOUBLE) * (1 + ln(((SELECT n FROM n) + 1) / (first(df) + 1))) AS score FROM {} GROUP BY term) z ORDER BY z.score DESC, term LIMIT 10"
 register("doc_top_terms", analysed(terms.top_terms, terms.AnalysisRequest("text", top=5)), sql_analysis("o AS (SELECT 1) SELECT * FROM y WHERE place <= 5"))
 register("summary_terms_all", analysed(terms.summary_terms, terms.AnalysisRequest("text")), sql_analysis("o AS (SELECT 1) " + _sum.format("x")))
+register("inverted_summary_terms_all", analysed(terms.summary_terms, terms.AnalysisRequest("text"), inverted), CATALOGUE["summary_terms_all"][1])
 register("summary_terms_top", analysed(terms.summary_terms, terms.AnalysisRequest("text"), of_top=True), sql_analysis("o AS (SELECT * FROM y WHERE place <= 10) " + _sum.format("o")))
 register("term_len_df_filter", analysed(terms.doc_terms, terms.AnalysisRequest("text", min_length=4, max_length=8, min_doc_freq=5, max_share=0.1)), sql_analysis("o AS (SELECT 1) SELECT * FROM y", "length(term) BETWEEN 4 AND 8 AND df >= 5 AND df <= round(n * 0.1)"))
 
@@ -387,16 +425,100 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("upsert_latest", upsert_latest, "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
-register("delete_anti", lambda spark, sf_dir: table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti").select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-
-
-def batch_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(0, "7"), (1, "nosuchid"), (2, "3")], "place int, unique_id string")
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("unique_id"), "p_name")
-    return asked.join(docs, "unique_id", "left").select("place", "unique_id", F.col("p_name").isNotNull().alias("found"), "p_name")
-
-
-register("batch_fetch", batch_fetch, "SELECT place::INT AS place, unique_id, p_name IS NOT NULL AS found, p_name FROM (VALUES (0, '7'), (1, 'nosuchid'), (2, '3')) a(place, unique_id) LEFT JOIN part ON p_partkey::VARCHAR = unique_id")
+def scratch(run: Callable[[SparkSession, str, str], DataFrame]) -> Run:
+    """A query over a store of its own in the shared folder, deleted once the rows are read out."""
+
+    def over(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/store-{uuid4().hex}"
+        out = run(spark, sf_dir, path).checkpoint(eager=True)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        return out
+
+    return over
+
+
+def customers(spark: SparkSession, sf_dir: str, path: str) -> DocumentStore:
+    """A store of all customers, those of nation 3 written twice."""
+    made = DocumentStore(spark, path, "name string, nation int, balance double")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("unique_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("int").alias("nation"), F.col("c_acctbal").alias("balance"))
+    made.store(rows)
+    made.store(rows.where("nation = 3").withColumn("name", F.concat(F.lit("again "), "name")))
+    return made
+
+
+def nation(spark: SparkSession, sf_dir: str, key: int) -> DataFrame:
+    return table(spark, sf_dir, "customer").where(F.col("c_nationkey") == key).select(F.col("c_custkey").cast("string").alias("unique_id"))
+
+
+@scratch
+def store_upsert(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    return customers(spark, sf_dir, path).documents().select("unique_id", "name", "nation", "balance")
+
+
+@scratch
+def store_delete(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    made = customers(spark, sf_dir, path)
+    made.delete(nation(spark, sf_dir, 7))
+    return made.documents().select("unique_id", "name")
+
+
+@scratch
+def store_late_data(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Stored, nation 7 deleted, compacted; then older rows of all come late: the deleted stay away, the others stay as they are."""
+    made = DocumentStore(spark, path, "name string")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("unique_id"), F.col("c_name").alias("name"))
+    made.store(rows.withColumn("ts", F.lit(100)), ts_col="ts")
+    made.delete(nation(spark, sf_dir, 7))
+    made.compact()
+    made.store(rows.withColumn("name", F.lit("late")).withColumn("ts", F.lit(50)), ts_col="ts")
+    return made.documents().select("unique_id", "ts", "name")
+
+
+@scratch
+def store_fetch(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Every supplier's number asked for among the customers: found ones with two fields of the document."""
+    asked = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 20).cast("string").alias("unique_id"))
+    found = customers(spark, sf_dir, path).fetch(asked, include=["name", "nation"])
+    return found.select("unique_id", "found", F.when(F.col("found"), F.to_json("document")).alias("document"))
+
+
+@scratch
+def store_batch_fetch(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    found = customers(spark, sf_dir, path).batch_fetch(["7", "nosuchid", "3", "7"])
+    return found.select("place", "unique_id", "found", "document.name")
+
+
+@scratch
+def store_files(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Two attachments for each part, one compressed; those of size 7 lose the plain one, and all of size 8 go."""
+    made, parts_ = DocumentStore(spark, path, "name string"), table(spark, sf_dir, "part")
+    of = lambda name, text, squeeze: parts_.select(F.col("p_partkey").cast("string").alias("unique_id"), F.lit(name).alias("filename"), F.col(text).cast("binary").alias("content"), F.lit(squeeze).alias("compressed"))
+    made.store_files(of("name.txt", "p_name", False).unionByName(of("type.txt", "p_type", True)))
+    ids = lambda size: parts_.where(F.col("p_size") == size).select(F.col("p_partkey").cast("string").alias("unique_id"))
+    made.delete(ids(7), documents=False, files=False, filename="name.txt")
+    made.delete(ids(8))
+    made.compact()
+    return made.files("FULL").select("unique_id", "filename", "compressed", F.col("content").cast("string").alias("content"))
+
+
+@scratch
+def store_cleared(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    made = customers(spark, sf_dir, path)
+    made.clear()
+    made.store(nation(spark, sf_dir, 5).withColumn("name", F.lit("new")))
+    return made.documents().groupBy("name").agg(F.count("*").alias("n"))
+
+
+_stored = "SELECT c_custkey::VARCHAR AS unique_id, CASE WHEN c_nationkey = 3 THEN 'again ' ELSE '' END || c_name AS name, c_nationkey::INT AS nation, c_acctbal AS balance FROM customer"
+register("store_upsert", store_upsert, _stored)
+register("store_delete", store_delete, f"SELECT unique_id, name FROM ({_stored}) WHERE nation <> 7")
+register("store_late_data", store_late_data, "SELECT c_custkey::VARCHAR AS unique_id, 100::BIGINT AS ts, c_name AS name FROM customer WHERE c_nationkey <> 7")
+register("store_fetch", store_fetch, "SELECT (s_suppkey * 20)::VARCHAR AS unique_id, c.unique_id IS NOT NULL AS found, CASE WHEN c.unique_id IS NOT NULL THEN '{\"name\":\"' || name || '\",\"nation\":' || nation || '}' END AS document FROM supplier LEFT JOIN (" + _stored + ") c ON c.unique_id = (s_suppkey * 20)::VARCHAR")
+register("store_batch_fetch", store_batch_fetch, f"SELECT place::INT AS place, a.unique_id, c.unique_id IS NOT NULL AS found, name FROM (VALUES (0, '7'), (1, 'nosuchid'), (2, '3'), (3, '7')) a(place, unique_id) LEFT JOIN ({_stored}) c USING (unique_id)")
+register("store_files", store_files, "SELECT p_partkey::VARCHAR AS unique_id, 'name.txt' AS filename, false AS compressed, p_name AS content FROM part WHERE p_size NOT IN (7, 8) UNION ALL SELECT p_partkey::VARCHAR, 'type.txt', true, p_type FROM part WHERE p_size <> 8")
+register("store_cleared", store_cleared, "SELECT 'new' AS name, count(*) AS n FROM customer WHERE c_nationkey = 5")
+register("delete_anti", lambda spark, sf_dir: table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey", "left_anti").select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 
 
 def dotted_path(spark: SparkSession, sf_dir: str) -> DataFrame:

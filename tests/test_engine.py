@@ -1,6 +1,7 @@
 """The search engine on small data with known answers."""
 
 import base64
+import io
 import math
 from dataclasses import dataclass
 from datetime import datetime
@@ -11,10 +12,12 @@ from lodestack.functions.analysis import Analyzer, built_in
 from lodestack.functions.stemming import min_stem, porter2
 from lodestack.functions.values import extract
 from lodestack.operators import terms
-from lodestack.operators.search import Catalog, FieldConfig, Index, IndexConfig, Query, ResultCache, Search, cursor, hits, or_query, search_facets
-from lodestack.operators.store import DocumentStore
+from lodestack.operators.pool import WorkPool
+from lodestack.operators.search import Catalog, FieldConfig, Index, IndexConfig, Query, ResultCache, Search, cursor, hits, hits_with_next, or_query, search_facets
+from lodestack.operators.store import LOG, DocumentStore
 from lodestack.plans import parser as P
 from lodestack.plans.config import ConfigError, from_schema
+from lodestack.plans.parser import QueryError
 from lodestack.sources import formats
 from lodestack.sources.mapper import Mapper, saved
 from lodestack.streaming.upsert import counts_by_window, latest_by_key, upsert_stream
@@ -226,6 +229,127 @@ def test_store(spark, tmp_path):
     assert store.documents().count() == 0
 
 
+def test_store_keeps_deletions_and_batches_written_meanwhile(spark, tmp_path):
+    store = DocumentStore(spark, f"{tmp_path}/s", "title string")
+    make = lambda i, title, ts: spark.createDataFrame([(i, title, ts)], "unique_id string, title string, ts long")
+    titles = lambda: {(r["unique_id"], r["title"]) for r in store.documents().collect()}
+    one = lambda i: spark.createDataFrame([(i,)], "unique_id string")
+    store.store(make("b", "first", 100), ts_col="ts")
+    store.delete(one("b"))
+    store.compact()
+    store.store(make("b", "late", 50), ts_col="ts")
+    assert titles() == set()
+    store.store(make("b", "newer", 101), ts_col="ts")
+    states = {store.state()}
+    live = store._live("log")  # what a compaction begins with; a batch comes before it ends
+    store.store(make("c", "meanwhile", 1), ts_col="ts")
+    store._switch("log", live, store._read("log", LOG, live))
+    assert titles() == {("b", "newer"), ("c", "meanwhile")}
+    states.add(store.state())
+    for _ in range(3):
+        store.compact()
+        states.add(store.state())
+        assert titles() == {("b", "newer"), ("c", "meanwhile")}
+    assert len(states) >= 4 and len(store._names("log")) <= 3  # what was replaced long ago is gone
+    store.clear()
+    assert titles() == set()
+
+
+def test_large_attachments_in_chunks(spark, tmp_path):
+    store = DocumentStore(spark, f"{tmp_path}/s", "title string")
+    content = bytes(range(256)) * 500
+    assert store.store_large("a", "big", io.BytesIO(content), chunk=1000) == len(content)
+    store.store_large("a", "other", io.BytesIO(b""), chunk=1000)
+    assert b"".join(store.fetch_large("a", "big")) == content and list(store.fetch_large("a", "other")) == list(store.fetch_large("b", "big")) == []
+    store.store_large("a", "big", io.BytesIO(content[:2500]), chunk=1000)
+    store.compact()
+    assert [len(x) for x in store.fetch_large("a", "big")] == [1000, 1000, 500]
+    assert {(r["filename"], r["chunks"]) for r in store.large_files().collect()} == {("big", 3), ("other", 0)}
+    store.delete(spark.createDataFrame([("a",)], "unique_id string"))
+    assert store.large_files().count() == 0
+
+
+def test_results_of_a_changed_store_are_not_answered_from_before(spark, tmp_path):
+    store = DocumentStore(spark, f"{tmp_path}/s", "title string")
+    make = lambda rows: spark.createDataFrame(rows, "unique_id string, title string")
+    store.store(make([("a", "red fox")]))
+    index, cache = Index.of_store(IndexConfig("s", [FieldConfig("title").index("standard").facet()], default_search_field="title"), store), ResultCache()
+    found = lambda: {r["unique_id"] for r in cache.get(index, Query("red"))}
+    assert found() == {"a"} and found() == {"a"} and len(cache.kept) == 1
+    store.store(make([("b", "red dog")]))
+    assert found() == {"a", "b"} and {r["value"]: r["count"] for r in search_facets(index, Query("red").count("title")).collect()} == {"red fox": 1, "red dog": 1}
+    plain = Index(index.config, make([("x", "red")]))
+    assert [r["unique_id"] for r in cache.get(plain, Query("red"))] == ["x"]
+    plain.docs = make([("y", "red")])
+    assert [r["unique_id"] for r in cache.get(plain, Query("red"))] == ["y"]
+
+
+def test_commands_beside_one_another(spark, tiny, tmp_path):
+    store = DocumentStore(spark, f"{tmp_path}/s", "title string")
+    with WorkPool(spark, 4) as pool:
+        pool.store(store, spark.createDataFrame([("a", "one"), ("b", "two")], "unique_id string, title string")).result(120)
+        asked = [pool.query(tiny, Query(q)) for q in ("red", "blue", "nosuchword")]
+        fetched = pool.batch_fetch(store, ["b", "c"])
+        assert [[r["unique_id"] for r in f.result(120)] for f in asked] == [["b", "a"], ["c"], []]
+        assert [(r["unique_id"], r["found"]) for r in fetched.result(120)] == [("b", True), ("c", False)]
+        pool.delete(store, spark.createDataFrame([("a",)], "unique_id string")).result(120)
+        assert store.documents().count() == 1
+        with pytest.raises(QueryError):
+            pool.query(tiny, Query("(red")).result(120)
+
+
+def test_pages_tell_whether_more_follows(numbered):
+    page = lambda **o: [(r["unique_id"], r["has_more"]) for r in hits_with_next(numbered, Query("distributed", **o).sort("an")).orderBy("rank").collect()]
+    assert page(amount=2) == [("someUniqueId-0", True), ("someUniqueId-1", True)] and page(amount=2, start=3) == [("someUniqueId-3", False), ("someUniqueId-4", False)]
+    assert page(amount=5)[-1] == ("someUniqueId-4", False) and page(amount=5, start=5) == []
+    assert hits(numbered, Query("distributed", amount=0)).collect() == [] and hits(numbered, Query("distributed", amount=0).sort("an")).columns == hits(numbered, Query("distributed").sort("an")).columns
+
+
+def test_clauses_without_terms_are_as_if_not_there(tiny):
+    cases = {"red AND the": "ab", "+the red": "ab", "the": "", "red -the": "ab", "-the": "", "+the -red": "c", '"the of"': "", "(the OR of) blue": "c", "the^3 OR blue": "c", "body:the AND body:blue": "c", "the NOT red": "c"}
+    for q, want in cases.items():
+        assert sorted(ids(tiny, Query(q))) == list(want), q
+    assert sorted(ids(tiny, Query('red "the"', default_and=True))) == ["a", "b"] and ids(tiny, Query("blue OR the", mm=2)) == []
+
+
+def test_tokens_by_hand(spark):
+    want = {
+        "Don't stop": ["Don't", "stop"], "O’Neil's 3.14 a_b": ["O’Neil's", "3.14", "a_b"], "wi-fi e.g. x.": ["wi", "fi", "e.g", "x"], "漢字とkana": ["漢", "字", "と", "kana"], "abc漢字 def": ["abc", "漢", "字", "def"], "カタカナ 한국어": ["カタカナ", "한국어"],
+        "cafe\u0301 naïve": ["cafe\u0301", "naïve"], "a'b'c ''d": ["a'b'c", "d"], "": [], "1,5 $20": ["1", "5", "20"], "x" * 256 + " y": ["y"],
+    }
+    chain = Analyzer("plain", "STANDARD")
+    docs = spark.createDataFrame([(t, [t]) for t in want], "t string, v array<string>")
+    assert {r["t"]: r["x"] for r in docs.select("t", chain.column(docs["v"]).alias("x")).collect()} == want
+    assert {t: chain.tokens(t) for t in want} == want
+    assert Analyzer("stops", "STANDARD", ["LOWERCASE", "STOPWORDS"]).tokens("The cat IS on it") == [None, "cat", None, None, None]
+
+
+def test_query_handling_is_kept_with_the_settings():
+    config = IndexConfig("x", [FieldConfig("a").index("near")], analyzers={"near": Analyzer("near", "STANDARD", ["MINHASH"], query_handling="MINHASH_QUERY")})
+    assert IndexConfig.from_json(config.to_json()).analyzer("near").query_handling == "MINHASH_QUERY"
+    with pytest.raises(ValueError, match="unknown query handling"):
+        Analyzer("near", query_handling="OTHER")
+
+
+def test_several_facets_take_one_pass(journals):
+    query = Query("userguide").count("issn", 2).count("country", 0)
+    rows = search_facets(journals, query).collect()
+    assert [(r["facet"], r["value"], r["count"]) for r in rows if r["facet"] == "issn"] == [("issn", "1234-1234", 10), ("issn", "1234-4444", 10)]
+    assert {(r["value"], r["count"]) for r in rows if r["facet"] == "country"} == {("US", 25), ("France", 25)}
+    assert {(r["max_error"], r["possible_missing"], r["max_value_possible_missing"]) for r in rows} == {(0, False, 0)}
+    plan = search_facets(journals, query)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Union" not in plan
+
+
+def test_catalog_builds_inverted_tables(spark, tiny, tmp_path):
+    catalog = Catalog(spark)
+    index = catalog.create(tiny.config, tiny.docs, invert=str(tmp_path))
+    assert index.inverted and ids(index, Query("red")) == ids(tiny, Query("red"))
+    frequencies = lambda i: sorted((r["term"], r["df"]) for r in terms.doc_terms(i, Search(i, Query("red")).matches(), terms.AnalysisRequest("body")).collect())
+    assert frequencies(index) == frequencies(tiny)
+    catalog.delete("tiny")
+
+
 def test_streams(spark, tmp_path):
     source = f"{tmp_path}/in"
     spark.createDataFrame([("a", "one", 1), ("b", "two", 1)], "unique_id string, title string, ts long").write.parquet(source)
