@@ -8,6 +8,9 @@ share and reads again as the next stage's documents. All stages but the last ret
 * secrets: spans that the scan finds are replaced in the text.
 * mix: each row stays as often as the source mix takes the whole document.
 * tokens: adds the token ids; their decoded text is the text.
+
+Null and empty texts, very long texts, ties, repeated rows, rows without id and empty tables have the results that the operators
+define; the columns of documents, also unknown ones, pass through all stages.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe_stream, mixing, quality, secrets, simhash_dedup
-from lodestack.llm.common import checkpoint_dir, table, vocabulary_path
+from lodestack.llm.common import checkpoint_dir, delete, table, vocabulary_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_dir(spark)}/pipeline-{os.urandom(8).hex()}"
+    """The last stage's rows, read from its folder; the folders of the stages before are deleted as soon as the next one is written."""
+    folder, before = f"{checkpoint_dir(spark)}/pipeline-{os.urandom(8).hex()}", None
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
