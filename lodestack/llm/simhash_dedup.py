@@ -11,7 +11,7 @@ Only distinct fingerprints are compared, so exact copies never multiply. In file
 judged at once; in larger ones links are found breadth first, each newly reached fingerprint against those not yet reached. A task
 keeps only a spanning forest of the links it finds, so a dense group of any size yields one link for each member and no link
 between components is lost. A file with more than DENSE fingerprints is dealt into blocks by a hash, and every two blocks meet in a
-task of their own; files are counted in HASHES classes beforehand, so that no task ever holds a denser one.
+task of their own (``files.dealt``), so that no task ever holds a denser one.
 
 Defined results: null text counts as empty; a text without words has fingerprint 0 and links like any other; repeated rows
 stay; a null doc_id keeps its row and never names a component (null if the component has no other); an empty table gives an
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from .common import ROW_KEY, checkpointed, fresh, map_arrow, row_key, slices, texts
 from .components import components, forest
+from .files import DENSE, dealt
 
 #: Shingles whose bits are counted at a time, so that very long texts need bounded memory.
 BLOCK = 1 << 15
@@ -87,10 +88,8 @@ def chained(x: np.ndarray, at: np.ndarray, ring: list[tuple[int, int]], radius:
     return out
 
 
-#: Fingerprints of a file whose candidates are judged all at once, and of a file (or two blocks of one) that one task holds.
-SMALL, DENSE = 32, 20_000
-#: Classes in which files are counted; the counts of one class are 16 bytes, so at most 16 MB are broadcast.
-HASHES = 1 << 20
+#: Fingerprints of a file whose candidates are judged all at once.
+SMALL = 32
 
 
 def file_links(fp: np.ndarray, at: np.ndarray, key: np.ndarray, ring: list[tuple[int, int]], radius: int, since: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +155,6 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` whose components are those of all links."""
     ring = segments(radius)
     every, since = filed(distinct, radius)
-    kind = lambda: F.pmod(F.col("key"), F.lit(HASHES)).alias("kind")
-    # Blocks of a dense class: each row goes to the pairs of its own block with every block.
-    dense = every.groupBy(kind()).agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("kind", F.ceil(2 * F.col("n") / DENSE).alias("blocks"))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(block, j), F.greatest(block, j)))
-    every = every.withColumn("kind", kind()).join(F.broadcast(dense), "kind", "left")  # at most HASHES rows
-    every = every.select("fp", "at", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
-
     def run(batches):
         found = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "at", "key")] for batch in batches]
         if not found:
@@ -176,7 +167,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
     width = max(w for _, w in ring) if 2 * radius // len(ring) == 1 else 1
     parts = max(2 * distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() * len(ring) * width // 1_000_000))
-    return map_arrow(every.repartition(parts, "key"), run, LINKS)
+    return map_arrow(dealt(every, DENSE).repartition(parts, "key"), run, LINKS)
 
 
 def duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -193,9 +184,9 @@ def duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     # Copies share a fingerprint; those of one with many copies are dealt over salts.
     many = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * HOT
     hot = F.broadcast(named.where(F.col("n") > many).select("fp", F.lit(SALTS).alias("salts")))  # fewer than 1 / HOT rows
-    dealt = fps.join(hot, "fp", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int")).otherwise(F.lit(0)))
+    spread = fps.join(hot, "fp", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int")).otherwise(F.lit(0)))
     named = named.withColumn("salt", F.explode(F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 KEYED = T.StructType([*FINGERPRINTS, T.StructField("row", ROW_KEY)])

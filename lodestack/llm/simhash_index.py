@@ -4,21 +4,26 @@ A text's terms are its pairs of neighbouring words (a single word alone: itself)
 number of its characters, so that pairs of short, frequent words count little. Term hashes vote with their weight on 64 signed
 bits; a bit is set where the votes are positive. Likeness is 1 - differing bits / 64.
 
-``near_pairs`` finds all fingerprints within a Hamming radius by permuted block tables: 64 bits are cut into ``radius`` + 2
-blocks, every choice of two blocks that may agree is one table whose key these blocks lead, and rows of equal keys are compared.
-``first_near`` uses the same tables for the smallest doc_id near each fingerprint, which the query adds to its rows.
+``first_near`` finds all fingerprints within a Hamming radius by permuted block tables: 64 bits are cut into ``radius`` + k blocks,
+every choice of k blocks that may agree is one table whose key these blocks lead, and rows of equal keys are compared. The more
+fingerprints there are, the more blocks lead a key (``leading``); the result does not depend on it. Of the near ones each row is
+named the smallest doc_id, so a dense file gives a row for each member instead of all pairs; files with more than DENSE
+fingerprints are dealt into blocks that meet two by two.
 
 The next document, ascending doc_id, is found without a global sort in one task: rows are dealt into id ranges whose limits are
-taken from quantiles, and the first row of every range also travels to the range before it.
+taken from quantiles, and the first row of every range also travels to the range before it. Ids should be unique: rows of one id, or
+without one, stream through one range, whatever their number.
 
 Defined results: null text is empty (fingerprint 0, edited text empty); repeated ids are ordered by text; rows without id come
-last; a single document is its own next; an empty table gives an empty result; other columns are ignored.
+last; a single document is its own next; an empty table gives an empty result; other columns are ignored; of a very long text all
+terms vote, BLOCK at a time, and the edit is made on the whole text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, map_arrow, slices, texts
+from .files import DENSE, dealt
 
 #: Words whose hashes are remembered, and terms whose votes are counted at a time.
 CACHE, BLOCK = 200_000, 1 << 14
-#: Rows of an id range on average, the most ranges (rows stream through a range, so their size needs no bound), ranges of a task.
-RANGE_ROWS, MOST_RANGES, TASK_RANGES = 500, 20_000, 8
+#: Rows of an id range on average, the most ranges, of which the driver holds a few numbers each (beyond, ranges grow; rows stream
+#: through them), ranges of a task.
+RANGE_ROWS, MOST_RANGES, TASK_RANGES = 500, 1_000_000, 8
+#: Fingerprints of a file that are compared all at once.
+SMALL = 32
 #: Parts into which the join by fingerprint deals the copies of one.
 SALTS = 16
 
@@ -88,32 +97,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(texts(docs), run, FINGERPRINTS)
 
 
-def near_pairs(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b), a < b: all pairs of distinct fingerprints (column fp) within ``radius``, each once."""
-    n = radius + 2
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    block = lambda k: F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1))
-    tables = [F.struct(F.lit(i).alias("t"), block(p).alias("p"), block(q).alias("q")) for i, (p, q) in enumerate(combinations(range(n), 2))]
-    filed = distinct.select("fp", F.explode(F.array(*tables)).alias("key"))
-    other = filed.select(F.col("fp").alias("other"), F.col("key").alias("key2"))
-    pairs = filed.join(other, (F.col("key") == F.col("key2")) & (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius))
-    return pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+NEAREST = T.StructType([T.StructField("fp", T.LongType()), T.StructField("first_id", T.LongType())])
 
 
-NEAREST = T.StructType([T.StructField("fp", T.LongType()), T.StructField("first_id", T.LongType())])
+def leading(radius: int, n: int) -> int:
+    """Number of blocks that lead a key: as many as give the least rows to file and to compare for n fingerprints."""
+    return min(range(1, 7), key=lambda k: comb(radius + k, k) * (1 + n / 2 ** (64 * k / (radius + k))))
+
+
+def near_names(fp: np.ndarray, name: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint that has one, the smallest name of those within the radius and of equal key; rows ascend by (key, name)."""
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(edges)
+    named, names = [], []
+    some = np.flatnonzero((size > 1) & (size <= SMALL))
+    first, n = edges[some], size[some]
+    left, end = np.repeat(first, n), np.repeat(first + n, n)
+    left = left + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)  # every row of a small file
+    for step in range(1, SMALL):
+        on = left + step < end
+        left, end = left[on], end[on]
+        near = left[np.bitwise_count(fp[left] ^ fp[left + step]) <= radius]
+        named.append(fp[near + step])
+        names.append(name[near])
+    for k in np.flatnonzero(size > SMALL).tolist():
+        rest, since = fp[edges[k] : edges[k + 1]], name[edges[k] : edges[k + 1]]
+        for x, least in zip(rest, since, strict=True):  # each names those near it that have no name yet
+            near = np.bitwise_count(rest ^ x) <= radius
+            named.append(rest[near])
+            names.append(np.full(int(near.sum()), least))
+            rest, since = rest[~near], since[~near]
+            if not len(rest):
+                break
+    named, names = np.concatenate([*named, fp[:0]]), np.concatenate([*names, name[:0]])
+    order = np.lexsort((names, named))
+    one = np.concatenate([[True], named[order[1:]] != named[order[:-1]]]) if len(order) else np.zeros(0, bool)
+    return named[order[one]], names[order[one]]
 
 
 def first_near(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, first_id): of each distinct fingerprint of (doc_id, fp) the smallest doc_id within ``radius``, its own rows included.
-
-    Rows of equal keys are taken by ascending id; each names the rows near it that have no name yet, so a dense block gives one row
-    for each member instead of all pairs.
-    """
-    n = radius + 2
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    block = lambda k: F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1))
-    keys = [F.xxhash64(F.lit(i), block(p), block(q)) for i, (p, q) in enumerate(combinations(range(n), 2))]
+    """(fp, first_id): of each distinct fingerprint of (doc_id, fp) the smallest doc_id within ``radius``, its own rows included."""
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    n = distinct.count()
+    k = leading(radius, n)
+    edges = [round(64 * i / (radius + k)) for i in range(radius + k + 1)]
+    block = lambda j: F.shiftrightunsigned("fp", edges[j]).bitwiseAND(F.lit((1 << edges[j + 1] - edges[j]) - 1))
+    keys = [F.xxhash64(F.lit(i), *map(block, some)) for i, some in enumerate(combinations(range(radius + k), k))]
     filed = distinct.select("fp", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("id"), F.explode(F.array(*keys)).alias("key"))
 
     def run(batches):
@@ -122,25 +151,12 @@ def first_near(fps: DataFrame, radius: int = 3) -> DataFrame:
             return
         fp, at, key = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((at, key))
-        fp, at, key = fp[order].view(np.uint64), at[order], key[order]
-        limits = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        named, names = [], []
-        for k in np.flatnonzero(np.diff(limits) > 1).tolist():
-            lo, hi = limits[k], limits[k + 1]
-            rest, since = fp[lo:hi], at[lo:hi]
-            for x, name in zip(fp[lo:hi], at[lo:hi], strict=True):
-                near = np.bitwise_count(rest ^ x) <= radius
-                if (better := near & (since > name)).any():
-                    named.append(rest[better])
-                    names.append(np.full(int(better.sum()), name))
-                rest, since = rest[~near], since[~near]
-                if not len(rest):
-                    break
-        if named:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(named).view(np.int64)), pa.array(np.concatenate(names))], NEAREST.names)
-
-    parts = max(2 * fps.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() * len(keys) // 1_000_000))
-    return map_arrow(filed.repartition(parts, "key"), run, NEAREST).unionByName(distinct).groupBy("fp").agg(F.min("first_id").alias("first_id"))
+        named, names = near_names(fp[order].view(np.uint64), at[order], key[order], radius)
+        yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(names)], NEAREST.names)
+
+    parts = max(2 * fps.sparkSession.sparkContext.defaultParallelism, -(-n * len(keys) // 1_000_000))
+    named = map_arrow(dealt(filed, DENSE).repartition(parts, "key"), run, NEAREST)
+    return named.select("fp", F.nullif("first_id", F.lit((1 << 63) - 1)).alias("first_id")).unionByName(distinct).groupBy("fp").agg(F.min("first_id").alias("first_id"))
 
 
 RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))])
@@ -155,16 +171,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     if not n:
         return rows.sparkSession.createDataFrame([], RESULT)
     parts = min(MOST_RANGES, -(-n // RANGE_ROWS))
-    limits = sorted({int(x) for x in ids.select(F.percentile_approx("i", F.lit([k / parts for k in range(1, parts)]), 100 * parts)).first()[0]}) if parts > 1 else []
-    place = F.when(F.col("i").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.lit(limits).cast("array<bigint>"), lambda x: x <= F.col("i")))) if len(limits) < 16 else _place(limits)
+    limits = sorted({int(x) for x in ids.select(F.percentile_approx("i", F.lit([k / parts for k in range(1, parts)]), min(100 * parts, 2_000_000))).first()[0]}) if parts > 1 else []
+    place = _place(limits) if limits else F.lit(0)
     firsts = {r["range"]: r["first"] for r in ids.withColumn("range", place).groupBy("range").agg(F.min("i").alias("first")).collect()}  # one row a range
     order = sorted(firsts)
-    ahead = {firsts[r]: order[k - 1] for k, r in enumerate(order)}  # first id of a range -> range that needs it
-    dealt = rows.withColumn("i", F.coalesce("doc_id", last)).withColumn("range", place)
-    also = F.element_at(F.create_map(*(F.lit(x) for pair in ahead.items() for x in pair)), F.col("i")) if len(ahead) < 16 else F.element_at(F.map_from_arrays(F.split(F.lit(",".join(map(str, ahead))), ",").cast("array<bigint>"), F.split(F.lit(",".join(map(str, ahead.values()))), ",").cast("array<int>")), F.col("i"))
-    to = F.array_compact(F.array(F.struct(F.col("range").cast("int").alias("range"), F.lit(0).alias("next")), F.when(also.isNotNull(), F.struct(also.cast("int").alias("range"), F.lit(1).alias("next")))))
-    dealt = dealt.select("doc_id", "i", "text", F.explode(to).alias("to")).select("doc_id", "i", "text", "to.range", "to.next")
-    dealt = dealt.repartition(-(-len(order) // TASK_RANGES), "range").sortWithinPartitions("range", "next", "i", "text")
+    before = dict(zip(order, [order[-1], *order], strict=False))  # the range that needs a range's first row
+    array = lambda numbers, kind: F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
+    # Ranges without rows have any numbers: no row looks there.
+    first_of, needs = (array([own.get(r, -1) for r in range(len(limits) + 1)], kind) for own, kind in ((firsts, "bigint"), (before, "int")))
+    dealt_rows = rows.withColumn("i", F.coalesce("doc_id", last)).withColumn("range", place.cast("int"))
+    also = F.when(F.element_at(first_of, F.col("range") + 1) == F.col("i"), F.element_at(needs, F.col("range") + 1))
+    to = F.array_compact(F.array(F.struct(F.col("range"), F.lit(0).alias("next")), F.when(also.isNotNull(), F.struct(also.alias("range"), F.lit(1).alias("next")))))
+    ranged = dealt_rows.select("doc_id", "i", "text", F.explode(to).alias("to")).select("doc_id", "i", "text", "to.range", "to.next")
+    ranged = ranged.repartition(-(-len(order) // TASK_RANGES), "range").sortWithinPartitions("range", "next", "i", "text")
 
     def run(batches):
         held: tuple | None = None  # range, doc_id, text, fingerprint of the row that waits for the next one
@@ -185,7 +204,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 held = None if ahead_of else (at, doc_id, text, fp)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], RESULT.names)
 
-    return map_arrow(dealt, run, RESULT)
+    return map_arrow(ranged, run, RESULT)
 
 
 def edits_and_neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
