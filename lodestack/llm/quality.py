@@ -2,14 +2,16 @@
 
 Every text is described by a few statistics (lengths, character classes, repetition, lines). Random Fourier features
 approximate a Gaussian kernel over them; partitions sum the normal equations of a ridge fit to the 0/1 labels, the driver
-solves one small system, and isotonic regression turns the fitted values into probabilities.
+solves one small system, and isotonic regression turns the fitted values into probabilities. The curve is fitted to values out of
+fold: rows are dealt into FOLDS by their id, and each gets its value from the sums of the other folds.
 
 Learned only from labelled rows that are not held out (crc32 of the id as text mod 5 is 0), and of these from at most about
 ``FIT_ROWS``, taken by a hash of the id. Label, language, source and id never enter a score.
 
 Defined results: null and empty texts are scored like any text (all statistics 0); rows without id are never held out nor
 learned from; of several labels of one id the mean counts, null labels are ignored; without usable labels every score is 1; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored; the statistics of a very long text are taken over the whole of it, in
+memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from .common import checkpointed, map_arrow, slices, texts
 FIT_ROWS = 100_000
 FEATURES = 256
 RIDGE = 1e-3
-#: Partitions whose sums of normal equations the driver adds up, each FEATURES squared numbers.
-PARTIAL_SUMS = 16
+#: Folds, and partitions whose sums of normal equations the driver adds up, each FEATURES squared numbers for each fold.
+FOLDS, PARTIAL_SUMS = 4, 8
 GRID = 2000
 N_STATS = 19
 UPPER, LOWER, DIGIT = (np.isin(np.arange(256), list(s)) for s in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"))
@@ -113,13 +115,27 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS).astype(np.float64)
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of labelled ids that are not held out; the mean of several labels of one id."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
+    return marks.where(~held_out_column())
+
+
+def bounded(known: DataFrame, total: int, fit_rows: int) -> DataFrame:
+    """About ``fit_rows`` of ``total`` rows, taken by a hash of the id."""
+    return known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / 2.0**63 < fit_rows / total) if total > fit_rows else known
+
+
+def fold():
+    return (F.floor(F.crc32(F.col("doc_id").cast("string")) / 5) % FOLDS).cast("int")
+
+
 def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7, width: float = 0.35) -> Model:
     """``stats``: of document_statistics; ``labels``: doc_id, quality."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    known = checkpointed(stats.where(~held_out_column()).join(marks, "doc_id").select("doc_id", "x", "y"))
+    known = checkpointed(stats.join(usable(labels), "doc_id").select("doc_id", "x", "y", fold().alias("fold")))
     total = known.count()
     if total > fit_rows:
-        known = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / 2.0**63 < fit_rows / total)
+        known = bounded(known, total, fit_rows)
         total = known.count()  # the ridge counts the rows of the normal equations
     rng = np.random.default_rng(seed)
     frequency, phase = rng.normal(0, width, (N_STATS, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES)
@@ -131,25 +147,34 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     model.scale = np.where(spread > 1e-9, spread, 1.0)
 
     def sums(batches):
-        a, b, k = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1), 0
+        a, b, k = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1)), np.zeros(FOLDS, np.int64)
         for batch in batches:
-            z = model.features(_matrix(batch))
-            a += z.T @ z
-            b += z.T @ batch.column("y").to_numpy(zero_copy_only=False)
-            k += len(z)
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["a", "b"])
-
-    parts = known.coalesce(PARTIAL_SUMS).mapInArrow(sums, "a binary, b binary").collect()
-    a = sum(np.frombuffer(r["a"]).reshape(FEATURES + 1, -1) for r in parts)
-    b = sum(np.frombuffer(r["b"]) for r in parts)
-    model.weights = np.linalg.solve(a + RIDGE * total / FEATURES * np.eye(FEATURES + 1), b)
-
-    def fitted(batches):
+            z, y, of = model.features(_matrix(batch)), batch.column("y").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False)
+            for f in np.unique(of).tolist():
+                some = of == f
+                a[f] += z[some].T @ z[some]
+                b[f] += z[some].T @ y[some]
+                k[f] += some.sum()
+        some = np.flatnonzero(k)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([a[f].tobytes() for f in some]), pa.array([b[f].tobytes() for f in some]), pa.array(k[some])], ["fold", "a", "b", "k"])
+
+    a, b, k = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1)), np.zeros(FOLDS)
+    for r in known.coalesce(PARTIAL_SUMS).mapInArrow(sums, "fold int, a binary, b binary, k long").collect():  # at most PARTIAL_SUMS * FOLDS
+        a[r["fold"]] += np.frombuffer(r["a"]).reshape(FEATURES + 1, -1)
+        b[r["fold"]] += np.frombuffer(r["b"])
+        k[r["fold"]] += r["k"]
+    ridge = lambda a, b, n: np.linalg.solve(a + RIDGE * max(n, 1) / FEATURES * np.eye(FEATURES + 1), b)
+    model.weights = ridge(a.sum(axis=0), b.sum(axis=0), k.sum())
+    others = [ridge(a.sum(axis=0) - a[f], b.sum(axis=0) - b[f], k.sum() - k[f]) if k.sum() > k[f] else model.weights for f in range(FOLDS)]
+
+    def out_of_fold(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.round(model.raw(_matrix(batch)) * GRID).astype(np.int64)), batch.column("y")], ["g", "y"])
+            of = batch.column("fold").to_numpy(zero_copy_only=False)
+            raw = np.clip((model.features(_matrix(batch)) * np.array(others)[of]).sum(axis=1), -0.5, 1.5)
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(raw * GRID).astype(np.int64)), batch.column("y")], ["g", "y"])
 
-    curve = known.select("x", "y").mapInArrow(fitted, "g long, y double").groupBy("g").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("g").collect()  # at most 2 * GRID rows
+    curve = known.select("x", "y", "fold").mapInArrow(out_of_fold, "g long, y double").groupBy("g").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("g").collect()  # at most 2 * GRID + 1 rows
     model.knots, model.values = pool_adjacent(np.array([r["g"] / GRID for r in curve]), np.array([r["y"] for r in curve]), np.array([float(r["n"]) for r in curve]))
     return model
 
@@ -170,9 +195,15 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     return out.select("doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their columns."""
-    model = fit(checkpointed(document_statistics(docs)), labels)
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with their columns.
+
+    Before the pass over all rows, only the texts are read that the fit uses: ids of labelled rows are bounded by ``fit_rows`` first.
+    """
+    known = checkpointed(usable(labels).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").select("doc_id"))
+    some = bounded(known, known.count(), fit_rows)
+    mine = docs.join(F.broadcast(some.withColumnRenamed("doc_id", "__id")), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")  # about fit_rows ids
+    model = fit(document_statistics(mine), labels, fit_rows)
 
     def run(batches):
         for part, values in slices(batches):
