@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import regex
 
@@ -97,6 +98,8 @@ class BytePairModel:
 
     def merge(self, raw: bytes) -> list[int]:
         """Ids of one pre-token, by merging the lowest-ranked pair first, leftmost on ties."""
+        if len(raw) > 48:
+            return self.merge_long(raw)
         ids, ranks = [self.byte_ids[b] for b in raw], self.ranks
         while len(ids) > 1:
             best = None
@@ -118,6 +121,28 @@ class BytePairModel:
         return ids
 
 
+    def merge_long(self, raw: bytes) -> list[int]:
+        """The same with a heap of the pairs, in time about proportional to the length."""
+        ids, ranks, n = [self.byte_ids[b] for b in raw], self.ranks, len(raw)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r[0], i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i] if ids[i] >= 0 else n
+            pair = ranks.get((ids[i], ids[j])) if j < n else None
+            if pair is None or pair[0] != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], after[i] = pair[1], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := ranks.get((ids[i], ids[after[i]]))) is not None:
+                    heappush(heap, (r[0], i))
+            if before[i] >= 0 and (r := ranks.get((ids[before[i]], ids[i]))) is not None:
+                heappush(heap, (r[0], before[i]))
+        return [x for x in ids if x >= 0]
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> BytePairModel:
     return BytePairModel(path)

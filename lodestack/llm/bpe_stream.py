@@ -3,7 +3,8 @@
 Encoding reads a text piece by piece. Pre-token boundaries lie wherever white space follows something else, so a piece
 that ends there is settled. Inside one unbroken pre-token the merge list's sufficient lookahead (``BytePairModel.
 lookahead``) tells how far back more input can still move a boundary: tokens that end before it are emitted, the bytes
-after the last of them are kept. Memory is one piece, the lookahead and a word cache of fixed size, however long the text.
+after the last of them are kept. Beside the text itself, memory is one piece, the lookahead and a word cache of fixed size, however
+long the text, also where it has no white space at all: ids are handed out GIVEN at a time.
 
 Decoding maps ids to bytes and feeds them to an incremental UTF-8 state machine that holds at most three bytes.
 
@@ -15,11 +16,12 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -28,7 +30,9 @@ from .common import map_arrow, slices, texts
 
 PIECE = 1 << 16
 CACHE = 600_000
-_cut = re.compile(r"(?<=\S)(?=\s)")
+#: Ids handed out at a time where a piece is longer than PIECE twice.
+GIVEN = 4096
+_cut = regex.compile(r"(?<=\S)(?=\s)")  # white space as the pre-tokenizer knows it
 
 
 class WordCache(dict):
@@ -91,7 +95,27 @@ class Encoder:
                 yield self.special[part]
             elif part:
                 for piece in pieces(part):
-                    yield b"".join(map(self.cache.__getitem__, self.model.words.findall(piece)))
+                    if len(piece) <= 2 * PIECE:
+                        yield b"".join(map(self.cache.__getitem__, self.model.words.findall(piece)))
+                    else:
+                        yield from self._unbroken(piece)
+
+    def _unbroken(self, piece: str) -> Iterator[bytes]:
+        """Ids of a piece without a place to cut: short pre-tokens some at a time, a long one as its tokens become stable."""
+        held: list[bytes] = []
+        for m in self.model.words.finditer(piece):
+            if m.end() - m.start() > PIECE:
+                yield b"".join(held)
+                held = []
+                parts = (piece[i : min(i + PIECE, m.end())].encode() for i in range(m.start(), m.end(), PIECE))
+                for ids in batched(stream_word(self.model, parts), GIVEN):
+                    yield np.array(ids, "<u4").tobytes()
+            else:
+                held.append(self.cache[m[0]])
+                if len(held) >= GIVEN:
+                    yield b"".join(held)
+                    held = []
+        yield b"".join(held)
 
 
 class Decoder:
