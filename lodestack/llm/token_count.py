@@ -10,7 +10,9 @@ A chunk is a pre-token, so it sends any entry state s to (its exit state, due(s)
 associatively, and a prefix scan (cumulative sum) over all chunks of a batch gives every document's count as a difference.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are kept as often as they occur; an empty table gives
-an empty result; other columns are ignored. Strings of special tokens count as one token.
+an empty result; other columns are ignored. Strings of special tokens count as one token. A very long text is cut where white space
+follows something else, and its pieces are counted PIECES characters at a time; memory is in proportion to that, or to the longest
+stretch without such a place.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import BytePairModel, load
+from .bpe_stream import pieces
 from .common import map_arrow, slices, texts
 
 #: States after which the compiled part is dropped between batches and compiled anew as needed.
 STATES = 400_000
+#: Characters whose chunks step through the transducer together.
+PIECES = 500_000
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 _kinds: list[np.ndarray] = []
 
@@ -172,15 +177,26 @@ class Counter:
         """Tokens of each text."""
         if len(self.machine.states) > STATES:
             self.machine.reset()
-        extra, owner, parts = np.zeros(len(values), np.int64), [], []
+        extra, owner, parts, held = np.zeros(len(values), np.int64), [], [], 0
         for i, text in enumerate(values):
             split = self.model.specials.split(text) if self.model.specials and any(s in text for s in self.model.special) else [text]
             for part in split:
                 if part in self.model.special:
                     extra[i] += 1
                 else:
-                    owner.append(i)
-                    parts.append(part)
+                    for piece in pieces(part):
+                        if held + len(piece) > PIECES and parts:
+                            self._count(extra, owner, parts)
+                            owner, parts, held = [], [], 0
+                        owner.append(i)
+                        parts.append(piece)
+                        held += len(piece)
+        if parts:
+            self._count(extra, owner, parts)
+        return extra
+
+    def _count(self, extra: np.ndarray, owner: list[int], parts: list[str]) -> None:
+        """Adds the tokens of the parts to their owners'."""
         joined = "\0".join(parts) + "\0\0\0\0"
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
@@ -194,7 +210,6 @@ class Counter:
         scan = np.concatenate([[0], np.cumsum(self.machine.run(raw, starts, sizes))])
         upto = scan[np.searchsorted(first, ends)]
         np.add.at(extra, owner, np.diff(np.concatenate([[0], upto])))
-        return extra
 
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
