@@ -90,6 +90,12 @@ def checkpoint_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of this library's own in the shared one, wherever that lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut from its lineage, in the folder all executors share."""
     checkpoint_dir(df.sparkSession)

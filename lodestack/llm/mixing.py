@@ -11,9 +11,10 @@ target, documents take words in key order until the prefix sum reaches it, the l
 A source of any size is dealt into key ranges of a few thousand rows; only the ranges' sums are ordered per source, and each
 range is then summed on its own, so no task holds a whole source.
 
-Defined results: null and empty texts have size 0 and take 0; null is a source of its own; rows without id share one u and are
-ordered by size; repeated rows count as often as they occur (equal rows may differ in ``taken`` where the budget ends among
-them); an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have size 0 and take 0; null is a source of its own; u of a row without id is from a hash of its
+text; rows of one u are ordered by id and size; repeated rows count as often as they occur (equal rows may differ in ``taken`` where
+the budget ends among them); an empty table gives an empty result; other columns are ignored; the words of a very long text are
+counted over the whole of it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHARE, MOST = 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: Marks of low quality, of which each character lowers a document's weight.
 JUNK = "!%&$#*|~^"
+#: Least quality weight.
+LEAST = 0.001
 
 
 def quality_weight(text: Column) -> Column:
@@ -39,9 +42,9 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, 1.0 - 0.9 * F.least(F.lit(1.0), 10.0 * (n - F.length(F.translate(text, JUNK, ""))) / n)).otherwise(F.lit(1.0))
 
 
-def uniform(id_col: Column, seed: str = "mix") -> Column:
-    """In (0, 1), from 52 bits of a hash of the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def uniform(id_col: Column, text: Column, seed: str = "mix") -> Column:
+    """In (0, 1), from 52 bits of a hash of the id, or of the text where there is none."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.concat(F.lit("text "), F.md5(text)))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -58,20 +61,23 @@ def targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", "rank", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def _prepared(docs: DataFrame, more: list[str]) -> DataFrame:
+def _prepared(docs: DataFrame, more: list[str], weight: Column | None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = -F.ln(uniform(F.col("doc_id"))) / F.col("weight")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality_weight(text).alias("weight"), *more).withColumn("key", key)
+    u = uniform(F.col("doc_id"), text).alias("u")
+    weighed = quality_weight(text) if weight is None else F.coalesce(F.greatest(weight.cast("double"), F.lit(LEAST)), F.lit(1.0))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), weighed.alias("weight"), u, *more).withColumn("key", -F.ln("u") / F.col("weight")).drop("u")
 
 
-def mix(docs: DataFrame, whole: bool = False, row: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, whole: bool = False, row: str | None = None, weight: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) of every row.
 
+    ``weight``: the documents' quality, as a classifier's score of them (null: 1); else ``quality_weight`` of their texts.
+
     ``whole``: documents are taken wholly; the one in which the budget ends is taken if at least half of it fits.
     ``row``: a column of ``docs`` that tells rows apart, added to the result; it orders rows of one id and size.
     """
     more = [row] if row else []
-    per = checkpointed(_prepared(docs, more))
+    per = checkpointed(_prepared(docs, more, weight))
     by_source = per.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("mean"))
     goal = targets(by_source.select("source", "source_size")).withColumnRenamed("source", "s")
     goal = checkpointed(goal.join(by_source.select(F.col("source").alias("s2"), "n", "mean"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2"))
@@ -96,7 +102,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(key, row_key(docs.columns))
     each = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
     taken = mix(keyed, whole=True, row=key).groupBy(key).agg(F.sum(each).cast("int").alias(times)).where(F.col(times) > 0)
-    joined = keyed.join(taken, key).dropDuplicates([key])
+    joined = keyed.dropDuplicates([key]).join(taken, key)  # equal rows are combined before the shuffle
     return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(docs.columns)
 
 
@@ -104,7 +110,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     CASE WHEN length(text) > 0 THEN 1.0::DOUBLE - 0.9::DOUBLE * least(1.0::DOUBLE, 10.0::DOUBLE * (length(text) - length(translate(text, '!%&$#*|~^', ''))) / length(text)) ELSE 1.0::DOUBLE END AS weight,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM d GROUP BY source
