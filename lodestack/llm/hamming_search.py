@@ -12,6 +12,8 @@ Queries are distinct codes too, in blocks, sent to every part; the answer of a c
 Defined results: null vectors (and those with a null component) are no entries and no queries; other lengths than 64 use their
 first 64 components, absent ones count as not positive; rows without id are left out; rows repeated with one id count once; an
 empty table gives an empty result; other columns are ignored.
+
+Every part meets every block, so the rows sent grow as entries * blocks + queries * parts; what a query verifies in a part does not.
 """
 
 from __future__ import annotations
@@ -127,7 +129,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
             out.append(pd.DataFrame({"code": np.full(len(best), np.int64(code.astype(np.int64))), "ids": own["ids"].to_numpy()[best], "distance": np.bitwise_count(values[best] ^ code).astype(np.int32)}))
         return pd.concat(out)
 
-    near = dealt.groupBy("part", "block").cogroup(posed.groupBy("part", "block")).applyInPandas(answer, "code long, ids array<long>, distance int")
+    tasks = parts * blocks  # asked for, so that small parts are not put into one task
+    near = dealt.repartition(tasks, "part", "block").groupBy("part", "block").cogroup(posed.repartition(tasks, "part", "block").groupBy("part", "block")).applyInPandas(answer, "code long, ids array<long>, distance int")
     by = W.partitionBy("code").orderBy("distance", "vec_id")
     ranked = near.select("code", "distance", F.explode("ids").alias("vec_id")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return asked.select(F.col("vec_id").alias("query_id"), "code").join(ranked, "code").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "distance")
