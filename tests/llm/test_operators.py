@@ -71,6 +71,34 @@ def test_stable_tokens_do_not_depend_on_what_follows():
         assert list(bpe_stream.stream_word(model, [raw[:1700], raw[1700:]])) == whole
 
 
+def test_long_pretokens_merge_alike_and_fast(library):
+    import time
+
+    model, rng = bpe.load(PATH), np.random.default_rng(6)
+    for alphabet in (b"abcdefghijklmnopqrstuvwxyz", b"aeiou-", b"a"):
+        for n in (49, 300, 2000):
+            raw = bytes(rng.choice(list(alphabet), n).tolist())
+            assert model.merge_long(raw) == library_merge(model, raw)
+    encoder, began = bpe_stream.Encoder(PATH), time.time()
+    for text in ("x" * 1_000_000, "".join(rng.choice(list("etaoinshr"), 300_000)), "ab " * 200_000 + "z" * 200_000, "-é漢" * 100_000):
+        got = b"".join(encoder.encode(text))
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, encoder.encode(text))) < 4 * len(text) // 2 or len(text) < 2 * bpe_stream.PIECE
+    assert token_count.Counter(PATH).counts(["x" * 1_000_000, "ab " * 700_000, ""]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in ("x" * 1_000_000, "ab " * 700_000, "")]
+    assert time.time() - began < 60
+
+
+def library_merge(model, raw):
+    """Lowest rank first, leftmost first, one merge at a time."""
+    ids = [model.byte_ids[b] for b in raw]
+    while True:
+        found = [(model.ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in model.ranks]
+        if not found:
+            return ids
+        rank, i = min(found)
+        ids[i : i + 2] = [model.ranks[ids[i], ids[i + 1]][1]]
+
+
 def test_pairs_fit_as_merging_says():
     model = bpe.load(PATH)
     rng = np.random.default_rng(2)
@@ -204,6 +232,50 @@ def test_secret_scan_of_very_long_texts(spark):
     assert len(got[3].split(",")) >= 4_500
 
 
+def brute_mix(table, whole):
+    """(row, target, taken) of dicts with doc_id, text, source: targets by resharing again and again, keys sorted source by source."""
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", text_of(r))) for r in table]
+    size = {}
+    for r, n in zip(table, words, strict=True):
+        size[r["source"]] = size.get(r["source"], 0) + n
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    goal, left, free = {}, 1.5 * sum(words), set(order)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * size[s]}
+        goal |= {s: 2 * size[s] for s in over} or share
+        left -= sum(2 * size[s] for s in over)
+        free = free - over if over else set()
+    def key(r):
+        text = text_of(r)
+        name = str(r["doc_id"]) if r["doc_id"] is not None else "text " + hashlib.md5(text.encode()).hexdigest()
+        u = (int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        w = 1 - 0.9 * min(1, 10 * sum(c in "!%&$#*|~^" for c in text) / len(text)) if text else 1
+        return -math.log(u) / w
+
+    for s in order:
+        mine = sorted((key(r), r["doc_id"] is None, r["doc_id"] or 0, n, i) for i, (r, n) in enumerate(zip(table, words, strict=True)) if r["source"] == s)
+        epochs = int(goal[s] // size[s]) if size[s] else 0
+        budget = math.floor(goal[s] - epochs * size[s] + 0.5)
+        for _, _, _, n, i in mine:
+            part = (n if budget > 0 and 2 * budget >= n else 0) if whole else max(0, min(budget, n))
+            budget -= n
+            yield table[i], goal[s], epochs * n + part
+
+
+def test_mixing_against_brute_force(spark, documents, odd):
+    lost = spark.createDataFrame([(None, f"word {i} " * (i % 5), "abc"[i % 3]) for i in range(60)] + [(7, "twice here", "a"), (7, "twice here", "a")], "doc_id long, text string, source string")
+    for docs in (documents.select("doc_id", "text", "source"), odd.select("doc_id", "text", "source"), lost):
+        for whole in (False, True):
+            want = sorted((str(r["doc_id"]), len(re.findall(r"[^\x20\x09-\x0D]+", text_of(r))), round(goal, 6), taken) for r, goal, taken in brute_mix(rows(docs), whole))
+            assert sorted((str(r["doc_id"]), r["size"], round(r["target"], 6), r["taken"]) for r in rows(mixing.mix(docs, whole=whole))) == want
+    heavy = documents.selectExpr("doc_id", "text", "'one' as source", "0.01 + doc_id % 2 as score")
+    got = rows(mixing.mix(heavy, weight=heavy["score"]))
+    share = [np.mean([r["taken"] / r["size"] for r in got if r["size"] and r["doc_id"] % 2 == k]) for k in (0, 1)]
+    assert share[1] > share[0] + 0.3  # one source, half of it in the fractional epoch
+
+
 def test_mixing(spark, documents, odd, nothing):
     got = rows(mixing.mix(documents))
     source = {r["doc_id"]: r["source"] for r in rows(documents)}
@@ -235,6 +307,72 @@ def test_quality(spark, small, documents, odd, nothing):
     assert v.tolist() == [0, 0.5, 1] and x.tolist()[:2] == [0, 1.5]
 
 
+def brute_statistics(text):
+    if not text:
+        return [0.0] * 19
+    raw, words, lines = text.encode(), text.split(), [x for x in text.split("\n") if x.strip()]
+    n, m = max(1, len(words)), max(1, len(lines))
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    times = [words.count(w) for w in set(words)]
+    return [
+        math.log(1 + len(text)), math.log(1 + len(words)), math.log(1 + len(lines)), sum(map(len, words)) / n, math.sqrt(max(map(len, words), default=0)), len([w for w in words if len(w) < 4]) / n,
+        upper / max(1, upper + lower + sum(b > 127 for b in raw) // 2), sum(48 <= b <= 57 for b in raw) / len(raw), sum(chr(b) in "!#$%&*+/<=>@[\\]^_`{|}~" for b in raw) / len(raw), sum(chr(b) in ".,;:?'\"()-" for b in raw) / len(raw),
+        sum(w.isupper() for w in words) / n, sum(not w[-1].isalnum() and w[-1] not in ".,;:?" for w in words) / n, words.count("|") / n, len(times) / n**0.9, max(times, default=0) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 1 - len(set(lines)) / m, max(map(len, lines), default=0) / len(text), math.log(1 + sum(map(len, lines)) / m),
+    ]
+
+
+def brute_quality(table, marks):
+    """Score of each row by one dense solve, folds one by one and the min-max form of isotonic regression."""
+    crc = lambda i: zlib.crc32(str(i).encode())
+    x = np.array([np.array(brute_statistics(text_of(r)), np.float32) for r in table], float)
+    labels = {}
+    for r in marks:
+        if r["doc_id"] is not None and r["quality"] is not None:
+            labels.setdefault(r["doc_id"], []).append(r["quality"])
+    at = [i for i, r in enumerate(table) if r["doc_id"] in labels and crc(r["doc_id"]) % 5]
+    y, fold = np.array([np.mean(labels[table[i]["doc_id"]]) for i in at]), np.array([crc(table[i]["doc_id"]) // 5 % 4 for i in at])
+    rng = np.random.default_rng(7)
+    frequency, phase = rng.normal(0, 0.35, (19, 256)), rng.uniform(0, 2 * np.pi, 256)
+    mean, scale = x[at].mean(axis=0), x[at].std(axis=0)
+    z = np.clip((x - mean) / np.where(scale > 1e-9, scale, 1), -6, 6)
+    phi = np.concatenate([np.sqrt(2 / 256) * np.cos(z @ frequency + phase), np.ones((len(x), 1))], axis=1)
+    solve = lambda f, t: np.linalg.solve(f.T @ f + 1e-3 * len(f) / 256 * np.eye(257), f.T @ t)
+    raw = np.zeros(len(at))
+    for k in range(4):
+        raw[fold == k] = phi[at][fold == k] @ solve(phi[at][fold != k], y[fold != k])
+    grid = np.round(np.clip(raw, -0.5, 1.5) * 2000) / 2000
+    points = np.unique(grid)
+    total, n = np.array([y[grid == g].sum() for g in points]), np.array([(grid == g).sum() for g in points])
+    mean_of = lambda a, b: total[a:b].sum() / n[a:b].sum()
+    level = [max(min(mean_of(a, b) for b in range(i + 1, len(points) + 1)) for a in range(i + 1)) for i in range(len(points))]
+    pools = {}
+    for g, v, k in zip(points, level, n, strict=True):
+        pools.setdefault(round(v, 9), []).append((g, k))
+    values = sorted(pools)
+    knots = [sum(g * k for g, k in pools[v]) / sum(k for _, k in pools[v]) for v in values]
+    return np.interp(np.clip(phi @ solve(phi[at], y), -0.5, 1.5), knots, values)
+
+
+def test_quality_against_brute_force(spark, small, documents, odd):
+    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "quality")
+    for text in [text_of(r) for r in rows(odd)] + [text_of(r) for r in rows(documents)[:40]]:
+        if len(text) < 20_000:
+            assert np.allclose(quality.statistics(text), brute_statistics(text))
+    twice = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1), (3, 1), (3, 1)], "doc_id long, quality int")
+    for docs, marks in ((documents, labels), (documents, labels.unionByName(twice)), (odd.unionByName(documents, allowMissingColumns=True), labels.unionByName(twice))):
+        table = rows(docs.select("doc_id", "text"))
+        want = sorted((str(r["doc_id"]), text_of(r), round(s, 5)) for r, s in zip(table, brute_quality(table, rows(marks)), strict=True))
+        got = rows(quality.scores(docs.select("doc_id", "text"), marks))
+        assert np.allclose(sorted(r["score"] for r in got), sorted(x[2] for x in want), atol=2e-5)
+        by = {}
+        for i, _, s in want:
+            by.setdefault(i, []).append(s)
+        assert all(min(abs(r["score"] - s) for s in by[str(r["doc_id"])]) < 2e-5 for r in got)
+        kept = sorted(str(r["doc_id"]) for r in rows(quality.good_documents(docs, marks)))
+        assert kept == sorted(i for i, _, s in want if s >= 0.3)
+
+
 def test_quality_penalty_follows_the_sample(spark):
     from pyspark.sql import functions as F
 
@@ -402,10 +540,9 @@ def test_fingerprints(spark, documents, odd, nothing):
         simhash_index.RANGE_ROWS = 500
     assert rows(simhash_index.fingerprint_edits(nothing)) == []
     assert simhash_index.edited("abcdefgh", "XYZ") == "abcdefXY"
-    fps = simhash_index.fingerprints(documents).select("fp").distinct()
-    pairs = {(r["a"], r["b"]) for r in rows(simhash_index.near_pairs(fps))}
-    values = sorted(r["fp"] for r in rows(fps))
-    assert pairs == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    near = {r["fp"]: r["first_id"] for r in rows(simhash_index.first_near(simhash_index.fingerprints(documents)))}
+    fps = [(r["doc_id"], r["fp"]) for r in rows(simhash_index.fingerprints(documents))]
+    assert near == {f: min(i for i, g in fps if ((f ^ g) & (1 << 64) - 1).bit_count() <= 3) for _, f in fps}
 
 
 def test_fingerprint_query_names_neighbours(spark, small, documents, odd, nothing, tmp_path):
@@ -415,6 +552,15 @@ def test_fingerprint_query_names_neighbours(spark, small, documents, odd, nothin
         fps = [(r["doc_id"], int(r["fingerprint"], 16)) for r in got]
         want = [min((i for i, g in fps if i is not None and (f ^ g).bit_count() <= 3), default=None) for _, f in fps]
         assert [r["near_doc_id"] for r in got] == want and len(got) == docs.count()
+
+
+@pytest.mark.parametrize(("small", "crowd", "tables"), [(32, 20_000, 0), (4, 20_000, 3), (32, 40, 0), (4, 40, 1)])
+def test_near_names_of_a_dense_group(spark, monkeypatch, small, crowd, tables):
+    monkeypatch.setattr(simhash_index, "SMALL", small)
+    monkeypatch.setattr(simhash_index, "DENSE", crowd)
+    if tables:
+        monkeypatch.setattr(simhash_index, "leading", lambda radius, n: tables)
+    assert simhash_index.leading(3, 10**6) == (tables or 2) and (tables or simhash_index.leading(3, 10**10) > 2)
     r = np.random.default_rng(6)
     dense = [(i, int(sum(1 << int(b) for b in r.choice(64, r.integers(0, 4), replace=False)))) for i in range(400)]
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in dense]

@@ -1,10 +1,15 @@
 """The pipeline on small tables: every stage against what its operator decides, on its own input."""
 
+import os
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
+from test_operators import brute_dedup, brute_mix, brute_quality, brute_spans
 
 import corpus_pipeline as P
 from lodestack.llm import bpe_stream, mixing, quality, secrets, simhash_dedup
-from lodestack.llm.common import vocabulary_path
+from lodestack.llm.common import checkpoint_dir, vocabulary_path
 
 
 def rows(df):
@@ -49,6 +54,65 @@ def test_stages(spark, small, tmp_path):
     assert all(np.array(r["token_ids"], "<u4").tobytes() == b"".join(encoder.encode(r["text"])) for r in rows(after))
 
 
+def test_stages_against_brute_force(spark, small, documents, odd):
+    """Every stage on its own input, of plain and of odd rows, against a plain computation."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    labels = rows(spark.read.parquet(f"{small}/labels.parquet"))
+    mixed = documents.limit(120).unionByName(odd.select("doc_id", "text", "source", "lang", "n_chars").where("doc_id is null or doc_id <> 6").withColumn("doc_id", F.col("doc_id") + 10_000))
+    for docs in (documents, mixed):
+        stages = dict(P.STAGES)
+        table = rows(docs)
+        key = lambda r: (str(r["doc_id"]), r["text"] or "", str(r["source"]))
+
+        scored = brute_quality(table, labels)
+        assert sorted(map(key, rows(stages["quality"](spark, docs, small)))) == sorted(key(r) for r, s in zip(table, scored, strict=True) if s >= 0.3)
+
+        components = {}
+        for i, _, c in brute_dedup(table):
+            components.setdefault(c, set()).add(i)
+        kept = [str(r["doc_id"]) for r in rows(stages["near_duplicates"](spark, docs, small))]
+        assert len(kept) == len(components) and all(sum(i == c for i in kept) == 1 for c in components if c != "None")
+
+        found = {key(r): r for r in rows(secrets.scan(docs).join(docs.select("doc_id", "text", "source").distinct(), "doc_id", "left"))}
+        for r in rows(stages["secrets"](spark, docs, small)):
+            if r["text"] is not None:
+                assert not brute_spans(r["text"].replace("[secret]", " "))
+        clean = {str(r["doc_id"]): r["text"] for r in rows(stages["secrets"](spark, docs, small))}
+        for r in table:
+            spans = brute_spans(r["text"] or "")
+            if r["doc_id"] is not None and "random" not in str(found.get(key(r), {"spans": "random"})["spans"]):
+                out, end = "", 0
+                for begin, _, name, _ in spans:
+                    if begin >= end:
+                        out += r["text"][end:begin] + "[secret]"
+                    end = max(end, int(name.split(":")[2]))
+                assert clean[str(r["doc_id"])] == (r["text"] if not spans else out + r["text"][end:])
+
+        times = {}
+        for r, _, taken in brute_mix(table, True):
+            n = len((r["text"] or "").split())
+            times[key(r)] = times.get(key(r), 0) + (round(taken / n) if n and len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) == n else 0)
+        got = {}
+        for r in rows(stages["mix"](spark, docs, small)):
+            got[key(r)] = got.get(key(r), 0) + 1
+        assert {k: n for k, n in got.items() if times[k]} == {k: n for k, n in times.items() if n}
+
+        for r in rows(stages["tokens"](spark, docs, small)):
+            assert r["token_ids"] == library.encode(r["text"] or "", add_special_tokens=False).ids
+
+
+def test_folders_of_earlier_stages_go(spark, small):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert P.run(spark, small).count() > 0
+    mine = [x for x in set(os.listdir(folder)) - before if x.startswith("pipeline-")]
+    assert [os.listdir(f"{folder}/{x}") for x in mine] == [["4-tokens"]]
+
+
 def test_repeated_rows_and_rows_without_id(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
     some = docs.limit(1)
