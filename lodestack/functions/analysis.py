@@ -42,7 +42,7 @@ def _decomposed() -> dict[str, str]:
 
 
 FOLD = _decomposed()
-#: British to American spellings; a small list of our own, extended by the parameter of ``british_us``.
+#: British to American spellings; a small list of our own, extended by ``load_spellings``.
 SPELLINGS = {
     "analyse": "analyze", "behaviour": "behavior", "catalogue": "catalog", "centre": "center", "cheque": "check", "colour": "color", "defence": "defense",
     "dialogue": "dialog", "favourite": "favorite", "fibre": "fiber", "grey": "gray", "harbour": "harbor", "honour": "honor", "jewellery": "jewelry",
@@ -50,6 +50,16 @@ SPELLINGS = {
     "programme": "program", "realise": "realize", "theatre": "theater", "travelling": "traveling", "tumour": "tumor", "tyre": "tire",
 }
 
+
+
+def load_spellings(path: str) -> None:
+    """Adds the British and American spellings of a file, two columns with a tab between (a first line UK, US is skipped)."""
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.split("\t") for line in f.read().splitlines() if "\t" in line]
+    SPELLINGS.update({uk.strip(): us.strip() for uk, us in pairs if (uk, us) != ("UK", "US")})
+    _plain_steps.clear()
+
+
 Tokens = list
 ColumnStep = Callable[[Column], Column]
 PlainStep = Callable[[Tokens], Tokens]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,10 @@ from .functions.analysis import Analyzer
 from .functions.values import extract
 from .operators import store, terms
 from .operators.store import DocumentStore, shared_folder
-from .operators.search import FieldConfig, Index, IndexConfig, Query, Search, hits, hits_with_next, search_facets
+from .operators.search import Catalog, FieldConfig, Index, IndexConfig, Query, Search, hits, hits_with_next, or_query, search_facets
 from .plans.config import Projection
 from .sources import formats
+from .streaming.upsert import counts_by_window
 
 Run = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Run, str | None]] = {}
@@ -128,6 +130,7 @@ text_match("stop_word_and", "from AND the", has("from"))
 text_match("stop_word_must", "+the from -than", f"{has('from')} AND NOT {has('than')}")
 text_match("stop_word_phrase_default_and", lambda: Query('from "the" text:and', default_and=True), has("from"))
 text_match("stop_word_pure_negative", "+the -from", f"NOT {has('from')}")
+text_match("or_helper", lambda: Query(or_query("text", ["from", "than", "a \"b\""])), has("from", "than"))
 text_match("only_stop_words", "the OR (and OR of)", "false")
 
 # Typed fields, filters, drill-down (F10-F15, F21-F23) -------------------------------------------------------------------
@@ -351,6 +354,9 @@ register("doc_top_terms", analysed(terms.top_terms, terms.AnalysisRequest("text"
 register("summary_terms_all", analysed(terms.summary_terms, terms.AnalysisRequest("text")), sql_analysis("o AS (SELECT 1) " + _sum.format("x")))
 register("inverted_summary_terms_all", analysed(terms.summary_terms, terms.AnalysisRequest("text"), inverted), CATALOGUE["summary_terms_all"][1])
 register("summary_terms_top", analysed(terms.summary_terms, terms.AnalysisRequest("text"), of_top=True), sql_analysis("o AS (SELECT * FROM y WHERE place <= 10) " + _sum.format("o")))
+register("doc_top_terms_tf", analysed(terms.top_terms, terms.AnalysisRequest("text", top=5, sort="TF")), sql_analysis("o AS (SELECT 1) SELECT unique_id, term, tf, df, score, p AS place FROM (SELECT *, (row_number() OVER (PARTITION BY unique_id ORDER BY tf DESC, term))::INT AS p FROM y) WHERE p <= 5"))
+register("summary_terms_abc", analysed(terms.summary_terms, terms.AnalysisRequest("text", sort="ABC", top=20)), sql_analysis("o AS (SELECT 1) " + _sum.format("x").replace("ORDER BY z.score DESC, term LIMIT 10", "ORDER BY term LIMIT 20")))
+register("doc_tokens", lambda spark, sf_dir: terms.doc_tokens(i := documents(spark, sf_dir), Search(i, Query("from AND than")).matches(), "text").select("unique_id", F.array_join("tokens", " ").alias("tokens")), f"WITH {TOKENS} SELECT unique_id, array_to_string(terms, ' ') AS tokens FROM d WHERE {has('from', 'than', joined=' AND ')}")
 register("term_len_df_filter", analysed(terms.doc_terms, terms.AnalysisRequest("text", min_length=4, max_length=8, min_doc_freq=5, max_share=0.1)), sql_analysis("o AS (SELECT 1) SELECT * FROM y", "length(term) BETWEEN 4 AND 8 AND df >= 5 AND df <= round(n * 0.1)"))
 
 # Analyzer chains (A1-A14) -----------------------------------------------------------------------------------------------
@@ -377,6 +383,10 @@ chain("analyzer_folding", ["LOWERCASE", "ASCII_FOLDING"], "list_transform({raw},
 chain("analyzer_shingle_2", ["LOWERCASE", "TWO_TWO_SHINGLE"], "list_transform(range(1, len({raw})), lambda i: {raw}[i] || ' ' || {raw}[i + 1])")
 chain("analyzer_shingle_3", ["LOWERCASE", "THREE_THREE_SHINGLE"], "list_transform(range(1, len({raw}) - 1), lambda i: {raw}[i] || ' ' || {raw}[i + 1] || ' ' || {raw}[i + 2])")
 
+chain("analyzer_uppercase", ["UPPERCASE"], "list_transform({raw}, lambda t: replace(replace(upper(t), 'ß', 'SS'), 'ẞ', 'SS'))")
+for _n, _name in ((4, "FOUR_FOUR_SHINGLE"), (5, "FIVE_FIVE_SHINGLE")):
+    chain(f"analyzer_shingle_{_n}", ["LOWERCASE", _name], "list_transform(range(1, len({raw}) - " + str(_n - 2) + "), lambda i: array_to_string(list_slice({raw}, i, i + " + str(_n - 1) + "), ' '))")
+
 # Vectors (V1-V3) --------------------------------------------------------------------------------------------------------
 
 
@@ -530,6 +540,25 @@ def dotted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("dotted_path", dotted_path, "SELECT event_id, (props->>'k')::BIGINT AS k, '[' || (props->>'k') || ']' AS ks, NULL::VARCHAR AS missing FROM events")
 register("csv_documents", lambda spark, sf_dir: formats.csv_lines(parts(spark, sf_dir).docs, ["p_partkey", "p_name", "words", "p_size", "-p_size"]), "SELECT 'p_partkey,p_name,words' AS line UNION ALL SELECT p_partkey || ',\"' || p_name || '\",\"' || replace(p_name, ' ', ';') || '\"' FROM part")
 register("json_results", lambda spark, sf_dir: formats.json_results(hits(orders(spark, sf_dir), Query(amount=5).sort("o_totalprice", True)).select("rank", "unique_id")), "SELECT '{\"rank\":' || row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey::VARCHAR) || ',\"unique_id\":\"' || o_orderkey || '\"}' AS json FROM orders ORDER BY o_totalprice DESC, o_orderkey::VARCHAR LIMIT 5")
+register("facet_csv", lambda spark, sf_dir: formats.facet_csv(search_facets(documents(spark, sf_dir), Query().count("source", 5))), "SELECT 'facetName,facetKey,facetValue' AS line UNION ALL SELECT 'source,' || source || ',' || n FROM (SELECT source, count(*) AS n FROM documents WHERE source <> '' GROUP BY source ORDER BY n DESC, source LIMIT 5)")
+register("terms_csv", lambda spark, sf_dir: formats.terms_csv(terms.terms(inverted(spark, sf_dir), terms.TermsRequest("text", start="de", end="dea"))), SQL_TERMS.replace("SELECT * FROM t", "SELECT 'term,termFreq,docFreq' AS line UNION ALL SELECT CASE WHEN term LIKE '% %' THEN '\"' || term || '\"' ELSE term END || ',' || term_freq || ',' || doc_freq FROM t WHERE term >= 'de' AND term < 'dea'"))
+
+
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two indexes created, one updated, one deleted: what the catalog lists, and its settings."""
+    catalog = Catalog(spark)
+    shared_folder(spark)  # where the listing is kept
+    for index in (orders(spark, sf_dir), parts(spark, sf_dir), flagged(spark, sf_dir)):
+        catalog.create(replace(index.config, name=f"listed_{index.config.name}"), index.docs)
+    catalog.update(replace(catalog.get("listed_parts").config, default_search_field="p_type"))
+    catalog.delete("listed_flagged")
+    out = catalog.listing().select("index_name", F.get_json_object("settings", "$.default_search_field").alias("field")).checkpoint(eager=True)
+    catalog.delete("listed_orders")
+    catalog.delete("listed_parts")
+    return out
+
+
+register("catalog_listing", catalog_listing, "SELECT 'listed_orders' AS index_name, '' AS field UNION ALL SELECT 'listed_parts', 'p_type'")
 register("html_text_extract", lambda spark, sf_dir: formats.web_documents(table(spark, sf_dir, "pages")), None)
 
 
@@ -541,6 +570,7 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("highlight", highlighted, None)
+register("event_windows", lambda spark, sf_dir: counts_by_window(table(spark, sf_dir, "events"), "ts", "1 hour", "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "count"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS count FROM events GROUP BY ALL")
 register("events_by_hour", lambda spark, sf_dir: table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count("*").alias("count")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "count"), "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS count FROM events GROUP BY ALL")
 
 

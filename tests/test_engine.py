@@ -8,7 +8,7 @@ from datetime import datetime
 
 import pytest
 
-from lodestack.functions.analysis import Analyzer, built_in
+from lodestack.functions.analysis import SPELLINGS, Analyzer, built_in, load_spellings
 from lodestack.functions.stemming import min_stem, porter2
 from lodestack.functions.values import extract
 from lodestack.operators import terms
@@ -331,6 +331,16 @@ def test_query_handling_is_kept_with_the_settings():
         Analyzer("near", query_handling="OTHER")
 
 
+def test_spellings_from_a_file(spark, tmp_path):
+    chain = Analyzer("us", "STANDARD", ["LOWERCASE", "BRITISH_US"])
+    assert chain.tokens("Aluminium colour") == ["aluminium", "color"]
+    (tmp_path / "uk.txt").write_text("UK\tUS\naluminium\taluminum\n")
+    load_spellings(str(tmp_path / "uk.txt"))
+    docs = spark.createDataFrame([(["Aluminium colour"],)], "v array<string>")
+    assert chain.tokens("Aluminium colour") == docs.select(chain.column(docs["v"])).first()[0] == ["aluminum", "color"]
+    del SPELLINGS["aluminium"]
+
+
 def test_several_facets_take_one_pass(journals):
     query = Query("userguide").count("issn", 2).count("country", 0)
     rows = search_facets(journals, query).collect()
