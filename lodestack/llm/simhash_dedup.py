@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import ROW_KEY, checkpointed, fresh, map_arrow, row_key, slices, texts
 from .components import components, forest
-from .files import DENSE, dealt
+from .files import DENSE, SALTS, dealt, joined, scattered
 
 #: Shingles whose bits are counted at a time, so that very long texts need bounded memory.
 BLOCK = 1 << 15
@@ -128,10 +128,6 @@ def file_links(fp: np.ndarray, at: np.ndarray, key: np.ndarray, ring: list[tuple
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-#: Parts into which joins by component, and by a fingerprint of many copies, deal their rows.
-SALTS = 16
-#: Fingerprints with more than this share of all rows are dealt over salts; there are fewer than its inverse.
-HOT = 1 / 1000
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -153,8 +149,8 @@ def filed(distinct: DataFrame, radius: int) -> tuple[DataFrame, int]:
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` whose components are those of all links."""
-    ring = segments(radius)
-    every, since = filed(distinct, radius)
+    ring, n = segments(radius), distinct.count()
+    every, since = filed(scattered(distinct, n), radius)
     def run(batches):
         found = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "at", "key")] for batch in batches]
         if not found:
@@ -166,7 +162,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], LINKS.names)
 
     width = max(w for _, w in ring) if 2 * radius // len(ring) == 1 else 1
-    parts = max(2 * distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() * len(ring) * width // 1_000_000))
+    parts = max(2 * distinct.sparkSession.sparkContext.defaultParallelism, -(-n * len(ring) * width // 1_000_000))
     return map_arrow(dealt(every, DENSE).repartition(parts, "key"), run, LINKS)
 
 
@@ -181,12 +177,8 @@ def duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     best = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = linked.join(best, ["root", "salt"]).select("fp", "n", "component_id")
     named = checkpointed(named.unionByName(rooted.where("root is null").select("fp", "n", F.col("first_id").alias("component_id"))))
-    # Copies share a fingerprint; those of one with many copies are dealt over salts.
-    many = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * HOT
-    hot = F.broadcast(named.where(F.col("n") > many).select("fp", F.lit(SALTS).alias("salts")))  # fewer than 1 / HOT rows
-    spread = fps.join(hot, "fp", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int")).otherwise(F.lit(0)))
-    named = named.withColumn("salt", F.explode(F.when(F.col("n") > many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return spread.join(named, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Copies share a fingerprint; one may have a third of all rows.
+    return joined(fps, named, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 KEYED = T.StructType([*FINGERPRINTS, T.StructField("row", ROW_KEY)])

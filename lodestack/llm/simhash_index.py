@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, map_arrow, slices, texts
-from .files import DENSE, dealt
+from .files import DENSE, dealt, joined, scattered
 
 #: Words whose hashes are remembered, and terms whose votes are counted at a time.
 CACHE, BLOCK = 200_000, 1 << 14
@@ -42,8 +42,6 @@ CACHE, BLOCK = 200_000, 1 << 14
 RANGE_ROWS, MOST_RANGES, TASK_RANGES = 500, 1_000_000, 8
 #: Fingerprints of a file that are compared all at once.
 SMALL = 32
-#: Parts into which the join by fingerprint deals the copies of one.
-SALTS = 16
 
 
 class WordHashes(dict):
@@ -101,8 +99,8 @@ NEAREST = T.StructType([T.StructField("fp", T.LongType()), T.StructField("first_
 
 
 def leading(radius: int, n: int) -> int:
-    """Number of blocks that lead a key: as many as give the least rows to file and to compare for n fingerprints."""
-    return min(range(1, 7), key=lambda k: comb(radius + k, k) * (1 + n / 2 ** (64 * k / (radius + k))))
+    """Number of blocks that lead a key, two or more: as many as give the least rows to file and to compare for n fingerprints."""
+    return min(range(2, 7), key=lambda k: comb(radius + k, k) * (1 + n / 2 ** (64 * k / (radius + k))))
 
 
 def near_names(fp: np.ndarray, name: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,14 +134,15 @@ def near_names(fp: np.ndarray, name: np.ndarray, key: np.ndarray, radius: int) -
 
 
 def first_near(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(fp, first_id): of each distinct fingerprint of (doc_id, fp) the smallest doc_id within ``radius``, its own rows included."""
-    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """(fp, first_id, n): of each distinct fingerprint of (doc_id, fp) the smallest doc_id within ``radius``, its own rows included,
+    and the number of its own rows."""
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     n = distinct.count()
     k = leading(radius, n)
     edges = [round(64 * i / (radius + k)) for i in range(radius + k + 1)]
     block = lambda j: F.shiftrightunsigned("fp", edges[j]).bitwiseAND(F.lit((1 << edges[j + 1] - edges[j]) - 1))
     keys = [F.xxhash64(F.lit(i), *map(block, some)) for i, some in enumerate(combinations(range(radius + k), k))]
-    filed = distinct.select("fp", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("id"), F.explode(F.array(*keys)).alias("key"))
+    filed = scattered(distinct, n).select("fp", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("id"), F.explode(F.array(*keys)).alias("key"))
 
     def run(batches):
         found = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "id", "key")] for batch in batches]
@@ -156,7 +155,8 @@ def first_near(fps: DataFrame, radius: int = 3) -> DataFrame:
 
     parts = max(2 * fps.sparkSession.sparkContext.defaultParallelism, -(-n * len(keys) // 1_000_000))
     named = map_arrow(dealt(filed, DENSE).repartition(parts, "key"), run, NEAREST)
-    return named.select("fp", F.nullif("first_id", F.lit((1 << 63) - 1)).alias("first_id")).unionByName(distinct).groupBy("fp").agg(F.min("first_id").alias("first_id"))
+    named = named.select("fp", F.nullif("first_id", F.lit((1 << 63) - 1)).alias("first_id"), F.lit(0).cast("long").alias("n"))
+    return named.unionByName(distinct).groupBy("fp").agg(F.min("first_id").alias("first_id"), F.max("n").alias("n"))
 
 
 RESULT = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))])
@@ -211,9 +211,7 @@ def edits_and_neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
     """``fingerprint_edits`` with near_doc_id: the smallest doc_id whose fingerprint is within ``radius`` (own rows included)."""
     edits = checkpointed(fingerprint_edits(docs)).withColumn("fp", F.conv("fingerprint", 16, -10).cast("long"))
     near = first_near(edits.select("doc_id", "fp"), radius).withColumnRenamed("first_id", "near_doc_id")
-    edits = edits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "edited_sha256"), F.lit(SALTS)).cast("int"))
-    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edits.join(near, ["fp", "salt"]).select(*RESULT.names, "near_doc_id")
+    return joined(edits, checkpointed(near), "fp", "n").select(*RESULT.names, "near_doc_id")
 
 
 def _place(limits: list[int]):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestack.llm import bpe, bpe_stream, components, hamming_search, mixing, quality, queries, secrets, simhash_dedup, simhash_index, token_count
+from lodestack.llm import bpe, bpe_stream, components, files, hamming_search, mixing, quality, queries, secrets, simhash_dedup, simhash_index, token_count
 from lodestack.llm.common import vocabulary_path
 
 PATH = vocabulary_path()
@@ -251,7 +252,9 @@ def brute_mix(table, whole):
         text = text_of(r)
         name = str(r["doc_id"]) if r["doc_id"] is not None else "text " + hashlib.md5(text.encode()).hexdigest()
         u = (int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        w = 1 - 0.9 * min(1, 10 * sum(c in "!%&$#*|~^" for c in text) / len(text)) if text else 1
+        lines = text.split("\n")
+        parts = (1 - min(1, 10 * sum(c in "!%&$#*|~^" for c in text) / len(text)), min(1, sum(unicodedata.category(c)[0] == "L" for c in text) / len(text) / 0.6), len(set(lines)) / len(lines)) if text else (1, 1, 1)
+        w = max(0.1, parts[0] * parts[1] * parts[2])
         return -math.log(u) / w
 
     for s in order:
@@ -425,7 +428,7 @@ def test_simhash_dedup(spark, documents, odd, nothing):
 
 def test_simhash_dedup_of_many_copies(spark, monkeypatch):
     made = [(i if i % 3 else None, "the same words in every one of these rows") for i in range(500)] + [(1000 + i, f"text {i} has {i * i} words of its {i % 7} own {i}") for i in range(60)]
-    monkeypatch.setattr(simhash_dedup, "HOT", 1 / 10)
+    monkeypatch.setattr(files, "HOT", 1 / 10)
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in rows(simhash_dedup.duplicates(docs))) == brute_dedup(rows(docs))
 
