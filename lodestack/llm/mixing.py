@@ -30,16 +30,19 @@ RANGE_ROWS = 2000
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
-#: Marks of low quality, of which each character lowers a document's weight.
-JUNK = "!%&$#*|~^"
+#: Marks of low quality, of which a tenth of the characters is the most; the share of letters that is plenty.
+JUNK, PLENTY = "!%&$#*|~^", 0.6
 #: Least quality weight.
 LEAST = 0.001
 
 
 def quality_weight(text: Column) -> Column:
-    """1 for plain text, falling to 0.1 as a tenth of its characters are marks of JUNK."""
-    n = F.length(text)
-    return F.when(n > 0, 1.0 - 0.9 * F.least(F.lit(1.0), 10.0 * (n - F.length(F.translate(text, JUNK, ""))) / n)).otherwise(F.lit(1.0))
+    """From 0.1 to 1 (empty: 1): falls with the share of marks, with a share of letters below PLENTY, and with repeated lines."""
+    n, lines = F.length(text), F.split(text, "\n")
+    marks = 1.0 - F.least(F.lit(1.0), 10.0 * (n - F.length(F.translate(text, JUNK, ""))) / n)
+    letters = F.least(F.lit(1.0), F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / n / PLENTY)
+    distinct = F.size(F.array_distinct(lines)) / F.size(lines)
+    return F.when(n > 0, F.greatest(F.lit(0.1), marks * letters * distinct)).otherwise(F.lit(1.0))
 
 
 def uniform(id_col: Column, text: Column, seed: str = "mix") -> Column:
@@ -109,7 +112,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    CASE WHEN length(text) > 0 THEN 1.0::DOUBLE - 0.9::DOUBLE * least(1.0::DOUBLE, 10.0::DOUBLE * (length(text) - length(translate(text, '!%&$#*|~^', ''))) / length(text)) ELSE 1.0::DOUBLE END AS weight,
+    CASE WHEN length(text) > 0 THEN greatest(0.1::DOUBLE, (1.0::DOUBLE - least(1.0::DOUBLE, 10.0::DOUBLE * (length(text) - length(translate(text, '!%&$#*|~^', ''))) / length(text)))
+      * least(1.0::DOUBLE, length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::DOUBLE / length(text) / 0.6::DOUBLE)
+      * (len(list_distinct(string_split(text, chr(10))))::DOUBLE / len(string_split(text, chr(10))))) ELSE 1.0::DOUBLE END AS weight,
     (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), s AS (
