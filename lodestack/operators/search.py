@@ -312,6 +312,27 @@ def cut_facets(counted: DataFrame, requests: list[CountRequest]) -> DataFrame:
     return counted.select("facet", "value", "count", "max_error", F.lit(False).alias("possible_missing"), F.lit(0).cast("long").alias("max_value_possible_missing"))
 
 
+def near_documents(index: Index, name: str, asked: Column, least: float = 0.8) -> DataFrame:
+    """(query_id, unique_id, likeness): of each document that ``asked`` holds for, all documents that share at least ``least`` of its tokens.
+
+    For fields of tokens without repeats (MinHash). The same as a query of the document's tokens with mm, for many documents at once,
+    from the postings. Documents with the same tokens are one class, so copies share no tokens twice and only classes are joined;
+    a class's likeness holds for all its members.
+    """
+    uid = F.col(f"`{index.config.unique_id}`").cast("string")
+    own = index.postings(name).select("unique_id", "term")
+    # The tokens of a document as one hash, whatever their order; combined before the shuffle.
+    classes = own.groupBy("unique_id").agg(F.count("*").alias("size"), F.sum(F.xxhash64("term").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "term")).alias("b"))
+    classes = classes.withColumn("class", F.xxhash64("size", "a", "b"))
+    first = classes.groupBy("class").agg(F.min("unique_id").alias("unique_id"), F.first("size").alias("size"))
+    tokens = own.join(first, "unique_id").select("class", "term")  # of one document of each class
+    wanted = index.docs.where(asked).select(uid.alias("unique_id")).join(classes.select("unique_id", "class"), "unique_id")
+    posed = tokens.join(wanted.select("class").distinct(), "class").join(first.select("class", "size"), "class").select(F.col("class").alias("posed"), "size", "term")
+    shared = tokens.join(posed, "term").groupBy("posed", "class").agg((F.count("*") / F.first("size")).alias("likeness")).where(F.col("likeness") >= least)
+    found = wanted.select(F.col("unique_id").alias("query_id"), F.col("class").alias("posed")).join(shared, "posed")
+    return found.join(classes.select("class", "unique_id"), "class").select("query_id", "unique_id", "likeness")
+
+
 def _after(query: Query, keys: list[tuple[str, bool]], schema: T.StructType) -> Column:
     """Rows behind the cursor, in the order of the keys and then of unique_id."""
     seen = json.loads(base64.b64decode(query.after))
@@ -460,4 +481,4 @@ def dotted(docs: DataFrame, path: str) -> Column:
     return extract(docs.schema, path)
 
 
-__all__ = ["Catalog", "CountRequest", "FieldConfig", "Index", "IndexConfig", "Query", "ResultCache", "Search", "cursor", "dotted", "hits", "hits_with_next", "or_query", "search_facets"]
+__all__ = ["Catalog", "CountRequest", "FieldConfig", "Index", "IndexConfig", "Query", "ResultCache", "Search", "cursor", "dotted", "hits", "hits_with_next", "near_documents", "or_query", "search_facets"]

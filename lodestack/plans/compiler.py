@@ -8,7 +8,9 @@ frequency of the query's terms) comes from one aggregate over the same scan, a s
 from __future__ import annotations
 
 import math
+import operator
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -22,6 +24,8 @@ from .config import ConfigError, FieldConfig, IndexConfig
 
 K1, B = 1.2, 0.75
 FUZZY_EXPANSIONS = 50
+#: Terms of one field that weigh alike beyond which they are counted at once.
+MANY = 8
 NUMERIC = ("NUMERIC_INT", "NUMERIC_LONG", "NUMERIC_FLOAT", "NUMERIC_DOUBLE")
 
 
@@ -42,10 +46,7 @@ class Scored:
     parts: list = field(default_factory=list)  # score columns, made when statistics are known
 
     def score(self, stats: Statistics) -> Column:
-        out = F.lit(0.0)
-        for make in self.parts:
-            out = out + make(stats)
-        return out
+        return balanced(operator.add, [F.lit(0.0), *(make(stats) for make in self.parts)])
 
 
 @dataclass
@@ -57,6 +58,13 @@ class Statistics:
     df: dict[tuple[str, str], int]
 
 
+def balanced(op: Callable[[Column, Column], Column], parts: list[Column]) -> Column:
+    """The parts joined pair by pair, so that hundreds of terms make a tree of few levels."""
+    while len(parts) > 1:
+        parts = [op(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
 def safe(match: Column) -> Column:
     """A predicate on a missing value is false, also under NOT."""
     return F.coalesce(match, F.lit(False))
@@ -193,22 +201,14 @@ class Compiler:
         if top and all(occur == P.MUST_NOT for occur, _ in clauses):
             clauses.insert(0, (P.MUST, self.node(P.MatchAll(), boost)))
         must, should, never = ([c for o, c in clauses if o == kind] for kind in (P.MUST, P.SHOULD, P.MUST_NOT))
-        match = F.lit(True)
-        for c in must:
-            match = match & c.match
-        for c in never:
-            match = match & ~c.match
+        match = balanced(operator.and_, [F.lit(True), *(c.match for c in must), *(~c.match for c in never)])
         several = len(node.clauses) > 1  # as written, also where a clause went
         needed = max(node.mm, 0 if must else 1) if several or never else 0
         if should or node.mm and several:
-            count = sum((c.match.cast("int") for c in should), F.lit(0))
             if needed == 1 and should:
-                hit = should[0].match
-                for c in should[1:]:
-                    hit = hit | c.match
-                match = match & hit
+                match = match & balanced(operator.or_, [c.match for c in should])
             elif needed:
-                match = match & (count >= needed)
+                match = match & (balanced(operator.add, [F.lit(0), *(c.match.cast("int") for c in should)]) >= needed)
         elif not must:
             match = F.lit(False)
         parts = [lambda stats, c=c: F.when(c.match, c.score(stats)).otherwise(F.lit(0.0)) for c in must + should if c.parts]
@@ -224,6 +224,12 @@ class Compiler:
             else:
                 analyzer = self.config.analyzer(f[1] if f else "keyword")
                 per_field.append((name, b, [t for t in analyzer.tokens(node.text) if t is not None]))
+        if len(per_field) == 1 and per_field[0][2] and len(set(per_field[0][2])) == len(per_field[0][2]) > MANY and self.similarity_of(per_field[0][0]) == "CONSTANT":
+            # Many terms that weigh alike (MinHash tokens, say): how many a document has is all that counts.
+            name, b, tokens = per_field[0]
+            found = self._matching(name, tokens)
+            match = found >= (len(tokens) if self.default_and else max(1, self.mm))
+            return Scored(match, [lambda _: F.when(match, found * F.lit(float(boost * b))).otherwise(F.lit(0.0))])
         groups: list[Scored] = []
         for i in range(max([len(t) if t is not None else 1 for _, _, t in per_field], default=0)):
             parts = []
@@ -240,12 +246,10 @@ class Compiler:
             return groups[0]
         multi = len(names) > 1
         if self.default_and:
-            match = groups[0].match
-            for g in groups[1:]:
-                match = match & g.match
+            match = balanced(operator.and_, [g.match for g in groups])
         else:
             needed = max(1, 0 if multi else self.mm)
-            match = sum((g.match.cast("int") for g in groups[1:]), groups[0].match.cast("int")) >= needed
+            match = balanced(operator.add, [g.match.cast("int") for g in groups]) >= needed
         return Scored(match, [m for g in groups for m in g.parts])
 
     def _term(self, name: str, term: str, boost: float) -> Scored:
@@ -260,6 +264,10 @@ class Compiler:
             return safe(F.array_contains(self.tokens(name), terms[0]))
         return safe(F.arrays_overlap(self.tokens(name), F.array(*map(F.lit, terms))))
 
+    def _matching(self, name: str, terms: list[str]) -> Column:
+        """How many of the terms, all different, the field has."""
+        return F.coalesce(F.size(F.array_intersect(self.tokens(name), F.array(*map(F.lit, terms)))), F.lit(0))
+
     def _positions(self, name: str, term: str) -> Column:
         return F.filter(F.transform(self.tokens(name), lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull())
 

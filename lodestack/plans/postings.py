@@ -100,6 +100,14 @@ class PostingsCompiler(Compiler):
             return super()._has(name, terms)
         return reduce(lambda a, b: a | b, (self._one("tf", name, t).isNotNull() for t in terms))
 
+    def _matching(self, name: str, terms: list[str]) -> Column:
+        if not self._covers(name):
+            return super()._matching(name, terms)
+        key, where = ("matching", name, tuple(terms)), (F.col("field") == name) & F.col("term").isin(*terms)
+        if key not in self._tokens:  # a posting for each term that a document has
+            self._tokens[key] = (f"__asked {len(self._tokens)}", where, F.count_if(where).cast("int"), "tf")
+        return F.coalesce(F.col(f"`{self._tokens[key][0]}`"), F.lit(0))
+
     def _positions(self, name: str, term: str) -> Column:
         if not self._covers(name):
             return super()._positions(name, term)

@@ -15,7 +15,7 @@ from .functions.analysis import Analyzer
 from .functions.values import extract
 from .operators import store, terms
 from .operators.store import DocumentStore, shared_folder
-from .operators.search import Catalog, FieldConfig, Index, IndexConfig, Query, Search, hits, hits_with_next, or_query, search_facets
+from .operators.search import Catalog, FieldConfig, Index, IndexConfig, Query, Search, hits, hits_with_next, near_documents, or_query, search_facets
 from .plans.config import Projection
 from .sources import formats
 from .streaming.upsert import counts_by_window
@@ -416,12 +416,8 @@ register("superbit_candidates", superbit, None)
 
 def minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document whose id is divisible by 50, all documents that share at least 0.8 of its MinHash tokens (itself included)."""
-    docs = table(spark, sf_dir, "documents")
-    index = Index(IndexConfig("near", [FieldConfig("text").index("lsh", "near")], unique_id="doc_id"), docs)
-    tokens = docs.select("doc_id", F.explode(index.config.analyzer("lsh").column(F.array("text"))).alias("token"))
-    asked = tokens.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "token")
-    shared = tokens.join(asked, "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.lit(512)).alias("likeness"))
-    return shared.where("likeness >= 0.8").select(F.col("query_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("unique_id"), "likeness")
+    config = IndexConfig("near", [FieldConfig("text").index("lsh", "near")], unique_id="doc_id")
+    return near_documents(Index(config, table(spark, sf_dir, "documents")), "near", F.col("doc_id") % 50 == 0)
 
 
 register("minhash_neardup", minhash_near, None)

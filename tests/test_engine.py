@@ -13,7 +13,7 @@ from lodestack.functions.stemming import min_stem, porter2
 from lodestack.functions.values import extract
 from lodestack.operators import terms
 from lodestack.operators.pool import WorkPool
-from lodestack.operators.search import Catalog, FieldConfig, Index, IndexConfig, Query, ResultCache, Search, cursor, hits, hits_with_next, or_query, search_facets
+from lodestack.operators.search import Catalog, FieldConfig, Index, IndexConfig, Query, ResultCache, Search, cursor, hits, hits_with_next, near_documents, or_query, search_facets
 from lodestack.operators.store import LOG, DocumentStore
 from lodestack.plans import parser as P
 from lodestack.plans.config import ConfigError, from_schema
@@ -331,6 +331,24 @@ def test_query_handling_is_kept_with_the_settings():
         Analyzer("near", query_handling="OTHER")
 
 
+def test_near_documents_are_what_mm_finds(spark, tmp_path):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen".split()
+    texts = [" ".join(base), " ".join(base), " ".join([*base, "nineteen"]), " ".join(reversed(base)), "too short", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = Index(IndexConfig("near", [FieldConfig("text").index("lsh", "near")], unique_id="doc_id", default_search_field="near"), docs)
+    got = {(r["query_id"], r["unique_id"]): r["likeness"] for r in near_documents(index, "near", docs["doc_id"] >= 0, 0.5).collect()}
+    inverted = index.invert(str(tmp_path / "near"), "near")
+    for i, text in enumerate(texts):
+        n = len(index.config.analyzer("lsh").tokens(text))
+        query = Query(text, mm=math.ceil(n / 2), amount=100)
+        assert {b for a, b in got if a == str(i)} == (set(ids(index, query)) if n else set()), text
+        if i == 2:
+            score = lambda of: [(r["unique_id"], r["score"]) for r in hits(of, query).orderBy("rank").collect()]  # noqa: B023, E731
+            assert score(index) == score(inverted) and score(index)[0] == ("2", 512.0)
+            assert {(a, b): x for (a, b), x in got.items() if a == "2"} == {("2", b): x / 512 for b, x in score(index)}
+    assert got["0", "1"] == 1.0 and got["0", "2"] < 1.0
+
+
 def test_spellings_from_a_file(spark, tmp_path):
     chain = Analyzer("us", "STANDARD", ["LOWERCASE", "BRITISH_US"])
     assert chain.tokens("Aluminium colour") == ["aluminium", "color"]
