@@ -129,7 +129,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
             out.append(pd.DataFrame({"code": np.full(len(best), np.int64(code.astype(np.int64))), "ids": own["ids"].to_numpy()[best], "distance": np.bitwise_count(values[best] ^ code).astype(np.int32)}))
         return pd.concat(out)
 
-    tasks = parts * blocks  # asked for, so that small parts are not put into one task
+    # Asked for, so that small parts are not put into one task; of a few, two seldom meet in one of many partitions.
+    tasks = max(parts * blocks, min(16 * parts * blocks, 200))
     near = dealt.repartition(tasks, "part", "block").groupBy("part", "block").cogroup(posed.repartition(tasks, "part", "block").groupBy("part", "block")).applyInPandas(answer, "code long, ids array<long>, distance int")
     by = W.partitionBy("code").orderBy("distance", "vec_id")
     ranked = near.select("code", "distance", F.explode("ids").alias("vec_id")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
