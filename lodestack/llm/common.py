@@ -27,9 +27,21 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Bytes a core below which a table in few files is dealt to all cores.
+SMALL = 16 << 20
+
+
+def parallel(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt to all of them; any other table as it is."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    if not 0 < files < cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL * cores:
+        return df
+    return df.repartition(cores)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, so that extra columns (also ones with clashing names) never travel; null text becomes empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return parallel(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices
+from .common import map_arrow, parallel, slices
 
 WINDOW, THRESHOLD = 3, 80
 #: What a line in a marked main part weighs more, and by what a line outside the marked part is divided.
@@ -189,6 +189,7 @@ RESULT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("ur
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text), n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = parallel(rows)
 
     def run(batches):
         for part, values in slices(batches, column="html"):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, row_key
+from .common import checkpointed, fresh, parallel, row_key
 
 #: Rows that a key range holds on average.
 RANGE_ROWS = 2000
@@ -52,14 +52,14 @@ def uniform(id_col: Column, text: Column, seed: str = "mix") -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """Of (source, source_size): adds rank (by code point, null last) and target."""
+    """Of (source, source_size): adds rank (by code point, null last) and target. One task sorts the sources and sums them in passes."""
     ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     ranked = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int")).cast("double"))
     ranked = ranked.withColumn("cap", (MOST * F.col("source_size")).cast("double")).withColumn("full", F.col("cap") / F.col("w"))
     before = W.orderBy("full", "rank").rowsBetween(W.unboundedPreceding, -1)
-    rest = W.orderBy("full", "rank").rowsBetween(0, W.unboundedFollowing)
     every = W.partitionBy(F.lit(1))
-    ranked = ranked.withColumn("level", (SHARE * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
+    earlier = lambda name: F.coalesce(F.sum(name).over(before), F.lit(0.0))
+    ranked = ranked.withColumn("level", (SHARE * F.sum("source_size").over(every) - earlier("cap")) / (F.sum("w").over(every) - earlier("w")))
     ranked = ranked.withColumn("level", F.min(F.when(F.col("full") >= F.col("level"), F.struct("full", "rank", "level"))).over(every)["level"])
     return ranked.select("source", "source_size", "rank", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
@@ -68,7 +68,7 @@ def _prepared(docs: DataFrame, more: list[str], weight: Column | None) -> DataFr
     text = F.coalesce(F.col("text"), F.lit(""))
     u = uniform(F.col("doc_id"), text).alias("u")
     weighed = quality_weight(text) if weight is None else F.coalesce(F.greatest(weight.cast("double"), F.lit(LEAST)), F.lit(1.0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), weighed.alias("weight"), u, *more).withColumn("key", -F.ln("u") / F.col("weight")).drop("u")
+    return parallel(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), weighed.alias("weight"), u, *more).withColumn("key", -F.ln("u") / F.col("weight")).drop("u")
 
 
 def mix(docs: DataFrame, whole: bool = False, row: str | None = None, weight: Column | None = None) -> DataFrame:
