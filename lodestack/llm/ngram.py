@@ -530,7 +530,8 @@ def scores(docs: DataFrame, every: int = 10, order: int = ORDER) -> DataFrame:
     trie = Trie(folder, order)
 
     def written(df: DataFrame, name: str, schema: T.StructType) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"file:{folder}/{name}")
+        # Short row groups, so that a file is read by many tasks.
+        df.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).option("parquet.block.size.row.check.min", 1).parquet(f"file:{folder}/{name}")
         return spark.read.schema(schema).parquet(f"file:{folder}/{name}")
 
     with brief_shuffles(spark):

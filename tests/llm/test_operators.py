@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestack.llm import bpe, bpe_stream, components, files, hamming_search, mixing, quality, queries, secrets, simhash_dedup, simhash_index, token_count
+from lodestack.llm import bpe, bpe_stream, common, components, files, hamming_search, mixing, quality, queries, secrets, simhash_dedup, simhash_index, token_count
 from lodestack.llm.common import vocabulary_path
 
 PATH = vocabulary_path()
@@ -39,6 +39,19 @@ def library():
     return t
 
 
+def test_small_tables_use_all_cores_and_settings_are_put_back(spark, documents, odd, monkeypatch):
+    assert common.texts(documents).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "Repartition" not in common.texts(odd)._jdf.queryExecution().optimizedPlan().toString()  # no files
+    monkeypatch.setattr(common, "SMALL", 0)
+    assert "Repartition" not in common.texts(documents)._jdf.queryExecution().optimizedPlan().toString()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), common.brief_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(name) == before
+
+
 def odd_texts():
     import random
 
