@@ -45,12 +45,15 @@ BESIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldse
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
-#: Parts of class names and ids: those of no article, those of no article outside one, and those that only say what it is made of.
+#: Parts of class names and ids: those of no article, wherever they stand; those that also stand in names of an article's sections; those
+#: of no article outside one; and those that only say what a part of the page is made of.
 NAMES = re.compile(
-    r"ad|ads|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|cookies?|cookie\w+|consent|gdpr|notice\w*|notification|alert|popup|modal|overlay|newsletter|subscribe\w*|subscription|signup|login|paywall|"
-    r"nav\w*|menu\w*|breadcrumbs?|toolbar|sidebar\w*|side|aside|widget\w*|related|recommend\w*|share|sharing|social|"
-    r"comments?|commentlist|disqus|discussion|replies|reply|respond|responses?|reviews|"
-    r"footer|sitefooter|pagefooter|copyright|legal|disclaimer|pagination|pager|tags|search\w*|form",
+    r"ad|ads|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|cookie\w+|consent|gdpr|popup|modal|newsletter|subscribe\w*|subscription|signup|login|paywall|"
+    r"nav\w*|menu\w*|breadcrumbs?|toolbar|sidebar\w*|aside|widgets?|share|sharing|comments?|commentlist|disqus|replies|footer|sitefooter|pagefooter|pagination|pager",
+    re.I,
+)
+WEAK = re.compile(
+    r"banner|notice\w*|notification|alert|overlay|side|widget\w+|related|recommend\w*|social|discussion|reply|respond|responses?|reviews|copyright|legal|disclaimer|tags|search\w*|form",
     re.I,
 )
 HEADERS = re.compile("header|masthead|topbar", re.I)
@@ -91,12 +94,13 @@ class _Lines:
         self.parts, self.linked = [], 0
 
 
-def _named(value: str, names: re.Pattern) -> bool:
-    """Whether a class or id is one of the names, or made of one and of words that say nothing else (social-links, not social-history)."""
+def _named(value: str, names: re.Pattern, weak: re.Pattern | None = None) -> bool:
+    """Whether a class or id has one of the names as a part, or a weak one beside parts that say nothing else (social-links, not social-history)."""
     for name in value.split():
         parts = [x for x in re.split("[_-]+", name) if x]
-        known = [bool(names.fullmatch(x)) for x in parts]
-        if any(known) and all(k or MADE_OF.fullmatch(x) or NAMES.fullmatch(x) or HEADERS.fullmatch(x) for k, x in zip(known, parts, strict=True)):
+        if any(names.fullmatch(x) for x in parts):
+            return True
+        if weak and any(weak.fullmatch(x) for x in parts) and all(weak.fullmatch(x) or MADE_OF.fullmatch(x) or HEADERS.fullmatch(x) for x in parts):
             return True
     return False
 
@@ -118,7 +122,7 @@ def _beside(tag: str, attributes: str, in_main: bool, in_article: bool) -> tuple
             elif tag not in ("html", "body", "h1"):
                 named = bool(MAIN.search(value))
                 main = main or named
-                beside = beside or not named and (_named(value, NAMES) or not in_main and _named(value, HEADERS))
+                beside = beside or not named and (_named(value, NAMES, WEAK) or not in_main and _named(value, HEADERS))
     return beside, main and not beside
 
 

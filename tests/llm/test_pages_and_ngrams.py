@@ -41,6 +41,8 @@ def test_names_and_quotes_of_real_pages():
         f"<article><p>Teaser</p></article><div><p>{LONG}</p><p>{LONG}</p><p>Short one</p><p>{LONG}</p></div>": f"{LONG} {LONG} Short one {LONG}",
         f"<article><p>{LONG}</p><section class='review'><p>{LONG} a</p></section><div class='social-history'><p>{LONG} b</p></div><div class='social-links'>Share</div></article>": f"{LONG} {LONG} a {LONG} b",
         f"<article class=review><p>{LONG}</p></article>": LONG,
+        **{f"<article><p>{LONG}</p><div class='{name}'>{LONG} no</div></article>": LONG for name in ("google-ads", "widget_recent_entries", "blog-sidebar", "main-nav", "site-footer", "social", "related-posts", "search-form", "legal_notice", "my-newsletter")},
+        **{f"<article><p>{LONG}</p><div class='{name}'>{LONG} yes</div></article>": f"{LONG} {LONG} yes" for name in ("legal-history", "form-of-government", "side-effects", "alert-levels", "adventure", "menace", "intro")},
         f"<article><p>{LONG}</p><div class='user-reviews'><article class='review'>{LONG}</article></div></article>": LONG,
         f"<article><p>{LONG} <a href=\"foo>link</a> more</p><p class=\"x\">{LONG}</p></article>": f"{LONG} link more {LONG}",
         f"<article><p title=don't>{LONG}</p><p title=\"it's > that\">{LONG}</p></article>": f"{LONG} {LONG}",
