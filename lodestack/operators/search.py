@@ -20,7 +20,7 @@ from ..functions.values import element_type, extract, typed, values
 from ..plans.compiler import Compiler, safe
 from ..plans.config import DATE_HANDLING, ConfigError, FieldConfig, IndexConfig
 from ..plans.postings import Postings, PostingsCompiler
-from .store import DocumentStore
+from .store import DocumentStore, shared_folder
 
 
 @dataclass
@@ -319,17 +319,26 @@ def near_documents(index: Index, name: str, asked: Column, least: float = 0.8) -
     from the postings. Documents with the same tokens are one class, so copies share no tokens twice and only classes are joined;
     a class's likeness holds for all its members.
     """
-    uid = F.col(f"`{index.config.unique_id}`").cast("string")
-    own = index.postings(name).select("unique_id", "term")
-    # The tokens of a document as one hash, whatever their order; combined before the shuffle.
-    classes = own.groupBy("unique_id").agg(F.count("*").alias("size"), F.sum(F.xxhash64("term").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "term")).alias("b"))
-    classes = classes.withColumn("class", F.xxhash64("size", "a", "b"))
+    spark, uid, inverted = index.docs.sparkSession, index.uid.alias("unique_id"), index.inverted and name in index.inverted.names
+    array = F.array_sort(F.array_compact(Compiler(index.config, index.docs).expression(name)))
+
+    def tokens(ids: DataFrame) -> DataFrame:
+        """The tokens of the documents named in ``ids`` (unique_id, class); texts are analyzed after the others have gone."""
+        if inverted:
+            return index.postings(name).join(ids, "unique_id").select("class", "term")
+        return index.docs.join(ids, index.uid == F.col("unique_id")).select("class", F.explode(array).alias("term"))
+
+    if inverted:  # a document's tokens as one hash, whatever their order; combined before the shuffle
+        classes = index.postings(name).groupBy("unique_id").agg(F.count("*").alias("size"), F.sum(F.xxhash64("term").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "term")).alias("b"))
+    else:
+        classes = index.docs.select(uid, array.alias("t")).select("unique_id", F.size("t").cast("long").alias("size"), F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).where("size > 0")
+    shared_folder(spark)
+    classes = classes.select("unique_id", "size", F.xxhash64("size", "a", "b").alias("class")).checkpoint()  # a short row a document
     first = classes.groupBy("class").agg(F.min("unique_id").alias("unique_id"), F.first("size").alias("size"))
-    tokens = own.join(first, "unique_id").select("class", "term")  # of one document of each class
-    wanted = index.docs.where(asked).select(uid.alias("unique_id")).join(classes.select("unique_id", "class"), "unique_id")
-    posed = tokens.join(wanted.select("class").distinct(), "class").join(first.select("class", "size"), "class").select(F.col("class").alias("posed"), "size", "term")
-    shared = tokens.join(posed, "term").groupBy("posed", "class").agg((F.count("*") / F.first("size")).alias("likeness")).where(F.col("likeness") >= least)
-    found = wanted.select(F.col("unique_id").alias("query_id"), F.col("class").alias("posed")).join(shared, "posed")
+    wanted = index.docs.where(asked).select(uid).join(classes, "unique_id").select(F.col("unique_id").alias("query_id"), "class", "size")
+    posed = tokens(first.join(wanted.select("class"), "class", "left_semi")).join(first.select("class", "size"), "class").select(F.col("class").alias("posed"), "size", "term")
+    shared = tokens(first).join(posed, "term").groupBy("posed", "class").agg((F.count("*") / F.first("size")).alias("likeness")).where(F.col("likeness") >= least)
+    found = wanted.select("query_id", F.col("class").alias("posed")).join(shared, "posed")
     return found.join(classes.select("class", "unique_id"), "class").select("query_id", "unique_id", "likeness")
 
 
