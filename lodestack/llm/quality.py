@@ -34,6 +34,8 @@ RIDGE = 1e-3
 #: Folds, and partitions whose sums of normal equations the driver adds up, each FEATURES squared numbers for each fold.
 FOLDS, PARTIAL_SUMS = 4, 8
 GRID = 2000
+#: Rows whose features are made at a time.
+ROWS = 1024
 N_STATS = 19
 UPPER, LOWER, DIGIT = (np.isin(np.arange(256), list(s)) for s in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"))
 SYMBOL, STOP = np.isin(np.arange(256), list(b"!#$%&*+/<=>@[\\]^_`{|}~")), np.isin(np.arange(256), list(b".,;:?'\"()-"))
@@ -85,7 +87,8 @@ class Model:
         return np.concatenate([np.cos(z @ self.frequency + self.phase) * np.sqrt(2 / len(self.phase)), np.ones((len(x), 1))], axis=1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.features(x) @ self.weights, -0.5, 1.5)
+        parts = [self.features(x[i : i + ROWS]) @ self.weights for i in range(0, len(x), ROWS)]
+        return np.clip(np.concatenate([*parts, np.zeros(0)]), -0.5, 1.5)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.knots, self.values)
@@ -112,7 +115,14 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS).astype(np.float64)
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS).astype(np.float64)  # flatten respects slices
+
+
+def _short(batches):
+    """The batches in slices of ROWS."""
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            yield batch.slice(i, ROWS)
 
 
 def usable(labels: DataFrame) -> DataFrame:
@@ -148,7 +158,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
 
     def sums(batches):
         a, b, k = np.zeros((FOLDS, FEATURES + 1, FEATURES + 1)), np.zeros((FOLDS, FEATURES + 1)), np.zeros(FOLDS, np.int64)
-        for batch in batches:
+        for batch in _short(batches):
             z, y, of = model.features(_matrix(batch)), batch.column("y").to_numpy(zero_copy_only=False), batch.column("fold").to_numpy(zero_copy_only=False)
             for f in np.unique(of).tolist():
                 some = of == f
@@ -169,7 +179,7 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int
     others = [ridge(a.sum(axis=0) - a[f], b.sum(axis=0) - b[f], k.sum() - k[f]) if k.sum() > k[f] else model.weights for f in range(FOLDS)]
 
     def out_of_fold(batches):
-        for batch in batches:
+        for batch in _short(batches):
             of = batch.column("fold").to_numpy(zero_copy_only=False)
             raw = np.clip((model.features(_matrix(batch)) * np.array(others)[of]).sum(axis=1), -0.5, 1.5)
             yield pa.RecordBatch.from_arrays([pa.array(np.round(raw * GRID).astype(np.int64)), batch.column("y")], ["g", "y"])
