@@ -65,7 +65,7 @@ UNKNOWN = (1 << 32) - 1
 #: Tokens of a shard, on average.
 SHARD_TOKENS = 3_000_000
 #: Tokens of a block, those that a task handles at a time when counting and when scoring, files it keeps open.
-BLOCK, BUFFER, SCORED, OPEN = 500_000, 2_000_000, 400_000, 256
+BLOCK, BUFFER, SCORED, OPEN = 500_000, 2_000_000, 1_000_000, 256
 
 
 def prior(counts: np.ndarray, order: int) -> np.ndarray:
@@ -203,13 +203,17 @@ class Nodes:
         self.counts = w[at + 2 + -(-n // 4) :].view("<u2")
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each context's child with the word, and whether there is one. Equal contexts stand together."""
+        """Place of each context's child with the word, and whether there is one. Equal contexts, and in them equal words, stand together."""
         new = np.concatenate([[True], contexts[1:] != contexts[:-1]])
         rank, there = self.contexts.successor(contexts[new])
         first, end = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
         first[there], end[there] = self.children.bucket(rank[there])  # the pointers
-        each = np.cumsum(new) - 1
-        return self.children.within(first[each], end[each], words)
+        asked = new.copy()
+        asked[1:] |= words[1:] != words[:-1]
+        each = (np.cumsum(new) - 1)[asked]
+        place, found = self.children.within(first[each], end[each], words[asked])
+        back = np.cumsum(asked) - 1
+        return place[back], found[back]
 
 
 @lru_cache(maxsize=OPEN)
@@ -217,9 +221,13 @@ def _open(path: str) -> WordShard | Nodes:
     return (WordShard if os.path.basename(path).startswith("level1-") else Nodes)(path)
 
 
-def by_shard(shard: np.ndarray, then: np.ndarray | None = None):
-    """(shard, places of its rows) in order of shard; rows with equal ``then`` (below 2**44) stand together."""
-    order = np.argsort(shard, kind="stable") if then is None else np.argsort(shard.astype(np.uint64) << np.uint64(44) ^ then & np.uint64((1 << 44) - 1))
+def by_shard(shard: np.ndarray, contexts: np.ndarray | None = None, words: np.ndarray | None = None):
+    """(shard, places of its rows) in order of shard; rows with equal context, and among them with equal word, mostly stand together."""
+    if contexts is None:
+        order = np.argsort(shard, kind="stable")
+    else:
+        near = (contexts * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) << np.uint64(20) | words * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)
+        order = np.argsort(shard.astype(np.uint64) << np.uint64(44) | near)
     edges = np.flatnonzero(np.concatenate([[True], shard[order[1:]] != shard[order[:-1]], [True]])) if len(order) else []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         yield int(shard[order[a]]), order[a:b]
@@ -288,7 +296,7 @@ class Trie:
         node, p, n = np.full(len(words), -1, np.int64), np.zeros(len(words)), np.zeros(len(words))
         if self.shards[k]:
             contexts, words = contexts.astype(np.uint64), words.astype(np.uint64)
-            for s, some in by_shard(spread(mix, words, self.shards[k]), contexts):
+            for s, some in by_shard(spread(mix, words, self.shards[k]), contexts, words):
                 own = self.level(k, s)
                 place, found = own.find(contexts[some], words[some])
                 some, place = some[found], place[found]
@@ -530,8 +538,7 @@ def scores(docs: DataFrame, every: int = 10, order: int = ORDER) -> DataFrame:
     trie = Trie(folder, order)
 
     def written(df: DataFrame, name: str, schema: T.StructType) -> DataFrame:
-        # Short row groups, so that a file is read by many tasks.
-        df.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).option("parquet.block.size.row.check.min", 1).parquet(f"file:{folder}/{name}")
+        df.write.option("compression", "zstd").parquet(f"file:{folder}/{name}")
         return spark.read.schema(schema).parquet(f"file:{folder}/{name}")
 
     with brief_shuffles(spark):
