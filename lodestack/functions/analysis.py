@@ -20,9 +20,9 @@ from .minhash import bound, minhash_column, minhash_tokens
 GAP = 100
 #: Ideographs and hiragana, each a word of its own.
 ALONE = "\u3041-\u3096\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
-#: Approximates Unicode word breaks: one of ALONE, or a run of other letters, marks, digits and underscores, joined by an apostrophe or
-#: full stop between them. The same for the JVM's expressions (COLUMN_WORD) and for plain Python.
-WORD, COLUMN_WORD = (f"[{ALONE}]|{run}+(?:['’.]{run}+)*" for run in (rf"(?:(?![{ALONE}])[\p{{L}}\p{{M}}\p{{N}}_])", rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{ALONE}]]"))
+#: Approximates Unicode word breaks: a run of letters, marks, digits and underscores, joined by an apostrophe or full stop between them,
+#: or one of ALONE. The same for plain Python and for the JVM's expressions (COLUMN_WORD, which looks for ASCII first, as most text is).
+WORD, COLUMN_WORD = (f"{run}+(?:['’.]{run}+)*|[{ALONE}]" for run in (rf"(?:(?![{ALONE}])[\p{{L}}\p{{M}}\p{{N}}_])", rf"[a-zA-Z0-9_[\p{{L}}\p{{M}}\p{{N}}&&[^{ALONE}]]]"))
 LONGEST = 255
 #: Fixed value: the usual short list of English stop words.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
