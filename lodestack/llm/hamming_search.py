@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50) -> DataFrame:
     asked = found.where(F.col("vec_id") % every == 0)
     wanted = asked.select("code").distinct()
     n, q = entries.count(), wanted.count()
-    idle = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    idle = vectors.sparkSession.sparkContext.defaultParallelism
     parts, blocks = max(1, -(-n // PART), min(idle, n // LEAST)), max(1, -(-q // BLOCK))
     dealt = entries.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     posed = wanted.withColumn("block", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
